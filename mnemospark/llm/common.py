@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch: whole texts travel in it, so it is far below Spark's 10,000.
-BATCH_ROWS = 256
+#: Rows in one Arrow batch: whole texts and packed messages travel in it, so it is far below Spark's 10,000.
+BATCH_ROWS = 64
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -75,8 +75,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    trusted = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 1).alias("trusted"))
-    table = rules.ratios(docs.join(trusted, "doc_id", "left"), F.col("trusted"))
+    trusted = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    table = rules.ratios(docs, trusted)
     return rules.judge(docs, table).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 

@@ -34,7 +34,7 @@ LENGTH, TRIGGER = 50, 16
 #: Windows in a phrase, at most; longer runs of one trigger (periodic text) are several phrases.
 PHRASE = LENGTH - TRIGGER + 1
 #: Sizes at which a task hands on what it has gathered: triggers, phrases, bytes of text, windows to sort at once.
-FLUSH_TRIGGERS, FLUSH_PHRASES, FLUSH_BYTES, SORT_WINDOWS = 1_000_000, 400_000, 24_000_000, 400_000
+FLUSH_TRIGGERS, FLUSH_PHRASES, FLUSH_BYTES, SORT_WINDOWS = 600_000, 200_000, 8_000_000, 300_000
 
 #: All four shuffles carry such rows; what comes first in a partition has the lower kind.
 MESSAGE = "key int, kind int, data binary"
@@ -284,7 +284,9 @@ def first_documents(data: np.ndarray, starts: np.ndarray, n: np.ndarray, doc: np
 
     The suffix array of the dictionary to LENGTH bytes: windows sorted as big-endian words; equal ones are neighbours.
     """
-    at = ragged(starts, n)
+    size = n + LENGTH - 1
+    data = data[ragged(starts, size)]
+    at = ragged(np.cumsum(size) - size, n)
     own = np.repeat(doc, n)
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     word = np.zeros(len(data) + 1, np.uint64)
