@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import list_array, map_batches, ragged
+from .common import by_bytes, list_array, map_batches, ragged
 
 #: Pieces that a Python worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 400_000
@@ -172,18 +171,6 @@ def coder(key: str, ranks) -> Coder:
     return _CODERS[key]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 24_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that one holds about so many bytes of the column at most."""
-    for batch in batches:
-        values = batch.column(column)
-        sizes = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(values) if pa.types.is_string(values.type) else pa.compute.list_value_length(values), 0), np.int64))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Adds ``ids array<int>``: the ids of each text, as many as the whole text has."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # bounded by the vocabulary
@@ -191,7 +178,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
     def run(batches):
         own = coder(path, ranks)
-        for batch in _blocks(batches, text):
+        for batch in (part for whole in batches for part in by_bytes(whole, text, 24_000_000)):
             ids, starts = own.encode(batch.column(text).to_pylist(), pattern)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), list_array(pa.array(ids, pa.int32()), starts)], [*keep, "ids"])
 
@@ -206,7 +193,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches):
         own = coder(path, ranks)
-        for batch in _blocks(batches, ids, 2_000_000):
+        for batch in (part for whole in batches for part in by_bytes(whole, ids, 2_000_000)):
             column = batch.column(ids).fill_null([])
             starts = np.concatenate([[0], np.cumsum(np.array(pa.compute.list_value_length(column)))])
             out = own.decode(np.array(column.flatten(), np.int32), starts)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: whole texts and packed messages travel in it, so it is far below Spark's 10,000.
@@ -92,9 +93,24 @@ def split_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tup
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over the bytes, from prefix sums, then mixed with the length."""
+    """A 64-bit hash of each word: a polynomial over the bytes, from prefix sums, then mixed with the length. Starts ascend."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > 2 * _SPAN:  # in parts, so that the tables of powers stay small
+        out, a = [], 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + _SPAN)))
+            low, high = starts[a], int(ends[a:b].max())
+            out.append(_hashed(data[low:high], starts[a:b] - low, ends[a:b] - low))
+            a = b
+        return np.concatenate(out)
+    return _hashed(data, starts, ends)
+
+
+_SPAN = 1 << 20
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     powers, inverse = _powers(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
@@ -141,6 +157,18 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that hold about so many bytes of the column (or elements of a list column) at most."""
+    values = batch.column(column)
+    count = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    sizes = np.cumsum(np.array(pc.fill_null(count(values), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each stretch, one after the other."""
     total = int(lengths.sum())

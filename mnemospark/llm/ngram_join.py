@@ -7,10 +7,9 @@ last and sorts the rest by hash; it makes the candidates. Candidates must then a
 bitmaps (the bits in which two bitmaps differ are a lower bound of the elements in which the sets do), and must share
 prefix elements under further orders too. Who passes all filters is verified on the whole sets.
 
-Documents of equal sets are one node. Small groups of a prefix element give all their pairs. Of large groups, which
-are dealt out in pairs of blocks, first a forest of nearest neighbours is verified; only pairs whose nodes are still
-in different components after that are verified in a second round. No link between components is lost, and neither
-round makes all pairs of a group.
+Documents of equal sets are one node. Of each group of a prefix element, large ones dealt out in pairs of blocks, a
+forest of nearest neighbours is verified first; only pairs whose nodes are still in different components after that
+are verified in a second round. No link between components is lost, and neither round makes all pairs of a group.
 
 Null and empty texts have empty sets and link with nothing; a text of fewer words than n has one n-gram, the whole.
 Rows of equal sets are linked, repeated rows too. A row without an id takes part; the component's id is the smallest
@@ -24,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, mix64, ragged, split_words, text_bytes, word_hashes
-from .suffix_dedup import MESSAGE, _by_key, _joined, _packs, _send, _slices, _unpack, row_keys
+from .common import by_bytes, map_batches, materialize, mix64, ragged, split_words, text_bytes, word_hashes
+from .suffix_dedup import MESSAGE, _by_key, _joined, _packs, _send, _unpack, row_keys
 
 #: n-grams in the lowest 1/LOW of the hashes are counted; those of over HOT documents come last in the first order.
 LOW, HOT = 8, 48
 #: So many are remembered, the most frequent; the rest stay where their hash puts them, which costs time alone.
 HOT_MOST = 1 << 20
-#: Groups of up to SMALL nodes give all pairs; larger ones are cut into blocks of BLOCK nodes.
+#: Groups of up to SMALL nodes are worked on many at once; larger ones are cut into blocks of BLOCK nodes.
 SMALL, BLOCK = 24, 1536
-BITS = 1024
+BITS = 512
 #: Seeds of the further orders.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 FLUSH = 1_000_000
@@ -111,7 +110,7 @@ def _low(text: str, k: int, parts: int):
                 u, c = np.unique(np.concatenate(held), return_counts=True)
                 return _by_key((u % np.uint64(parts)).astype(np.int64), {"t": u, "n": c}, 0)
 
-            for batch in batches:
+            for batch in (part for whole in batches for part in by_bytes(whole, text)):
                 values, starts = sets(batch.column(text), k)
                 keep = values < np.uint64(2**64 // LOW)
                 held.append(values[keep])
@@ -149,7 +148,7 @@ def hot_elements(docs: DataFrame, text: str, k: int) -> np.ndarray:
 def _table(doc_id: str, text: str, k: int, num: int, den: int, hot):
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, text)):
             values, starts = sets(batch.column(text), k)
             n = np.diff(starts)
             sig, key = _sigs(values, starts), row_keys(batch.column(doc_id), batch.column(text)).view(np.int64)
@@ -250,8 +249,9 @@ def _meet(parts: int):
         s, n, m = s[at], n[at], m.take(pa.array(at))
 
         def rows():
-            for part in post:
-                ps, t, b = (_joined([part], c) for c in ("s", "t", "b"))
+            every = [_joined(post, c) for c in ("s", "t", "b")]
+            for a in range(0, len(every[0]), 400_000):
+                ps, t, b = (c[a : a + 400_000] for c in every)
                 node = np.searchsorted(s, ps)
                 times = np.maximum(b, 1)
                 i = np.repeat(np.arange(len(ps)), times)
@@ -272,11 +272,14 @@ def _passes(n1, n2, differ, num: int, den: int):
 
 
 def _large(n: np.ndarray, m: np.ndarray, side: np.ndarray, num: int, den: int, comp: np.ndarray | None):
-    """Pairs of a large group that pass: the nearest earlier node of each, or with comp all of other components."""
+    """Pairs of a large group that pass: the nearest earlier node of each, or with comp all of other components.
+
+    Also whether a node is in any pair that passes.
+    """
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     within = not len(right) or not len(left)
     a, b = (np.arange(len(n)),) * 2 if within else (left, right)
-    out = []
+    out, any_ = [], np.zeros(len(n), bool)
     for x in range(0, len(a), 128):
         i = a[x : x + 128]
         differ = np.zeros((len(i), len(b)), np.int64)
@@ -285,6 +288,8 @@ def _large(n: np.ndarray, m: np.ndarray, side: np.ndarray, num: int, den: int, c
         ok = _passes(n[i][:, None], n[b][None, :], differ, num, den)
         if within:
             ok &= b[None, :] < i[:, None]
+        any_[i] |= ok.any(1)
+        any_[b] |= ok.any(0)
         if comp is not None:
             p, q = np.nonzero(ok & (comp[i][:, None] != comp[b][None, :]))
         else:
@@ -293,19 +298,24 @@ def _large(n: np.ndarray, m: np.ndarray, side: np.ndarray, num: int, den: int, c
             p = np.flatnonzero(ok.any(1))
             q = q[p]
         out.append((i[p], b[q]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), any_
 
 
-_EDGE = "a long, b long, t long, code long, s long, n long, m binary"
+_EDGE = "a long, b long, t long, code long, s long"
 
 
 def _edges_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = lambda k: pa.nulls(len(a), k)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], ["a", "b", "t", "code", "s", "n", "m"])
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], ["a", "b", "t", "code", "s"])
+
+
+def _again_batch(t: np.ndarray, code: np.ndarray, s: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(which), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(t[which].view(np.int64)), pa.array(code[which]), pa.array(s[which])], ["a", "b", "t", "code", "s"])
 
 
 def _candidates(num: int, den: int):
-    """Candidate pairs; the members of large groups once more for the second round."""
+    """Nearest neighbours as candidate pairs; nodes with other pairs that pass, once more, for the second round."""
 
     def run(batches):
         got = [_unpack(x) for b in batches for x in b.column("data").to_pylist()]
@@ -334,16 +344,22 @@ def _candidates(num: int, den: int):
             at = end
             close = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
             i, j = i[close], j[close]
-            ok = _passes(n[i], n[j], np.bitwise_count(m[i] ^ m[j]).sum(1, dtype=np.int64), num, den)
+            near = np.bitwise_count(m[i] ^ m[j]).sum(1, dtype=np.int64)
+            ok = _passes(n[i], n[j], near, num, den)
             if ok.any():
-                yield _edges_batch(s[i[ok]], s[j[ok]])
+                i, j, near = i[ok], j[ok], near[ok]
+                best = np.lexsort((i, near, j))
+                best = best[np.concatenate([[True], j[best][1:] != j[best][:-1]])]
+                yield _edges_batch(s[i[best]], s[j[best]])
+                if len(best) < len(i):  # the group's other pairs may matter in the second round
+                    some = np.unique(group[j[np.setdiff1d(np.arange(len(i)), best)]])
+                    member = np.unique(np.concatenate([i, j]))
+                    yield _again_batch(t, code, s, member[np.isin(group[member], some)])
         for g in np.flatnonzero((code[first] > 0) & (size > 1)):
             own = slice(first[g], first[g] + size[g])
-            a, b = _large(n[own], m[own], code[own] & 1 if _two(code[own]) else np.zeros(size[g], np.int64), num, den, None)
+            a, b, any_ = _large(n[own], m[own], code[own] & 1 if _two(code[own]) else np.zeros(size[g], np.int64), num, den, None)
             yield _edges_batch(s[own][a], s[own][b])
-            again = pa.array([x.tobytes() for x in m[own]], pa.binary())
-            none = pa.nulls(size[g], pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(t[own].view(np.int64)), pa.array(code[own]), pa.array(s[own]), pa.array(n[own]), again], ["a", "b", "t", "code", "s", "n", "m"])
+            yield _again_batch(t, code, s, first[g] + np.flatnonzero(any_))
 
     return run
 
@@ -378,7 +394,7 @@ def _second(num: int, den: int):
                 continue
             code, s, n = (_joined(held, c) for c in ("code", "s", "n"))
             m = np.frombuffer(b"".join(x for h in held for x in h.column("m").to_pylist()), np.uint64).reshape(len(s), -1)
-            a, b = _large(n, m, code & 1 if _two(code) else np.zeros(len(s), np.int64), num, den, comp)
+            a, b, _ = _large(n, m, code & 1 if _two(code) else np.zeros(len(s), np.int64), num, den, comp)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[a], s[b])), pa.array(np.maximum(s[a], s[b]))], ["a", "b"])
 
@@ -416,7 +432,7 @@ def _wanted_sets(doc_id: str, text: str, k: int):
                 if len(ready):
                     keys = row_keys(whole.column(doc_id), whole.column(text)).view(np.int64)
                     whole = whole.filter(pa.array(ready[np.minimum(np.searchsorted(ready, keys), len(ready) - 1)] == keys))
-                    for part in _slices(whole):
+                    for part in by_bytes(whole, text):
                         values, starts = sets(part.column(text), k)
                         yield pa.RecordBatch.from_arrays([pa.array(_sigs(values, starts)), pa.array([values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["sig", "elements"])
 
@@ -480,22 +496,28 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = map_batches(deal(groups.unionAll(nodes)), _meet(ranges), MESSAGE)
     found = materialize(map_batches(deal(met), _candidates(num, den), _EDGE), "candidates")
 
-    def links(edges: DataFrame) -> DataFrame:
-        edges = materialize(edges.distinct(), "pairs")
-        asked = edges.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        keys = own.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")).select("key")
-        wanted = map_batches(keys, _wanted(ranges), MESSAGE).unionAll(map_batches(docs, _packs("doc_id", "text", ranges), MESSAGE))
-        got = materialize(map_batches(deal(wanted).sortWithinPartitions("kind"), _wanted_sets("doc_id", "text", k), "sig long, elements binary").dropDuplicates(["sig"]), "elements")
-        pairs = edges.join(got.toDF("a", "ea"), "a").join(got.toDF("b", "eb"), "b")
-        return materialize(map_batches(pairs, _verified(num, den), "a long, b long"), "links")
+    pairs = materialize(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    again = found.where("s IS NOT NULL").select("t", "code", "s")
+    # The whole sets of all nodes of either round.
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(again.select("s")).distinct()
+    keys = own.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")).select("key")
+    wanted = map_batches(keys, _wanted(ranges), MESSAGE).unionAll(map_batches(docs, _packs("doc_id", "text", ranges), MESSAGE))
+    got = materialize(map_batches(deal(wanted).sortWithinPartitions("kind"), _wanted_sets("doc_id", "text", k), "sig long, elements binary").dropDuplicates(["sig"]), "elements")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(got.toDF("a", "ea"), "a").join(got.toDF("b", "eb"), "b")
+        return materialize(map_batches(both, _verified(num, den), "a long, b long"), "links")
 
-    first = links(found.where("a IS NOT NULL").select("a", "b"))
+    first = links(pairs)
     roots = components(first)
-    large = found.where("s IS NOT NULL").select("t", "code", "s", "n", "m")
-    if not large.isEmpty():
-        placed = large.join(roots, F.col("s") == F.col("node"), "left").select("t", "code", "s", "n", "m", F.coalesce("root", "s").alias("c"))
+    placed = again.join(roots, F.col("s") == F.col("node"), "left").select("t", "code", F.shiftright("code", 1).alias("g"), "s", F.coalesce("root", "s").alias("c"))
+    mixed = placed.groupBy("t", "g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("t", "g")
+    placed = materialize(placed.join(mixed, ["t", "g"], "left_semi"), "again")
+    if not placed.isEmpty():
+        bits = own.select("sig", "n", "bitmap").dropDuplicates(["sig"])
+        placed = placed.join(bits, F.col("s") == F.col("sig")).select("t", "code", "s", "n", F.col("bitmap").alias("m"), "c")
         placed = placed.repartition(parts, "t", F.shiftright("code", 1)).sortWithinPartitions("t", "code")
-        more = links(map_batches(placed, _second(num, den), "a long, b long"))
+        more = links(materialize(map_batches(placed, _second(num, den), "a long, b long").distinct(), "pairs"))
         roots = components(first.unionAll(more))
     labelled = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(roots, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sig").alias("label"))
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "l")

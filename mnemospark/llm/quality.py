@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, map_batches, text_bytes
+from .common import by_bytes, list_array, map_batches, text_bytes
 
 #: Labelled rows to fit on, at most: those of the smallest hashes of their ids.
 FIT_ROWS = 4_000
@@ -114,7 +114,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", target: int | None =
 
     def run(batches):
         w = weights.value.astype(np.float64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, text)):
             data, offsets = text_bytes(batch.column(text))
             value, starts = grams(data, offsets)
             sums = np.concatenate([[0.0], np.cumsum(w[value])])

@@ -26,9 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_batches, mix64, ragged, sliding_min, text_bytes, window_hashes, word_hashes
+from .common import by_bytes, map_batches, mix64, ragged, sliding_min, text_bytes, window_hashes, word_hashes
 
 LENGTH, TRIGGER = 50, 16
 #: Windows in a phrase, at most; longer runs of one trigger (periodic text) are several phrases.
@@ -133,7 +134,7 @@ def _triggers(doc_id: str, text: str, parts: int):
                 f, k = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield from _by_key((f % np.uint64(parts)).astype(np.int64), {"f": _six(f), "k": _six(k & np.uint64((1 << 48) - 1))}, 0)
 
-            for batch in batches:
+            for batch in (part for whole in batches for part in by_bytes(whole, text)):
                 keys = row_keys(batch.column(doc_id), batch.column(text))
                 _, _, row, f = phrases(*text_bytes(batch.column(text)))
                 found.append((f, keys[row]))
@@ -204,11 +205,6 @@ def _packs(doc_id: str, text: str, parts: int):
     return run
 
 
-def _slices(batch: pa.RecordBatch, most: int = 128) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, most):
-        yield batch.slice(at, most)
-
-
 def _numbers(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
@@ -234,7 +230,7 @@ def _dictionary(doc_id: str, text: str, parts: int):
                 group = np.cumsum(np.concatenate([[True], ~same])) - 1
                 least = doc[order][np.flatnonzero(np.concatenate([[True], ~same]))][group]
                 later = order[doc[order] > least]
-                size = np.asarray(pa.compute.binary_length(content))
+                size = np.asarray(pc.binary_length(content))
                 yield from ((k, 2, d) for k, _, d in _intervals(key[later], at[later], at[later] + size[later], parts))
                 kept = np.sort(order[doc[order] == least])
                 yield from _by_key((f[kept] % np.uint64(parts)).astype(np.int64), {"c": content.take(pa.array(kept)), "f": _six(f[kept]), "doc": doc[kept], "key": key[kept], "at": at[kept]}, 3)
@@ -248,7 +244,7 @@ def _dictionary(doc_id: str, text: str, parts: int):
                         k, f = _joined(shared, "k"), _joined(shared, "f")
                         order = np.lexsort((f, k))
                         ready, shared = (k[order], f[order]), []
-                    for part in _slices(_unpack(data)):
+                    for part in by_bytes(_unpack(data), text):
                         keys = row_keys(part.column(doc_id), part.column(text))
                         bytes_, offsets = text_bytes(part.column(text))
                         start, n, row, f = phrases(bytes_, offsets)
@@ -382,7 +378,7 @@ def _removal(doc_id: str, text: str, keep: list[str], with_text: bool):
                     key, start, end = (_joined(marks, x) for x in ("key", "start", "end"))
                     order = np.argsort(key, kind="stable")
                     ready, marks = (key[order], start[order].astype(np.int64), end[order].astype(np.int64)), []
-                for part in _slices(_unpack(data)):
+                for part in by_bytes(_unpack(data), text):
                     keys = row_keys(part.column(doc_id), part.column(text))
                     bytes_, offsets = text_bytes(part.column(text))
                     a, b = np.searchsorted(ready[0], keys, "left"), np.searchsorted(ready[0], keys, "right")
