@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_batches, materialize, mix64, ragged, split_words, text_bytes, word_hashes
+from .common import by_bytes, deal, map_batches, materialize, mix64, ragged, split_words, text_bytes, word_hashes
 from .suffix_dedup import MESSAGE, _by_key, _joined, _packs, _send, _unpack, row_keys
 
 #: n-grams in the lowest 1/LOW of the hashes are counted; those of over HOT documents come last in the first order.
@@ -137,7 +137,7 @@ def _hot(batches):
 def hot_elements(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """The n-grams to come last, at most HOT_MOST, as sorted numbers."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = map_batches(map_batches(docs.select(text), _low(text, k, 2 * parts), MESSAGE).repartition(parts, "key"), _hot, "t long, n long")
+    counted = map_batches(deal(map_batches(docs.select(text), _low(text, k, parts), MESSAGE), parts), _hot, "t long, n long")
     found = counted.orderBy(F.desc("n"), "t").limit(HOT_MOST).toPandas()["t"].to_numpy(np.int64)
     return np.sort(found.view(np.uint64))
 
@@ -485,24 +485,22 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 2 * parts
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hot = spark.sparkContext.broadcast(hot_elements(docs, "text", k))  # HOT_MOST numbers at most
     table = materialize(map_batches(docs, _table("doc_id", "text", k, num, den, hot), "doc_id long, key long, sig long, n long, prefix binary, bitmap binary"), "sets")
-    deal = lambda df: df.repartition(parts, "key")
     own = table.where("prefix IS NOT NULL")
-    groups = map_batches(deal(map_batches(own.select("sig", "prefix"), _postings(ranges), MESSAGE)), _groups(ranges), MESSAGE)
-    nodes = map_batches(own.select("sig", "n", "bitmap"), _nodes(ranges), MESSAGE)
-    met = map_batches(deal(groups.unionAll(nodes)), _meet(ranges), MESSAGE)
-    found = materialize(map_batches(deal(met), _candidates(num, den), _EDGE), "candidates")
+    groups = map_batches(deal(map_batches(own.select("sig", "prefix"), _postings(parts), MESSAGE), parts), _groups(parts), MESSAGE)
+    nodes = map_batches(own.select("sig", "n", "bitmap"), _nodes(parts), MESSAGE)
+    met = map_batches(deal(groups.unionAll(nodes), parts), _meet(parts), MESSAGE)
+    found = materialize(map_batches(deal(met, parts), _candidates(num, den), _EDGE), "candidates")
 
     pairs = materialize(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     again = found.where("s IS NOT NULL").select("t", "code", "s")
     # The whole sets of all nodes of either round.
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(again.select("s")).distinct()
     keys = own.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")).select("key")
-    wanted = map_batches(keys, _wanted(ranges), MESSAGE).unionAll(map_batches(docs, _packs("doc_id", "text", ranges), MESSAGE))
-    got = materialize(map_batches(deal(wanted).sortWithinPartitions("kind"), _wanted_sets("doc_id", "text", k), "sig long, elements binary").dropDuplicates(["sig"]), "elements")
+    wanted = map_batches(keys, _wanted(parts), MESSAGE).unionAll(map_batches(docs, _packs("doc_id", "text", parts), MESSAGE))
+    got = materialize(map_batches(deal(wanted, parts).sortWithinPartitions("kind"), _wanted_sets("doc_id", "text", k), "sig long, elements binary").dropDuplicates(["sig"]), "elements")
 
     def links(pairs: DataFrame) -> DataFrame:
         both = pairs.join(got.toDF("a", "ea"), "a").join(got.toDF("b", "eb"), "b")

@@ -16,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, list_array, map_batches, text_bytes
+from .common import by_bytes, map_batches, text_bytes
 
 #: Labelled rows to fit on, at most: those of the smallest hashes of their ids.
-FIT_ROWS = 4_000
+FIT_ROWS = 2_000
 FEATURES = 1 << 14
 GRAM = 4
 #: Steps of the mean number of repeats, two for each doubling, and their weight beside the shares.
 REPEATS, REPEAT_SHARE = 24, 0.5
 EPOCHS, RATE, DECAY = 300, 0.5, 1e-5
+#: Features of fewer texts are not fitted.
+LEAST = 3
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +53,11 @@ def repeats(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds. rows: features and their shares; grades: 0 .. n_grades - 1."""
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in rows])
     column = np.concatenate([f for f, _ in rows])
-    share = np.concatenate([s for _, s in rows]) * 100
+    share = np.concatenate([s for _, s in rows]) * np.float32(100)
+    often = np.bincount(column)[column] >= LEAST
+    row, column, share = row[often], column[often], share[often]
     above = (grades[:, None] > np.arange(n_grades - 1)).astype(float)
     rate = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
     start = -np.log(rate / (1 - rate))
@@ -92,13 +96,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             f, s = [], []
             for a, b, r in zip(starts[:-1], starts[1:], repeats(value, starts), strict=True):
                 u, c = np.unique(value[a:b], return_counts=True)
-                f.append(np.append(u, r)), s.append(np.append(c / max(b - a, 1), REPEAT_SHARE))
-            at = np.concatenate([[0], np.cumsum([len(x) for x in f])])
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("grade"), list_array(pa.array(np.concatenate(f), pa.int32()), at), list_array(pa.array(np.concatenate(s), pa.float32()), at)], [doc_id, "grade", "f", "s"])
+                f.append(np.append(u, r).astype(np.int32).tobytes())
+                s.append(np.append(c / max(b - a, 1), REPEAT_SHARE).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("grade"), pa.array(f, pa.binary()), pa.array(s, pa.binary())], [doc_id, "grade", "f", "s"])
 
-    found = map_batches(docs.select(doc_id, text).join(F.broadcast(wanted), doc_id), run, f"{doc_id} {kind}, grade {own.schema['grade'].dataType.simpleString()}, f array<int>, s array<float>").collect()
-    found.sort(key=lambda r: (r[0], r.f, r.s))
-    weights, cuts = fit([(np.array(r.f, np.int64), np.array(r.s)) for r in found], np.array([grades.index(r.grade) for r in found]), len(grades))
+    found = map_batches(docs.select(doc_id, text).join(F.broadcast(wanted), doc_id), run, f"{doc_id} {kind}, grade {own.schema['grade'].dataType.simpleString()}, f binary, s binary").collect()
+    found.sort(key=lambda r: (r[0], bytes(r.f), bytes(r.s)))
+    weights, cuts = fit([(np.frombuffer(r.f, np.int32), np.frombuffer(r.s, np.float32)) for r in found], np.array([grades.index(r.grade) for r in found]), len(grades))
     return {"grades": grades, "weights": weights, "cuts": cuts}
 
 

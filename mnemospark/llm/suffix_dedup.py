@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, map_batches, mix64, ragged, sliding_min, text_bytes, window_hashes, word_hashes
+from .common import by_bytes, deal, map_batches, mix64, ragged, sliding_min, text_bytes, window_hashes, word_hashes
 
 LENGTH, TRIGGER = 50, 16
 #: Windows in a phrase, at most; longer runs of one trigger (periodic text) are several phrases.
@@ -417,12 +417,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = [c for c in columns if c != text]
     docs = docs.select(*columns)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 2 * parts
     own = docs.select(doc_id, text)
-    deal = lambda df: df.repartition(parts, "key").sortWithinPartitions("kind")
-    shared = map_batches(map_batches(own, _triggers(doc_id, text, ranges), MESSAGE).repartition(parts, "key"), _shared(ranges), MESSAGE)
-    found = map_batches(deal(shared.unionAll(map_batches(own, _packs(doc_id, text, ranges), MESSAGE))), _dictionary(doc_id, text, ranges), MESSAGE)
-    marks = map_batches(found.repartition(parts, "key"), _marks(ranges), MESSAGE)
+    sort = lambda df: deal(df, parts).sortWithinPartitions("kind")
+    shared = map_batches(deal(map_batches(own, _triggers(doc_id, text, parts), MESSAGE), parts), _shared(parts), MESSAGE)
+    found = map_batches(sort(shared.unionAll(map_batches(own, _packs(doc_id, text, parts), MESSAGE))), _dictionary(doc_id, text, parts), MESSAGE)
+    marks = map_batches(deal(found, parts), _marks(parts), MESSAGE)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept string"] if with_text else [])])
-    return map_batches(deal(marks.unionAll(map_batches(docs, _packs(doc_id, text, ranges), MESSAGE))), _removal(doc_id, text, keep, with_text), schema)
+    return map_batches(sort(marks.unionAll(map_batches(docs, _packs(doc_id, text, parts), MESSAGE))), _removal(doc_id, text, keep, with_text), schema)

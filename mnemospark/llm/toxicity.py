@@ -25,7 +25,7 @@ from .common import map_batches
 FIT_ROWS = 4_000
 FEATURES = 1 << 18
 BEGINNINGS = (3, 4, 5)
-EPOCHS, RATE, DECAY = 300, 0.1, 3e-6
+EPOCHS, RATE, DECAY = 300, 0.1, 1e-5
 #: A beginning or word that is in fewer positives is not used.
 LEAST = 3
 
@@ -47,17 +47,16 @@ def features(text: str | None) -> set[int]:
     return {f for w in set(_WORD.findall((text or "").lower())) for f in _of_word(w)}
 
 
-def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float) -> tuple[np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """Weights and intercept by full-batch steps on the non-negative risk with the logistic loss."""
-    df = np.bincount(np.concatenate([np.array(p, np.int64) for p in positive]), minlength=FEATURES)
-    seen = np.bincount(np.concatenate([np.array(u, np.int64) for u in unlabelled]), minlength=FEATURES)
+    df = np.bincount(np.concatenate(positive), minlength=FEATURES)
+    seen = np.bincount(np.concatenate(unlabelled), minlength=FEATURES)
     # A feature that more unlabelled texts have than there are toxic ones is no sign of these.
     used = np.flatnonzero((df >= LEAST) & (seen <= prior * len(unlabelled)))
     index = np.full(FEATURES, -1)
     index[used] = np.arange(len(used))
     rows = positive + unlabelled
-    columns = [index[np.array(r, np.int64)] if r else np.zeros(0, np.int64) for r in rows]
-    columns = [c[c >= 0] for c in columns]
+    columns = [c[c >= 0] for c in (index[r] for r in rows)]
     row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
     column = np.concatenate(columns)
     # How far positives have a feature more often than unlabelled text; the rest says little.
@@ -89,14 +88,14 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float) ->
     return out, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = FIT_ROWS) -> tuple[np.ndarray, float] | None:
-    """A model from at most ``rows`` positives and ``rows`` others of the given rows; None without positives."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = FIT_ROWS) -> tuple[np.ndarray, float] | None:
+    """A model from at most ``most`` positives and ``most`` others of the given rows; None without positives."""
     own = labels.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(toxic).alias("toxic"))
     mixed = docs.select(doc_id, text).where(F.col(doc_id).isNotNull()).join(own, doc_id, "left").select(doc_id, text, (F.coalesce("toxic", F.lit(0)) == 1).alias("p"))
     order = F.xxhash64(doc_id)
     keys = docs.select(doc_id).where(F.col(doc_id).isNotNull()).join(own, doc_id, "left")
-    # Ids first, texts of the chosen ids after; both lists are bounded by `rows`.
-    chosen = [[r[0] for r in keys.where((F.coalesce("toxic", F.lit(0)) == 1) == p).orderBy(order, doc_id).limit(rows).select(doc_id).collect()] for p in (True, False)]
+    # Ids first, texts of the chosen ids after; both lists are bounded by `most`.
+    chosen = [[r[0] for r in keys.where((F.coalesce("toxic", F.lit(0)) == 1) == p).orderBy(order, doc_id).limit(most).select(doc_id).collect()] for p in (True, False)]
     if not chosen[0] or not chosen[1]:
         return None
     rate = own.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
@@ -104,12 +103,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            values = [sorted(features(t)) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("p"), pa.array(values, pa.list_(pa.int32()))], [doc_id, "p", "f"])
+            values = [np.array(sorted(features(t)), np.int32).tobytes() for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("p"), pa.array(values, pa.binary())], [doc_id, "p", "f"])
 
-    found = map_batches(mixed.join(F.broadcast(wanted), doc_id, "left_semi"), run, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, p boolean, f array<int>").collect()
-    found.sort(key=lambda r: (r[0], r.f))
-    return fit([r.f for r in found if r.p], [r.f for r in found if not r.p], min(max(rate, 0.01), 0.5))
+    found = map_batches(mixed.join(F.broadcast(wanted), doc_id, "left_semi"), run, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, p boolean, f binary").collect()
+    found.sort(key=lambda r: (r[0], bytes(r.f)))
+    rows = lambda p: [np.frombuffer(r.f, np.int32) for r in found if r.p == p]
+    return fit(rows(True), rows(False), min(max(rate, 0.01), 0.5))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "text") -> DataFrame:
