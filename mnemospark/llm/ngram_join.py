@@ -32,6 +32,7 @@ LOW, HOT = 8, 48
 HOT_MOST = 1 << 20
 #: Groups of up to SMALL nodes are worked on many at once; larger ones are cut into blocks of BLOCK nodes.
 SMALL, BLOCK = 24, 1536
+#: Bits of the bitmaps that candidates are first compared by; the second round has longer ones for larger sets.
 BITS = 512
 #: Seeds of the further orders.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
@@ -84,12 +85,16 @@ def prefixes(values: np.ndarray, starts: np.ndarray, hot: np.ndarray, num: int,
     return np.where(late, later < (want - n_early)[row], early < want[row])
 
 
-def bitmaps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each row BITS bits: the parity of the elements that fall on each."""
-    n = len(starts) - 1
-    row = np.repeat(np.arange(n, dtype=np.int64), np.diff(starts))
-    odd = np.bincount(row * BITS + ((values >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64), minlength=n * BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, BITS), axis=1)
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """The parity of the elements that fall on each bit; twice to four times as many bits as elements, BITS at least."""
+    bits = max(BITS, 1 << (2 * len(values) - 1).bit_length())
+    at = ((values >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(words: np.ndarray, n: int) -> np.ndarray:
+    """The bitmap of n words for the same elements, of one with more words along the last axis."""
+    return np.bitwise_xor.reduce(words.reshape(*words.shape[:-1], -1, n), axis=-2)
 
 
 def _sigs(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -153,19 +158,18 @@ def _table(doc_id: str, text: str, k: int, num: int, den: int, hot):
             n = np.diff(starts)
             sig, key = _sigs(values, starts), row_keys(batch.column(doc_id), batch.column(text)).view(np.int64)
             chosen = prefixes(values, starts, hot.value, num, den)
-            bits = bitmaps(values, starts)
-            prefix, bitmap = [], []
+            prefix, bits = [], []
             for i, s in enumerate(sig.tolist()):
                 if n[i] == 0 or s in seen:  # once in a task is enough
-                    prefix.append(None), bitmap.append(None)
+                    prefix.append(None), bits.append(None)
                     continue
                 seen.add(s)
                 a, b = starts[i], starts[i + 1]
                 prefix.append(values[a:b][chosen[a:b]].tobytes())
-                bitmap.append(bits[i].tobytes())
+                bits.append(bitmap(values[a:b]).tobytes())
             if len(seen) > 500_000:
                 seen = set()
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(key), pa.array(sig), pa.array(n), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary())], ["doc_id", "key", "sig", "n", "prefix", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(key), pa.array(sig), pa.array(n), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "key", "sig", "n", "prefix", "bitmap"])
 
     return run
 
@@ -226,7 +230,7 @@ def _nodes(parts: int):
             for batch in batches:
                 if batch.num_rows:
                     s = batch.column("sig").to_numpy()
-                    yield from _by_key((s.view(np.uint64) % np.uint64(parts)).astype(np.int64), {"s": s, "n": batch.column("n").to_numpy(), "m": batch.column("bitmap")}, 1)
+                    yield from _by_key((s.view(np.uint64) % np.uint64(parts)).astype(np.int64), {"s": s, "n": batch.column("n").to_numpy(), "m": pa.array([fold(np.frombuffer(x, np.uint64), BITS // 64).tobytes() for x in batch.column("bitmap").to_pylist()], pa.binary())}, 1)
 
         yield from _send(rows())
 
@@ -293,7 +297,7 @@ def _large(n: np.ndarray, m: np.ndarray, side: np.ndarray, num: int, den: int, c
         if comp is not None:
             p, q = np.nonzero(ok & (comp[i][:, None] != comp[b][None, :]))
         else:
-            differ[~ok] = BITS + 1
+            differ[~ok] = 64 * m.shape[1] + 1
             q = differ.argmin(1)
             p = np.flatnonzero(ok.any(1))
             q = q[p]
@@ -393,10 +397,22 @@ def _second(num: int, den: int):
             if (comp == comp[0]).all():
                 continue
             code, s, n = (_joined(held, c) for c in ("code", "s", "n"))
-            m = np.frombuffer(b"".join(x for h in held for x in h.column("m").to_pylist()), np.uint64).reshape(len(s), -1)
-            a, b, _ = _large(n, m, code & 1 if _two(code) else np.zeros(len(s), np.int64), num, den, comp)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[a], s[b])), pa.array(np.maximum(s[a], s[b]))], ["a", "b"])
+            maps = [np.frombuffer(x, np.uint64) for h in held for x in h.column("m").to_pylist()]
+            words = np.array([len(m) for m in maps])
+            blocks = code & 1 if _two(code) else None
+            for w in np.unique(words):
+                # Sizes that can link differ by less than a half, so their bitmaps by a factor of two at most.
+                same, twice = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+                sets_ = [(same, np.zeros(len(same), np.int64) if blocks is None else blocks[same])]
+                if len(twice):
+                    both = np.concatenate([same, twice])
+                    sets_.append((both, (words[both] != w).astype(np.int64)))
+                for own, side in sets_:
+                    m = np.stack([fold(maps[x], w) for x in own])
+                    a, b, _ = _large(n[own], m, side, num, den, comp[own])
+                    a, b = s[own[a]], s[own[b]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
