@@ -85,7 +85,7 @@ class Coder:
         import duckdb
 
         self.ranks, self.cache = ranks, {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for i in range(1, len(token)):
@@ -126,15 +126,15 @@ class Coder:
         for piece in pieces:
             raw = piece.encode()
             if (one := self.ranks.get(raw)) is not None:
-                self.cache[piece] = np.array([one], np.int32)
+                self.cache[piece] = one.to_bytes(4, "little")
             else:
                 (short if len(raw) <= LONG_PIECE else long).append((piece, raw))
-        for at in range(0, len(short), 50_000):
-            part = short[at : at + 50_000]
+        for at in range(0, len(short), 15_000):
+            part = short[at : at + 15_000]
             for (piece, _), ids in zip(part, self.contract([raw for _, raw in part]), strict=True):
-                self.cache[piece] = ids.astype(np.int32)
+                self.cache[piece] = ids.astype("<i4").tobytes()
         for piece, raw in long:
-            self.cache[piece] = self.contract_long(raw).astype(np.int32)
+            self.cache[piece] = self.contract_long(raw).astype("<i4").tobytes()
 
     def encode(self, texts: list[str | None], pattern: str) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (one more entry at the end)."""
@@ -146,10 +146,9 @@ class Coder:
             self.learn(new)
         cache, starts, found = self.cache, [0], []
         for pieces in cut:
-            ids = np.concatenate([cache[p] for p in pieces]) if pieces else np.zeros(0, np.int32)
-            found.append(ids)
-            starts.append(starts[-1] + len(ids))
-        return np.concatenate(found) if found else np.zeros(0, np.int32), np.array(starts)
+            found.append(b"".join([cache[p] for p in pieces]))
+            starts.append(starts[-1] + len(found[-1]) // 4)
+        return np.frombuffer(b"".join(found), "<i4"), np.array(starts)
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
         lengths = np.diff(starts)
@@ -178,7 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
     def run(batches):
         own = coder(path, ranks)
-        for batch in (part for whole in batches for part in by_bytes(whole, text, 24_000_000)):
+        for batch in (part for whole in batches for part in by_bytes(whole, text, 4_000_000)):
             ids, starts = own.encode(batch.column(text).to_pylist(), pattern)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), list_array(pa.array(ids, pa.int32()), starts)], [*keep, "ids"])
 
@@ -193,7 +192,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches):
         own = coder(path, ranks)
-        for batch in (part for whole in batches for part in by_bytes(whole, ids, 2_000_000)):
+        for batch in (part for whole in batches for part in by_bytes(whole, ids, 500_000)):
             column = batch.column(ids).fill_null([])
             starts = np.concatenate([[0], np.cumsum(np.array(pa.compute.list_value_length(column)))])
             out = own.decode(np.array(column.flatten(), np.int32), starts)

@@ -36,7 +36,7 @@ SMALL, BLOCK = 24, 1536
 BITS = 512
 #: Seeds of the further orders.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -167,7 +167,7 @@ def _table(doc_id: str, text: str, k: int, num: int, den: int, hot):
                 a, b = starts[i], starts[i + 1]
                 prefix.append(values[a:b][chosen[a:b]].tobytes())
                 bits.append(bitmap(values[a:b]).tobytes())
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen = set()
             yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(key), pa.array(sig), pa.array(n), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "key", "sig", "n", "prefix", "bitmap"])
 
