@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from .common import by_bytes, list_array, map_batches, ragged
 
 #: Pieces that a Python worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 #: Longer pieces are contracted one statement at a time, so that only their current state is held.
 LONG_PIECE = 400
+#: Ids that are decoded at once, but for longer single texts.
+DECODE_IDS = 250_000
 
 # The code points of White_Space.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -85,7 +87,7 @@ class Coder:
         import duckdb
 
         self.ranks, self.cache = ranks, {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "120MB"})
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for i in range(1, len(token)):
@@ -151,6 +153,15 @@ class Coder:
         return np.frombuffer(b"".join(found), "<i4"), np.array(starts)
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """The bytes of each row's ids, some rows at a time."""
+        out, a = [], 0
+        while a < len(starts) - 1:
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + DECODE_IDS, "right")) - 1)
+            out += self._decode(ids[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+            a = b
+        return out
+
+    def _decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
         lengths = np.diff(starts)
         n = len(lengths)
         self.con.register("ids", pa.table({"doc": np.repeat(np.arange(n, dtype=np.int32), lengths), "pos": ragged(np.zeros(n, np.int64), lengths).astype(np.int32), "id": ids}))
@@ -170,18 +181,24 @@ def coder(key: str, ranks) -> Coder:
     return _CODERS[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ``ids array<int>``: the ids of each text, as many as the whole text has."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", back: bool = False) -> DataFrame:
+    """Replaces the text by ``ids array<int>``, as many as the whole text has.
+
+    back: also decodes the ids again, to ``decoded binary``, in the same pass.
+    """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # bounded by the vocabulary
-    keep = [c for c in docs.columns if c not in ("ids", text)]
+    keep = [c for c in docs.columns if c not in ("ids", text, *(["decoded"] if back else []))]
 
     def run(batches):
         own = coder(path, ranks)
-        for batch in (part for whole in batches for part in by_bytes(whole, text, 4_000_000)):
+        for batch in (part for whole in batches for part in by_bytes(whole, text, 3_000_000)):
             ids, starts = own.encode(batch.column(text).to_pylist(), pattern)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), list_array(pa.array(ids, pa.int32()), starts)], [*keep, "ids"])
+            more = {"ids": list_array(pa.array(ids, pa.int32()), starts)}
+            if back:
+                more["decoded"] = pa.array(own.decode(ids, starts), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more.values()], [*keep, *more])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "ids array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "ids array<int>", *(["decoded binary"] if back else [])])
     return map_batches(docs.select(*(f"`{c}`" for c in keep), f"`{text}`"), run, schema)
 
 
@@ -192,7 +209,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches):
         own = coder(path, ranks)
-        for batch in (part for whole in batches for part in by_bytes(whole, ids, 500_000)):
+        for batch in (part for whole in batches for part in by_bytes(whole, ids, 250_000)):
             column = batch.column(ids).fill_null([])
             starts = np.concatenate([[0], np.cumsum(np.array(pa.compute.list_value_length(column)))])
             out = own.decode(np.array(column.flatten(), np.int32), starts)

@@ -27,7 +27,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     path, pattern = tokenizer()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, pattern), path)
+    coded = bpe.encode(docs.select("doc_id", "text"), path, pattern, back=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
