@@ -420,6 +420,22 @@ def _second(num: int, den: int):
 # ---- verification --------------------------------------------------------------------------------
 
 
+def _close(num: int, den: int):
+    """Pairs that their full bitmaps, folded to one size, leave possible."""
+
+    def run(batches):
+        for batch in batches:
+            n1, n2 = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            differ = []
+            for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                w = min(len(a), len(b))
+                differ.append(int(np.bitwise_count(fold(a, w) ^ fold(b, w)).sum()))
+            yield batch.select(["a", "b"]).filter(pa.array(_passes(n1, n2, np.array(differ, np.int64), num, den)))
+
+    return run
+
+
 def _wanted(parts: int):
     def run(batches):
         def rows():
@@ -437,6 +453,7 @@ def _wanted_sets(doc_id: str, text: str, k: int):
     def run(batches):
         asked: list = []
         ready = None
+        seen: set[int] = set()
         for batch in batches:
             for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if kind == 0:
@@ -450,7 +467,9 @@ def _wanted_sets(doc_id: str, text: str, k: int):
                     whole = whole.filter(pa.array(ready[np.minimum(np.searchsorted(ready, keys), len(ready) - 1)] == keys))
                     for part in by_bytes(whole, text):
                         values, starts = sets(part.column(text), k)
-                        yield pa.RecordBatch.from_arrays([pa.array(_sigs(values, starts)), pa.array([values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["sig", "elements"])
+                        # Rows alike in id and text come to one partition; one of them is enough.
+                        once = [(s, values[a:b].tobytes()) for s, a, b in zip(_sigs(values, starts).tolist(), starts[:-1], starts[1:], strict=True) if not (s in seen or seen.add(s))]
+                        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in once], pa.int64()), pa.array([e for _, e in once], pa.binary())], ["sig", "elements"])
 
     return run
 
@@ -510,15 +529,19 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = map_batches(deal(groups.unionAll(nodes), parts), _meet(parts), MESSAGE)
     found = materialize(map_batches(deal(met, parts), _candidates(num, den), _EDGE), "candidates")
 
-    pairs = materialize(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
     again = found.where("s IS NOT NULL").select("t", "code", "s")
-    # The whole sets of all nodes of either round.
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(again.select("s")).distinct()
-    keys = own.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")).select("key")
-    wanted = map_batches(keys, _wanted(parts), MESSAGE).unionAll(map_batches(docs, _packs("doc_id", "text", parts), MESSAGE))
-    got = materialize(map_batches(deal(wanted, parts).sortWithinPartitions("kind"), _wanted_sets("doc_id", "text", k), "sig long, elements binary").dropDuplicates(["sig"]), "elements")
+    bits = materialize(own.select("sig", "n", "bitmap").dropDuplicates(["sig"]), "bitmaps")
+    # Before whole sets are fetched, pairs are held against the full bitmaps.
+    both = pairs.join(bits.toDF("a", "na", "ma"), "a").join(bits.toDF("b", "nb", "mb"), "b")
+    pairs = map_batches(both, _close(num, den), "a long, b long")
 
     def links(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        keys = own.select("sig", "key").join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")).select("key")
+        wanted = map_batches(keys, _wanted(parts), MESSAGE).unionAll(map_batches(docs, _packs("doc_id", "text", parts), MESSAGE))
+        got = materialize(map_batches(deal(wanted, parts).sortWithinPartitions("kind"), _wanted_sets("doc_id", "text", k), "sig long, elements binary"), "elements")
         both = pairs.join(got.toDF("a", "ea"), "a").join(got.toDF("b", "eb"), "b")
         return materialize(map_batches(both, _verified(num, den), "a long, b long"), "links")
 
@@ -528,10 +551,9 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed = placed.groupBy("t", "g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("t", "g")
     placed = materialize(placed.join(mixed, ["t", "g"], "left_semi"), "again")
     if not placed.isEmpty():
-        bits = own.select("sig", "n", "bitmap").dropDuplicates(["sig"])
         placed = placed.join(bits, F.col("s") == F.col("sig")).select("t", "code", "s", "n", F.col("bitmap").alias("m"), "c")
         placed = placed.repartition(parts, "t", F.shiftright("code", 1)).sortWithinPartitions("t", "code")
-        more = links(materialize(map_batches(placed, _second(num, den), "a long, b long").distinct(), "pairs"))
+        more = links(map_batches(placed, _second(num, den), "a long, b long").distinct())
         roots = components(first.unionAll(more))
     labelled = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(roots, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sig").alias("label"))
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "l")
