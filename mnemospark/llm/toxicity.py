@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "
                         found = weight(word)
                     if found:
                         hits.update(found)
-                out.append(float(1 / (1 + np.exp(-np.clip(w[sorted(hits)].sum(dtype=np.float64) + bias, -700, 700)))))
+                out.append(0.0 if bias == -np.inf else float(1 / (1 + np.exp(-np.clip(w[sorted(hits)].sum(dtype=np.float64) + bias, -700, 700)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.float64())], [*keep, "score"])
 
     return map_batches(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "score double"]))
