@@ -91,7 +91,6 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = FIT_ROWS) -> tuple[np.ndarray, float] | None:
     """A model from at most ``most`` positives and ``most`` others of the given rows; None without positives."""
     own = labels.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(toxic).alias("toxic"))
-    mixed = docs.select(doc_id, text).where(F.col(doc_id).isNotNull()).join(own, doc_id, "left").select(doc_id, text, (F.coalesce("toxic", F.lit(0)) == 1).alias("p"))
     order = F.xxhash64(doc_id)
     keys = docs.select(doc_id).where(F.col(doc_id).isNotNull()).join(own, doc_id, "left")
     # Ids first, texts of the chosen ids after; both lists are bounded by `most`.
@@ -99,14 +98,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not chosen[0] or not chosen[1]:
         return None
     rate = own.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in {*chosen[0], *chosen[1]}], f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}")
+    # Whether a text is a positive hangs on its id alone, so only the bounded list of chosen ids meets the texts.
+    kind = docs.schema[doc_id].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([(i, p) for p, ids in zip((True, False), chosen, strict=True) for i in sorted(set(ids))], f"{doc_id} {kind}, p boolean")
 
     def run(batches):
         for batch in batches:
             values = [np.array(sorted(features(t)), np.int32).tobytes() for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("p"), pa.array(values, pa.binary())], [doc_id, "p", "f"])
 
-    found = map_batches(mixed.join(F.broadcast(wanted), doc_id, "left_semi"), run, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, p boolean, f binary").collect()
+    found = map_batches(docs.select(doc_id, text).join(F.broadcast(wanted), doc_id), run, f"{doc_id} {kind}, p boolean, f binary").collect()
     found.sort(key=lambda r: (r[0], bytes(r.f)))
     rows = lambda p: [np.frombuffer(r.f, np.int32) for r in found if r.p == p]
     return fit(rows(True), rows(False), min(max(rate, 0.01), 0.5))
