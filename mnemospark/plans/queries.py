@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.operators import archive, observations, search
+from mnemospark.functions import text
+from mnemospark.operators import archive, integrity, observations, search
+from mnemospark.session import ship
+from mnemospark.streaming import feeds
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +66,56 @@ _KNN = """near AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_simi
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near)"""
 
 
+_CUT = "CASE WHEN {s} + 1500 >= length(text) THEN length(text) WHEN contains(substring(text, {s} + 751, 750), chr(10) || chr(10)) THEN {s} + 1501 - instr(reverse(substring(text, {s} + 751, 750)), chr(10) || chr(10)) ELSE {s} + 1500 END"
+_REDACTED = "text"
+for _provider, _pattern in text.SECRETS:
+    # RE2 has no look-behind: the character before a key is matched and put back.
+    _plain = _pattern.replace(text._START, r"(^|[^\pL\pN_])").replace(text._END, r"($|[^\pL\pN_])")
+    _back = (r"\1" if text._START in _pattern else "") + f"[REDACTED:{_provider}]" + (r"\2" if text._END in _pattern else "")
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_plain}', '{_back}', 'g')"
+
+
 def _links(spark, d) -> DataFrame:
     return archive.linked_pairs(_read(spark, d, "pages").select(F.col("page_id").alias("item"), F.lit("url").alias("via"), F.regexp_replace(archive.url_key(F.col("url")), r"/[^/]*$", "").alias("key")))
 
 
+def q_chunks(spark, d):
+    ship(spark)
+    return text.chunks(_read(spark, d, "documents"), "text", ["doc_id"]).select("doc_id", "idx", "start_offset", "end_offset", F.md5("chunk").alias("chunk_md5"))
+
+
+def q_redact(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.md5(text.redact(F.col("text"))).alias("redacted_md5"))
+
+
+def q_orphans(spark, d):
+    def relation(child, parent, key, parent_key):
+        return integrity.orphan_counts(f"{child}-{parent}", _read(spark, d, child), _read(spark, d, parent), key, parent_key)
+
+    return relation("labels", "documents", "doc_id", "doc_id").unionAll(relation("documents", "labels", "doc_id", "doc_id")).unionAll(relation("customer", "orders", "c_custkey", "o_custkey"))
+
+
+def q_violations(spark, d):
+    return integrity.observation_violations(_observations(spark, d), ["metric", "observed", "source"])
+
+
+def q_turns(spark, d):
+    return integrity.turn_structure(_messages(spark, d))
+
+
+def q_recent(spark, d):
+    e = _read(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    rows = e.join(F.broadcast(now)).select(F.col("event_type").alias("section"), "event_id", "ts", "now")
+    return integrity.recent_by_section(rows, "section", "ts", "event_id", F.col("now"), 7, 20).select("section", "event_id", "place")
+
+
+def q_stream_daily(spark, d):
+    e = _read(spark, d, "events").schema
+    feed = feeds.landed(spark, f"{d}/events.parque[t]", e).select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return feeds.drain(feeds.daily(feed, "event_type", "ts", "value"), "daily", "update", ["event_type", "day"])
+
+
 def q_daily(spark, d):
     return observations.summary(_observations(spark, d), observations.DAY)
 
@@ -230,6 +279,13 @@ REGISTERED: dict[str, tuple] = {
     "k3_short_terms": (q_short, "SELECT 1 AS query_id, conv_id * 1000 + turn AS unit_id FROM conversations WHERE contains(lower(text), 'th') AND contains(lower(text), 'er') UNION ALL SELECT 2, conv_id * 1000 + turn FROM conversations WHERE contains(lower(text), 'q')"),
     "v1_nearest": (q_nearest, f"WITH {_KNN} SELECT query_id, vec_id, score, rank FROM top WHERE rank <= 10"),
     "k9_rank_fusion": (q_fusion, f"WITH {_KNN}, fifth AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r2 FROM near WHERE label < 5), l AS (SELECT query_id, vec_id AS item, rank, 0 AS list FROM top WHERE rank <= 20 UNION ALL SELECT query_id, vec_id, r2, 1 FROM fifth WHERE r2 <= 20) SELECT query_id, item, round(sum(1 / (60 + rank)), 8) AS score, count(*) AS lists, min(list) AS first_list FROM l GROUP BY ALL"),
+    "f5_chunks": (q_chunks, f"WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS idx, 0 AS s, {_CUT.format(s='0')} AS e FROM documents WHERE regexp_matches(text, '\\S') UNION ALL SELECT doc_id, text, idx + 1, e - 200, {_CUT.format(s='(e - 200)')} FROM c WHERE e < length(text)) SELECT doc_id, idx, s AS start_offset, e AS end_offset, md5(substring(text, s + 1, e - s)) AS chunk_md5 FROM c"),
+    "f1_redact": (q_redact, f"SELECT doc_id, md5({_REDACTED}) AS redacted_md5 FROM documents"),
+    "q1_orphans": (q_orphans, "SELECT 'labels-documents' AS relation, count(*) AS n_orphans, count(DISTINCT doc_id) AS n_keys FROM labels ANTI JOIN documents USING (doc_id) UNION ALL SELECT 'documents-labels', count(*), count(DISTINCT doc_id) FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT 'customer-orders', count(*), count(DISTINCT c_custkey) FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
+    "q8_observation_rules": (q_violations, f"WITH {_OBS}, k AS (SELECT metric, count(*) AS n, count(*) - count(value) AS nv, count(*) - count(observed) AS nt FROM obs GROUP BY metric, observed, source) SELECT metric, sum(n)::BIGINT AS n_rows, sum(nv)::BIGINT AS n_no_value, sum(nt)::BIGINT AS n_no_time, sum(n - 1)::BIGINT AS n_repeated FROM k GROUP BY metric"),
+    "q3_turn_structure": (q_turns, "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (step <> 1) AS n_jumps, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_blank FROM (SELECT *, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations) GROUP BY conv_id"),
+    "r2_weekly_activity": (q_recent, "SELECT event_type AS section, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id)::INTEGER AS place FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY QUALIFY place <= 20"),
+    "z6_stream_daily": (q_stream_daily, "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY ALL"),
     "w6_diversity": (q_diverse, f"WITH {_KNN}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) > 5 AS overflow FROM top WHERE rank <= 30), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overflow, rank) AS place FROM c) SELECT query_id, vec_id, label AS source, place FROM p WHERE place <= 10"),
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,15 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = tempfile.mkdtemp(prefix="mnemospark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench."""
     spark = (
