@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, list_array, map_batches, ragged
+from .common import by_bytes, gathered, list_array, map_batches, ragged
 
 #: Pieces that a Python worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 300_000
+#: Text that is encoded at once, but for longer single texts: fewer queries, and their fixed cost weighs less.
+BATCH_BYTES = 3_000_000
 #: Longer pieces are contracted one statement at a time, so that only their current state is held.
 LONG_PIECE = 400
 #: Ids that are decoded at once, but for longer single texts.
@@ -191,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", back: b
 
     def run(batches):
         own = coder(path, ranks)
-        for batch in (part for whole in batches for part in by_bytes(whole, text, 3_000_000)):
+        for batch in gathered(batches, text, BATCH_BYTES):
             ids, starts = own.encode(batch.column(text).to_pylist(), pattern)
             more = {"ids": list_array(pa.array(ids, pa.int32()), starts)}
             if back:

@@ -183,6 +183,24 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Itera
         at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, anew in batches of about so many bytes of the column at most."""
+    held, size = [], 0
+    for batch in (part for whole in batches for part in by_bytes(whole, column, most)):
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + own > most:
+            yield joined(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each stretch, one after the other."""
     total = int(lengths.sum())
