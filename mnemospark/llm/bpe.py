@@ -25,7 +25,7 @@ from .common import by_bytes, gathered, list_array, map_batches, ragged
 #: Pieces that a Python worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 300_000
 #: Text that is encoded at once, but for longer single texts: fewer queries, and their fixed cost weighs less.
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 #: Longer pieces are contracted one statement at a time, so that only their current state is held.
 LONG_PIECE = 400
 #: Ids that are decoded at once, but for longer single texts.
