@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text
-from mnemospark.operators import archive, integrity, observations, search
+from mnemospark.operators import archive, integrity, maintenance, observations, reports, search
 from mnemospark.session import ship
 from mnemospark.streaming import feeds
 
@@ -116,6 +116,90 @@ def q_stream_daily(spark, d):
     return feeds.drain(feeds.daily(feed, "event_type", "ts", "value"), "daily", "update", ["event_type", "day"])
 
 
+def _segments(spark, d) -> DataFrame:
+    """Every thread in segments of three turns; of some threads segments of four, which overlap."""
+    start = (F.col("turn") - F.col("turn") % 3).alias("start_turn")
+    return _messages(spark, d).select("conv_id", start).distinct().withColumn("end_turn", F.col("start_turn") + F.when(F.col("conv_id") % 5 == 0, 3).otherwise(2))
+
+
+def q_segments(spark, d):
+    return archive.in_segments(_messages(spark, d), _segments(spark, d)).groupBy("conv_id", "start_turn").agg(F.count("*").alias("n_turns"))
+
+
+def q_segment_faults(spark, d):
+    return reports.segment_faults(_segments(spark, d), _messages(spark, d))
+
+
+def q_relinked(spark, d):
+    return maintenance.relinked(_segments(spark, d), _messages(spark, d))
+
+
+def q_pending(spark, d):
+    threads = _messages(spark, d).select("conv_id").distinct()
+    return maintenance.pending(threads, threads.where("conv_id % 3 = 0"), "conv_id")
+
+
+def q_regenerated(spark, d):
+    stored = _read(spark, d, "labels").select("doc_id", F.lit("old").alias("state"), "quality")
+    fresh = _read(spark, d, "documents").select("doc_id", F.lit("new").alias("state"), F.lit(0).alias("quality"))
+    return maintenance.regenerated(stored, fresh, "doc_id", F.col("quality") == 1).select("doc_id", "state")
+
+
+def q_run_counts(spark, d):
+    return maintenance.run_counts(q_changes(spark, d).join(_read(spark, d, "documents").select("doc_id", "source"), "doc_id"), "source")
+
+
+def q_stale(spark, d):
+    e = _read(spark, d, "events")
+    seen = e.where("user_id % 10 > 0 OR day(ts) < 10").where("user_id % 7 > 0").select("user_id", "ts")
+    return maintenance.stale(e, seen, "user_id", "ts", F.lit("2024-02-05").cast("date"), 25)
+
+
+def q_dominant(spark, d):
+    return maintenance.dominant(_read(spark, d, "documents"), "lang", "source")
+
+
+def q_table_counts(spark, d):
+    return maintenance.table_counts({t: _read(spark, d, t) for t in _COUNTED})
+
+
+_COUNTED = ["documents", "embeddings", "pages", "labels", "conversations", "events"]
+_ASKED_METRICS = ["click", "view", "purchase"]
+
+
+def _history(spark, d) -> DataFrame:
+    return reports.history(_observations(spark, d), _ASKED_METRICS, "2024-01-05", "2024-01-25", [F.desc("observed"), "metric", "event_id"])
+
+
+def q_history(spark, d):
+    return _history(spark, d).select("metric", "observed", "value", "event_id")
+
+
+def q_snapshot(spark, d):
+    return reports.snapshot(_history(spark, d), "event_id", [F.desc("observed"), F.col("metric"), F.col("event_id")])
+
+
+def q_admissible(spark, d):
+    lines = _read(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
+    return reports.admissible(lines, _read(spark, d, "part").where("p_size <= 30"), "l_orderkey", "p_partkey")
+
+
+def q_title_queries(spark, d):
+    first = _messages(spark, d).where("turn = 0").select("conv_id", F.left("text", F.lit(40)).alias("title"))
+    return reports.title_queries(first, "conv_id")
+
+
+def q_snippets(spark, d):
+    m = _messages(spark, d)
+    return m.select("conv_id", "turn", reports.snippet(F.col("text"), F.lit("tion")).alias("snippet")).where("snippet IS NOT NULL")
+
+
+def q_claims(spark, d):
+    m = _messages(spark, d)
+    claims = m.select("conv_id", "turn", F.col("role").alias("actor"), F.lit("claim").alias("kind"), F.lit("accepted").alias("status"), (F.col("conv_id") / 50).alias("confidence"), "text", F.array("turn", F.col("turn") + F.col("conv_id") % 4).alias("turns"), F.lit(0).alias("start_turn"), F.lit(6).alias("end_turn"))
+    return reports.claim_faults(claims).select("conv_id", "turn", F.array_join("faults", ",").alias("faults"))
+
+
 def q_daily(spark, d):
     return observations.summary(_observations(spark, d), observations.DAY)
 
@@ -246,6 +330,8 @@ _EDGES = r"""keyed AS (SELECT page_id AS item, regexp_replace('https://' || rege
   (CASE WHEN len(p) > 0 THEN '?' || array_to_string(p, '&') ELSE '' END), '/[^/]*$', '') AS key FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|ref|fbclid|gclid|source)$'))) AS p FROM pages WHERE regexp_matches(url, '^https?://'))),
 good AS (SELECT key FROM keyed GROUP BY key HAVING count(*) BETWEEN 2 AND 30),
 edges AS (SELECT DISTINCT x.item AS a, y.item AS b, 'url' AS via FROM keyed x JOIN keyed y USING (key) JOIN good USING (key) WHERE x.item < y.item)"""
+_SEGMENTS = "segments AS (SELECT DISTINCT conv_id, turn - turn % 3 AS start_turn, turn - turn % 3 + CASE WHEN conv_id % 5 = 0 THEN 3 ELSE 2 END AS end_turn FROM conversations)"
+_HISTORY = "history AS (SELECT * FROM obs WHERE metric IN ('click', 'view', 'purchase') AND observed BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' ORDER BY observed DESC, metric, event_id LIMIT 300)"
 _TOP = "SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY metric ORDER BY observed DESC, event_id DESC) <= "
 _HEADS = "heads AS (SELECT * FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM ledger o WHERE o.supersedes = l.event_id))"
 _SIDES = ", ".join(f"count(value) FILTER (side = '{s}') AS n_{s}, min(value) FILTER (side = '{s}') AS min_{s}, max(value) FILTER (side = '{s}') AS max_{s}, floor(avg(value) FILTER (side = '{s}') * 10000 + 0.5) / 10000 AS mean_{s}" for s in ("before", "after"))
@@ -286,6 +372,20 @@ REGISTERED: dict[str, tuple] = {
     "q3_turn_structure": (q_turns, "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (step <> 1) AS n_jumps, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_blank FROM (SELECT *, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations) GROUP BY conv_id"),
     "r2_weekly_activity": (q_recent, "SELECT event_type AS section, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id)::INTEGER AS place FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY QUALIFY place <= 20"),
     "z6_stream_daily": (q_stream_daily, "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY ALL"),
+    "j7_segment_turns": (q_segments, f"WITH {_SEGMENTS} SELECT conv_id, start_turn, count(*) AS n_turns FROM segments JOIN conversations USING (conv_id) WHERE turn BETWEEN start_turn AND end_turn GROUP BY ALL"),
+    "q3_segment_faults": (q_segment_faults, f"WITH {_SEGMENTS}, n AS (SELECT *, lead(start_turn) OVER (PARTITION BY conv_id ORDER BY start_turn, end_turn) AS following FROM segments), j AS (SELECT *, CASE WHEN following <= end_turn THEN 'overlap' WHEN NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = n.conv_id AND turn = start_turn) OR NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = n.conv_id AND turn = end_turn) THEN 'missing' END AS fault FROM n) SELECT conv_id, start_turn, end_turn, fault FROM j WHERE fault IS NOT NULL"),
+    "m6_relinked": (q_relinked, f"WITH {_SEGMENTS} SELECT s.* FROM segments s JOIN (SELECT conv_id, min(turn) AS a, max(turn) AS b FROM conversations GROUP BY conv_id) USING (conv_id) WHERE start_turn >= a AND end_turn <= b"),
+    "j3_pending": (q_pending, "SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 <> 0"),
+    "m16_regenerated": (q_regenerated, "SELECT doc_id, 'old' AS state FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"),
+    "o3_run_counts": (q_run_counts, "WITH c AS (SELECT i.source, CASE WHEN s.doc_id IS NULL THEN 'insert' WHEN i.doc_id % 5 = 0 AND i.lang IS DISTINCT FROM 'xx' THEN 'update' ELSE 'skip' END AS action FROM documents i LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 > 0) s USING (doc_id) WHERE i.doc_id % 3 > 0) SELECT source, count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'skip') AS skipped, count(*) AS seen FROM c GROUP BY source"),
+    "a13_stale_sources": (q_stale, "WITH l AS (SELECT user_id, CAST(max(ts) AS DATE) AS last_seen FROM events WHERE (user_id % 10 > 0 OR day(ts) < 10) AND user_id % 7 > 0 GROUP BY user_id) SELECT user_id, last_seen, DATE '2024-02-05' - last_seen AS age FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN l USING (user_id) WHERE last_seen IS NULL OR DATE '2024-02-05' - last_seen > 25"),
+    "a10_dominant": (q_dominant, "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL ORDER BY n DESC, lang, source LIMIT 1"),
+    "a15_table_counts": (q_table_counts, " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _COUNTED)),
+    "p12_history": (q_history, f"WITH {_OBS}, {_HISTORY} SELECT metric, observed, value, event_id FROM history"),
+    "r6_snapshot": (q_snapshot, f"WITH {_OBS}, {_HISTORY} SELECT count(*) AS n_rows, max(observed) AS last_observed, sha256(coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY observed DESC, metric, event_id), '')) AS result_hash FROM history"),
+    "j13_admissible": (q_admissible, "SELECT l_orderkey, count(*) AS n_evidence FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 30) ON l_partkey = p_partkey GROUP BY l_orderkey HAVING count(*) FILTER (p_partkey IS NULL) = 0"),
+    "k6_snippets": (q_snippets, "SELECT conv_id, turn, substring(text, greatest(p - 80, 1), p - greatest(p - 80, 1)) || '[[' || substring(text, p, 4) || ']]' || substring(text, p + 4, 80) AS snippet FROM (SELECT *, instr(lower(text), 'tion') AS p FROM conversations) WHERE p > 0"),
+    "q4_claim_faults": (q_claims, "SELECT conv_id, turn, concat_ws(',', CASE WHEN role NOT IN ('user', 'assistant', 'shared') THEN 'actor' END, CASE WHEN conv_id / 50 > 1 THEN 'confidence' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'text' END, CASE WHEN turn > 6 OR turn + conv_id % 4 > 6 THEN 'turns' END) AS faults FROM conversations WHERE faults <> ''"),
     "w6_diversity": (q_diverse, f"WITH {_KNN}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) > 5 AS overflow FROM top WHERE rank <= 30), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overflow, rank) AS place FROM c) SELECT query_id, vec_id, label AS source, place FROM p WHERE place <= 10"),
 }
 
