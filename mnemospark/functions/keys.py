@@ -20,6 +20,11 @@ UNSAFE_SPACED = [r"\byou (have|should (take|stop|start))\b", r"\b(diagnos(is|ed)
 _SPLIT_URL = r"(?i)^(https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\[\]]+)(?::(\d*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
 
 
+def stripped(text: Column | str) -> Column:
+    """Without white space at both ends, line ends included."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def _mapped(value: Column, pairs: dict[str, str]) -> Column:
     out = value
     for old, new in pairs.items():
@@ -41,7 +46,7 @@ def normal_url(url: Column, more_tracking: list[str] | None = None) -> Column:
 
     Other parameters are sorted; short links to videos and forms of preprints become one. Null for what is not http.
     """
-    url = F.trim(url)
+    url = stripped(url)
     part = lambda i: F.regexp_extract(url, _SPLIT_URL, i)
     scheme = F.lower(part(1))
     host = _mapped(F.regexp_replace(F.regexp_replace(F.lower(part(2)), r"\.+$", ""), r"^www\.", ""), HOST_ALIASES)
@@ -75,10 +80,10 @@ def repository(url: Column) -> Column:
 
 def doi(value: Column) -> Column:
     """A DOI from its bare form, one with a doi: before it, or a URL of the resolver."""
-    bare = F.trim(value)
+    bare = stripped(value)
     linked = F.regexp_extract(bare, r"(?i)^https?://(?:dx\.)?doi\.org/(.+)$", 1)
     bare = F.when(linked != "", _decoded(F.replace(linked, F.lit("+"), F.lit("%2B")))).otherwise(bare)
-    bare = F.regexp_replace(F.lower(F.trim(F.regexp_replace(bare, r"(?i)^doi:\s*", ""))), "/+$", "")
+    bare = F.regexp_replace(F.lower(stripped(F.regexp_replace(bare, r"(?i)^doi:\s*", ""))), "/+$", "")
     return F.when(bare.startswith("10.") & F.contains(bare, F.lit("/")), bare)
 
 
@@ -88,12 +93,12 @@ def safe_url(url: Column) -> Column:
 
 def title_of(text: Column, most: int = 60, ellipsis: str = "…") -> Column:
     """The first line, cut to so many characters."""
-    line = F.trim(F.substring_index(F.trim(text), "\n", 1))
+    line = stripped(F.substring_index(stripped(text), "\n", 1))
     return F.when(F.length(line) > most, F.concat(F.left(line, F.lit(most)), F.lit(ellipsis))).otherwise(line)
 
 
 def clipped(text: Column, most: int) -> Column:
-    one = F.trim(F.regexp_replace(text, r"\s+", " "))
+    one = stripped(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(one) > most, F.concat(F.left(one, F.lit(most)), F.lit("…"))).otherwise(one)
 
 
@@ -110,21 +115,21 @@ def content_id(prefix: str, *parts: Column) -> Column:
 
 def any_date(text: Column) -> Column:
     """A day written as in ISO, with slashes, or month first."""
-    return F.coalesce(*(F.try_to_date(F.trim(text), f) for f in ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M/d/yy")))
+    return F.coalesce(*(F.try_to_date(stripped(text), f) for f in ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M/d/yy")))
 
 
 def number(text: Column) -> Column:
-    return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double")
+    return F.replace(stripped(text), F.lit(","), F.lit("")).try_cast("double")
 
 
 def when(text: Column) -> Column:
     """raw, earliest, latest, precision of a day or month that may be approximate (~); earliest is null if unreadable."""
-    core = F.trim(F.regexp_replace(F.trim(text), "^~", ""))
+    core = stripped(F.regexp_replace(stripped(text), "^~", ""))
     day = F.when(core.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(core, "yyyy-M-d"))
     month = F.when(core.rlike(r"^\d{4}-\d{1,2}$"), F.try_to_date(F.concat(core, F.lit("-1")), "yyyy-M-d"))
-    about = F.trim(text).startswith("~")
+    about = stripped(text).startswith("~")
     precision = F.when(text.isNull(), "unknown").when(about, "approximate").when(day.isNotNull(), "date").when(month.isNotNull(), "month")
-    return F.struct(F.trim(text).alias("raw"), F.coalesce(day, month).alias("earliest"), F.coalesce(day, F.last_day(month)).alias("latest"), precision.alias("precision"))
+    return F.struct(stripped(text).alias("raw"), F.coalesce(day, month).alias("earliest"), F.coalesce(day, F.last_day(month)).alias("latest"), precision.alias("precision"))
 
 
 def unsafe_phrases(text: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions.keys import content_id, repaired, title_of
+from mnemospark.functions.keys import content_id, repaired, stripped, title_of
 
 # The longest texts kept of a bookmark and of a note, and entries of a bibliography that are no works.
 BOOKMARK_TEXT, NOTE_TEXT = 10_000, 50_000
@@ -48,7 +48,7 @@ def read_works(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a bibliography service; attachments, notes and annotations are no works."""
     raw = spark.read.schema(WORKS).option("multiLine", True).json(path).where(F.col("key").isNotNull() & ~F.coalesce(F.col("data.itemType").isin(NO_WORKS), F.lit(False)))
     d = F.col("data")
-    part = lambda v: F.nullif(F.trim(v), F.lit(""))
+    part = lambda v: F.nullif(stripped(v), F.lit(""))
     people = F.filter(F.transform(F.coalesce(d["creators"], F.array()), lambda p: F.coalesce(part(p["name"]), F.concat_ws(" ", part(p["firstName"]), part(p["lastName"])))), lambda p: p != "")
     tags = F.filter(F.transform(F.coalesce(d["tags"], F.array()), lambda t: t["tag"]), lambda t: F.length(t) > 0)
     none = F.lit("")
@@ -82,7 +82,7 @@ def read_wrapped_posts(spark: SparkSession, path: str) -> DataFrame:
     time = F.try_to_timestamp(F.substring(t["created_at"], 5, 40), F.lit("MMM d HH:mm:ss Z yyyy"))
     reply = t["in_reply_to_status_id_str"]
     meta = F.to_json(F.struct(F.when(reply.isNotNull(), "reply").otherwise("post").alias("post_type"), links.alias("links"), page(reply).alias("reply_to_url")))
-    posts = _items(rows.where(t["id_str"].isNotNull() & (F.trim(F.coalesce(t["full_text"], F.lit(""))) != "")), kind=F.lit("social_post"), external_id=F.concat(F.lit("x:"), t["id_str"]), title=title_of(t["full_text"], 80, ""), url=F.coalesce(F.get(links, F.lit(0)), page(t["id_str"])), created_at=time, updated_at=time, text=t["full_text"], meta=meta)
+    posts = _items(rows.where(t["id_str"].isNotNull() & (stripped(F.coalesce(t["full_text"], F.lit(""))) != "")), kind=F.lit("social_post"), external_id=F.concat(F.lit("x:"), t["id_str"]), title=title_of(t["full_text"], 80, ""), url=F.coalesce(F.get(links, F.lit(0)), page(t["id_str"])), created_at=time, updated_at=time, text=t["full_text"], meta=meta)
     for name in ("like", "bookmark"):
         k = F.col(f"e.{name}")
         posts = posts.unionByName(_items(rows.where(k["tweetId"].isNotNull()), kind=F.lit("bookmark"), external_id=F.concat(F.lit(f"x{name}:"), k["tweetId"]), title=title_of(F.coalesce(k["fullText"], F.lit("")), 80, ""), url=_filled(k["expandedUrl"], page(k["tweetId"])), text=k["fullText"], meta=F.to_json(F.struct(F.lit(name).alias("post_type")))))
@@ -93,7 +93,7 @@ def read_own_posts(spark: SparkSession, posts: str, comments: str) -> tuple[Data
     """The posts and comments of another network's archive, texts read in their right charset; and how many authors the
     comments have, which is one unless the archive has others' as well."""
     raw = spark.read.schema(OWN_POSTS).option("multiLine", True).json(posts)
-    texts = F.filter(F.transform(F.coalesce("data", F.array()), lambda d: repaired(d["post"])), lambda t: F.trim(t) != "")
+    texts = F.filter(F.transform(F.coalesce("data", F.array()), lambda d: repaired(d["post"])), lambda t: stripped(t) != "")
     urls = F.filter(F.flatten(F.transform(F.coalesce("attachments", F.array()), lambda a: F.transform(F.coalesce(a["data"], F.array()), lambda d: repaired(d["external_context"]["url"])))), lambda u: F.length(u) > 0)
     rows = raw.select("timestamp", F.array_join(texts, "\n").alias("t"), urls.alias("u")).where("t <> ''")
     time = F.timestamp_seconds(F.col("timestamp"))
@@ -102,6 +102,6 @@ def read_own_posts(spark: SparkSession, posts: str, comments: str) -> tuple[Data
     c = F.col("d.comment")
     text, at = repaired(c["comment"]), F.coalesce(c["timestamp"], F.col("timestamp"))
     meta = F.to_json(F.struct(F.lit("comment").alias("post_type"), repaired(F.coalesce("title", F.lit(""))).alias("reply_to_context")))
-    answers = _items(said.where(F.trim(F.coalesce(c["comment"], F.lit(""))) != ""), kind=F.lit("social_post"), external_id=content_id("fbcomment:", at, text), title=title_of(text, 80, ""), created_at=F.timestamp_seconds(at), updated_at=F.timestamp_seconds(at), text=text, meta=meta)
+    answers = _items(said.where(stripped(F.coalesce(c["comment"], F.lit(""))) != ""), kind=F.lit("social_post"), external_id=content_id("fbcomment:", at, text), title=title_of(text, 80, ""), created_at=F.timestamp_seconds(at), updated_at=F.timestamp_seconds(at), text=text, meta=meta)
     authors = said.where(F.length(c["author"]) > 0).agg(F.count_distinct(c["author"]).alias("comment_authors"))
     return own.unionByName(answers), authors

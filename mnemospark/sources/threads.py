@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemospark.functions.keys import stripped
+
 TURNS = "uuid string, name string, created_at string, chat_messages array<struct<uuid:string, sender:string, text:string, created_at:string, content:array<struct<type:string, text:string>>>>"
 TREE = (
     "title string, create_time double, conversation_id string, current_node string, mapping map<string, struct<parent:string, message:struct<"
@@ -18,7 +20,7 @@ TREE = (
 
 
 def _blank(text: Column) -> Column:
-    return F.trim(F.coalesce(text, F.lit(""))) == ""
+    return stripped(F.coalesce(text, F.lit(""))) == ""
 
 
 def _numbered(rows: DataFrame, order: str) -> DataFrame:
@@ -32,8 +34,8 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(TURNS).option("multiLine", True).json(path).where("uuid IS NOT NULL")
 
     def message(m: Column) -> Column:
-        blocks = F.trim(F.array_join(F.filter(F.transform(m["content"], lambda b: b["text"]), lambda t: ~_blank(t)), "\n"))
-        text = F.when(~_blank(blocks), blocks).otherwise(F.trim(m["text"]))
+        blocks = stripped(F.array_join(F.filter(F.transform(m["content"], lambda b: b["text"]), lambda t: ~_blank(t)), "\n"))
+        text = F.when(~_blank(blocks), blocks).otherwise(stripped(m["text"]))
         role = F.when(m["sender"] == "human", "user").otherwise(m["sender"])
         return F.struct(role.alias("role"), text.alias("text"), m["created_at"].try_cast("timestamp").alias("created_at"))
 
@@ -70,7 +72,7 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
         joined = F.array_join(F.filter(parts, lambda t: t != ""), "\n")
         text = F.when(kind.isin("text", "multimodal_text"), joined).when(kind == "user_editable_context", "").otherwise(m["content"]["text"])
         hidden = F.coalesce(m["metadata"]["is_visually_hidden_from_conversation"], F.lit(False))
-        return F.struct(m["author"]["role"].alias("role"), F.trim(text).alias("text"), F.timestamp_millis((m["create_time"] * 1000).cast("long")).alias("created_at"), hidden.alias("hidden"))
+        return F.struct(m["author"]["role"].alias("role"), stripped(text).alias("text"), F.timestamp_millis((m["create_time"] * 1000).cast("long")).alias("created_at"), hidden.alias("hidden"))
 
     turns = entries.select(F.col("conversation_id").alias("conv_id"), "title", "mapping", order.alias("o"))
     turns = turns.select("conv_id", "title", F.transform("o", lambda i: F.element_at("mapping", i)["message"]).alias("raw"))
