@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from mnemospark.session import ship
 
 K1, B, RRF = 1.2, 0.75, 60
-#: A query table of up to so many rows may be broadcast.
-MOST_BROADCAST = 10_000
+#: So many vectors, and so many queries, are packed in one row; so many such rows make an Arrow batch.
+VECTORS, QUERIES, BATCH_ROWS = 1024, 512, 64
 
 
 def terms(queries: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def keyword(units: DataFrame, queries: DataFrame) -> DataFrame:
 def short_terms(units: DataFrame, queries: DataFrame) -> DataFrame:
     """Queries with a term of under three characters: plain substring tests, every term needed."""
     asked = queries.select("query_id", F.filter(F.split(F.lower("q"), r"\s+"), lambda t: t != "").alias("w")).where(F.exists("w", lambda t: F.length(t) < 3))
-    return units.crossJoin(F.broadcast(asked.limit(MOST_BROADCAST))).where(F.forall("w", lambda t: F.contains(F.lower("text"), t))).select("query_id", "unit_id")
+    return units.crossJoin(asked).where(F.forall("w", lambda t: F.contains(F.lower("text"), t))).select("query_id", "unit_id")
 
 
 def best_per_item(hits: DataFrame, item: str, tie: str) -> DataFrame:
@@ -59,15 +65,73 @@ def best_per_item(hits: DataFrame, item: str, tie: str) -> DataFrame:
     return hits.withColumn("hit_count", F.count("*").over(own)).withColumn("_r", F.row_number().over(own.orderBy("score", tie))).where("_r = 1").drop("_r")
 
 
+def _packed(key: str, vector: str, most: int):
+    """Rows of up to so many vectors of one length in the order of their keys: size, keys, numbers. One with a null counts as a zero vector."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def out(size):
+            keys, rows = (pa.concat_arrays([h[i] for h in held[size]]) for i in (0, 1))
+            order = pc.array_sort_indices(keys, null_placement="at_start")
+            keys, values = keys.take(order), rows.take(order).flatten()
+            numbers = np.array(pc.fill_null(values.cast(pa.float64()), 0.0)).reshape(len(keys), size)
+            numbers[np.array(values.is_null()).reshape(len(keys), size).any(1)] = 0
+            held.pop(size)
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([numbers.tobytes()])], ["size", "keys", "numbers"])
+
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(vector))
+            for size in pc.unique(sizes.drop_null()).to_pylist():
+                own = batch.filter(pc.equal(sizes, size))
+                held.setdefault(size, []).append((own.column(key), own.column(vector)))
+                if sum(len(h[0]) for h in held[size]) >= most - BATCH_ROWS:
+                    yield out(size)
+        for size in list(held):
+            yield out(size)
+
+    return run
+
+
+def _best(k: int):
+    """The k best vectors of each query of a packed row of either. Of equal scores the one that stands first."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                size, of_query = batch.column("size")[r].as_py(), batch.column("qsize")[r].as_py()
+                if size != of_query:
+                    continue
+                ids, query_ids = batch.column("keys")[r].values, batch.column("qkeys")[r].values
+                v, q = (np.frombuffer(batch.column(c)[r].as_py()).reshape(-1, size) if size else np.zeros((len(x), 0)) for c, x in (("numbers", ids), ("qnumbers", query_ids)))
+                with np.errstate(all="ignore"):
+                    norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))
+                    score = np.where(norm == 0, 0.0, q @ v.T / norm)
+                # Numbers that are none come first, as Spark sorts them.
+                score = np.where(np.isnan(score), np.inf, np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(score, top, 1).ravel()
+                at = np.repeat(np.arange(len(query_ids)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(at)), ids.take(pa.array(top.ravel())), pa.array(np.where(found == np.inf, np.nan, found))], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, rank: the k vectors of the greatest cosine; zero vectors score 0.
 
-    Queries go to every task as rows of a checked number; each task keeps its k best by the partial limit of the rank.
+    Queries are packed in blocks of bounded size, vectors too, and every block meets every block, however many there
+    are; of each two blocks only k rows for a query go on. query_id says which rows are one query.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("qv"), F.col("qv")))
-    pairs = vectors.crossJoin(F.broadcast(queries.limit(MOST_BROADCAST))).where(F.size("v") == F.size("qv"))
-    scored = pairs.select("query_id", "vec_id", F.round(F.when(norm > 0, dot(F.col("v"), F.col("qv")) / norm).otherwise(0.0), 6).alias("score"))
+    spark = vectors.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    own, asked = vectors.schema["vec_id"], queries.schema["query_id"]
+    listed = "size int, keys array<{}>, numbers binary"
+    left = vectors.select("vec_id", "v").mapInArrow(_packed("vec_id", "v", VECTORS), listed.format(own.dataType.simpleString()))
+    right = queries.select("query_id", "qv").repartition(queries.count() // QUERIES + 1).mapInArrow(_packed("query_id", "qv", QUERIES), listed.format(asked.dataType.simpleString()))
+    pairs = left.crossJoin(right.toDF("qsize", "qkeys", "qnumbers"))
+    scored = pairs.mapInArrow(_best(k), StructType([StructField("query_id", asked.dataType), StructField("vec_id", own.dataType), StructField("score", DoubleType())]))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
