@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +59,13 @@ def _best(spark, d) -> DataFrame:
     return search.best_per_item(hits, "conv_id", "unit_id")
 
 
-def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+#: The query set of the searches: every row whose id is divisible by 20. The first queries ask for five rows alone.
+_FIVE, _QUERY_SET = "vec_id < 5", "vec_id % 20 = 0"
+
+
+def _vectors(spark, d, asked: str) -> tuple[DataFrame, DataFrame]:
     e = _read(spark, d, "embeddings")
-    return e.select("vec_id", "label", F.col("embedding").alias("v")), e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return e.select("vec_id", "label", F.col("embedding").alias("v")), e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
 
 
 _KNN = """near AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, e.label FROM embeddings e, embeddings q WHERE q.vec_id < 5),
@@ -304,19 +310,19 @@ def q_short(spark, d):
     return search.short_terms(_units(spark, d), spark.createDataFrame([(1, "th er"), (2, "q")], "query_id int, q string"))
 
 
-def q_nearest(spark, d):
-    return search.nearest(*_vectors(spark, d), 10)
+def q_nearest(spark, d, asked=_FIVE):
+    return search.nearest(*_vectors(spark, d, asked), 10)
 
 
-def q_fusion(spark, d):
-    vectors, queries = _vectors(spark, d)
+def q_fusion(spark, d, asked=_FIVE):
+    vectors, queries = _vectors(spark, d, asked)
     near = search.nearest(vectors, queries, 20).select("query_id", F.col("vec_id").alias("item"), "rank")
     other = search.nearest(vectors.where("label < 5"), queries, 20).select("query_id", F.col("vec_id").alias("item"), "rank")
     return search.fuse(near, other)
 
 
-def q_diverse(spark, d):
-    vectors, queries = _vectors(spark, d)
+def q_diverse(spark, d, asked=_FIVE):
+    vectors, queries = _vectors(spark, d, asked)
     near = search.nearest(vectors, queries, 30).join(vectors.select("vec_id", F.col("label").alias("source")), "vec_id")
     return search.diversify(near, 10).select("query_id", "vec_id", "source", "place")
 
@@ -389,4 +395,8 @@ REGISTERED: dict[str, tuple] = {
     "w6_diversity": (q_diverse, f"WITH {_KNN}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) > 5 AS overflow FROM top WHERE rank <= 30), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overflow, rank) AS place FROM c) SELECT query_id, vec_id, label AS source, place FROM p WHERE place <= 10"),
 }
 
+#: The same searches with the whole query set.
+for _name, _query in {"v1_nearest": q_nearest, "k9_rank_fusion": q_fusion, "w6_diversity": q_diverse}.items():
+    REGISTERED[f"{_name}_whole"] = (partial(_query, asked=_QUERY_SET), REGISTERED[_name][1].replace(f"q.{_FIVE}", f"q.{_QUERY_SET}"))
+
 FLAGSHIP = "k1_keyword_threads"
