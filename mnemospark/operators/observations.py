@@ -80,22 +80,43 @@ def in_window(obs: DataFrame, events: DataFrame, days: int) -> DataFrame:
 
 
 def event_response(obs: DataFrame, events: DataFrame, days: int) -> DataFrame:
-    """Before and after of every event and metric, by conditional aggregates in one pass."""
+    """Before and after of every event and metric.
+
+    Observations are summed up by metric and day first and events by their dates, so that the range join grows with
+    the calendar; the response of each pair of dates then goes to all its events. Means are taken to nine places before
+    they are rounded, so that halves go up in whatever order the values were added.
+    """
+    spans = events.select("start_earliest", "start_latest").distinct().withColumn("event_id", F.struct("start_earliest", "start_latest"))
+    daily = obs.groupBy("metric", "observed").agg(F.count("value").alias("n"), F.min("value").alias("low_value"), F.max("value").alias("high_value"), F.sum("value").alias("total"), F.count("*").alias("rows"))
     cols = []
     for side in ("before", "after"):
-        own = F.when(F.col("side") == side, F.col("value"))
-        cols += [F.count(own).alias(f"n_{side}"), F.min(own).alias(f"min_{side}"), F.max(own).alias(f"max_{side}"), rounded(F.avg(own)).alias(f"mean_{side}")]
-    return in_window(obs, events, days).groupBy("event_id", "metric").agg(*cols, F.count_if(F.col("side") == "inside").alias("n_inside"), F.count_if(F.col("value").isNull()).alias("n_non_numeric"))
+        own = lambda c, side=side: F.when(F.col("side") == side, F.col(c))
+        n = F.coalesce(F.sum(own("n")), F.lit(0))
+        cols += [n.alias(f"n_{side}"), F.min(own("low_value")).alias(f"min_{side}"), F.max(own("high_value")).alias(f"max_{side}"), rounded(F.round(F.sum(own("total")) / F.nullif(n, F.lit(0)), 9)).alias(f"mean_{side}")]
+    inside = F.coalesce(F.sum(F.when(F.col("side") == "inside", F.col("rows"))), F.lit(0))
+    found = in_window(daily, spans, days).groupBy("event_id", "metric").agg(*cols, inside.alias("n_inside"), F.sum(F.col("rows") - F.col("n")).alias("n_non_numeric"))
+    found = found.select("event_id.*", *(c for c in found.columns if c != "event_id"))
+    return events.select("event_id", "start_earliest", "start_latest").join(found, ["start_earliest", "start_latest"]).drop("start_earliest", "start_latest")
+
+
+def _active(obs: DataFrame, events: DataFrame, *columns: str) -> DataFrame:
+    """The columns of each row of events once for each day seen on which it is active; an open end lasts to the last day."""
+    bound = obs.agg(F.min("observed").alias("_first"), F.max("observed").alias("_last"))
+    spread = events.where("start_earliest IS NOT NULL").crossJoin(F.broadcast(bound))
+    spread = spread.withColumn("_from", F.greatest("start_earliest", "_first")).withColumn("_to", F.least(F.coalesce("end_latest", "_last"), "_last")).where("_from <= _to")
+    return spread.select(*columns, F.explode(F.sequence("_from", "_to")).alias("observed")).join(obs.select("observed").distinct(), "observed", "left_semi")
+
+
+def active_days(obs: DataFrame, events: DataFrame) -> DataFrame:
+    """observed, event_id: each day with an observation and each event active that day."""
+    return _active(obs, events, "event_id")
 
 
 def overlay(obs: DataFrame, events: DataFrame) -> DataFrame:
-    """Each observation with the sorted ids of the events active that day; an open end lasts to the last day seen."""
-    bound = obs.agg(F.max("observed").alias("_last"))
-    spread = events.where("start_earliest IS NOT NULL").crossJoin(F.broadcast(bound)).select("event_id", "start_earliest", F.coalesce("end_latest", "_last").alias("_end")).where("start_earliest <= _end")
-    spread = spread.withColumn("_m", F.explode(F.sequence(_month(F.col("start_earliest")), _month(F.col("_end")))))
-    days = obs.select("observed").distinct().withColumn("_m", _month(F.col("observed")))
-    active = days.join(spread, "_m").where("observed BETWEEN start_earliest AND _end").groupBy("observed").agg(F.array_sort(F.collect_set("event_id")).alias("active"))
-    return obs.join(active, "observed", "left").withColumn("active", F.coalesce("active", F.array().cast("array<bigint>")))
+    """Each observation with how many events are active that day; active_days() says which."""
+    spans = events.groupBy("start_earliest", "end_latest").agg(F.count("*").alias("n"))
+    active = _active(obs, spans, "n").groupBy("observed").agg(F.sum("n").alias("n_active"))
+    return obs.join(active, "observed", "left").withColumn("n_active", F.coalesce("n_active", F.lit(0)))
 
 
 def overlaps(events: DataFrame, since: str, until: str) -> DataFrame:

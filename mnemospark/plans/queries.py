@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text
@@ -34,6 +34,16 @@ def _ledger(spark, d) -> DataFrame:
 _LEDGER = "ledger AS (SELECT event_id, CAST(ts AS DATE) AS start_earliest, CAST(ts AS DATE) + 1 AS start_latest, CASE WHEN user_id % 2 = 1 THEN CAST(ts AS DATE) + 7 END AS end_latest, CASE WHEN event_id % 250 = 0 THEN event_id - 50 END AS supersedes FROM events WHERE event_type = 'signup' AND event_id % 50 = 0)"
 
 
+def _whole_ledger(spark, d) -> DataFrame:
+    """Every signup as an intervention, with dates as above; one in five supersedes the same user's signup before it."""
+    e = _read(spark, d, "events").where("event_type = 'signup'")
+    start, before = F.col("ts").cast("date"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select("event_id", start.alias("start_earliest"), F.date_add(start, 1).alias("start_latest"), F.when(F.col("user_id") % 2 == 1, F.date_add(start, 7)).alias("end_latest"), F.when(F.col("event_id") % 5 == 0, before).alias("supersedes"))
+
+
+_WHOLE_LEDGER = "ledger AS (SELECT event_id, CAST(ts AS DATE) AS start_earliest, CAST(ts AS DATE) + 1 AS start_latest, CASE WHEN user_id % 2 = 1 THEN CAST(ts AS DATE) + 7 END AS end_latest, CASE WHEN event_id % 5 = 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS supersedes FROM events WHERE event_type = 'signup')"
+
+
 def _messages(spark, d) -> DataFrame:
     return _read(spark, d, "conversations")
 
@@ -242,21 +252,31 @@ def q_missing(spark, d):
     return observations.missing_pairs(_observations(spark, d).where("metric <> 'signup' OR dayofmonth(observed) % 2 = 0"))
 
 
-def q_heads(spark, d):
-    return observations.chain_heads(_ledger(spark, d))
+def q_heads(spark, d, ledger=_ledger):
+    return observations.chain_heads(ledger(spark, d))
 
 
-def q_response(spark, d):
-    return observations.event_response(_observations(spark, d).drop("event_id"), observations.chain_heads(_ledger(spark, d)), 5)
+def q_response(spark, d, ledger=_ledger):
+    return observations.event_response(_observations(spark, d).drop("event_id"), observations.chain_heads(ledger(spark, d)), 5)
 
 
 def q_overlay(spark, d):
-    active = observations.overlay(_observations(spark, d), _ledger(spark, d))
-    return active.select("event_id", "observed", F.size("active").cast("long").alias("n_active"), F.array_join(F.col("active").cast("array<string>"), ",").alias("active"))
+    """Counts, with the ids of the day in one text, as the SQL of this name asks for them."""
+    obs, ledger = _observations(spark, d), _ledger(spark, d)
+    ids = observations.active_days(obs, ledger).groupBy("observed").agg(F.array_join(F.array_sort(F.collect_set("event_id")).cast("array<string>"), ",").alias("active"))
+    return observations.overlay(obs, ledger).join(ids, "observed", "left").select("event_id", "observed", "n_active", F.coalesce("active", F.lit("")).alias("active"))
+
 
+def q_overlay_whole(spark, d):
+    return observations.overlay(_observations(spark, d), _whole_ledger(spark, d)).select("event_id", "observed", "n_active")
 
-def q_overlaps(spark, d):
-    return observations.overlaps(_ledger(spark, d), "2024-01-05", "2024-01-12").select("event_id", "start_earliest", "end_latest")
+
+def q_active_days(spark, d):
+    return observations.active_days(_observations(spark, d), _whole_ledger(spark, d))
+
+
+def q_overlaps(spark, d, ledger=_ledger):
+    return observations.overlaps(ledger(spark, d), "2024-01-05", "2024-01-12").select("event_id", "start_earliest", "end_latest")
 
 
 def q_fingerprints(spark, d):
@@ -399,4 +419,17 @@ REGISTERED: dict[str, tuple] = {
 for _name, _query in {"v1_nearest": q_nearest, "k9_rank_fusion": q_fusion, "w6_diversity": q_diverse}.items():
     REGISTERED[f"{_name}_whole"] = (partial(_query, asked=_QUERY_SET), REGISTERED[_name][1].replace(f"q.{_FIVE}", f"q.{_QUERY_SET}"))
 
+#: What stands on the ledger with every signup in it. The overlay there is counts, and a row for each day and active event.
+for _name, _query in {"j4_chain_heads": q_heads, "a8_event_response": q_response, "j11_period_overlap": q_overlaps}.items():
+    REGISTERED[f"{_name}_whole"] = (partial(_query, ledger=_whole_ledger), REGISTERED[_name][1].replace(_LEDGER, _WHOLE_LEDGER))
+_response, _sql = REGISTERED["a8_event_response_whole"]
+for _side in ("before", "after"):
+    # As in the operator: the order in which values are added must not decide how a half is rounded.
+    _sql = _sql.replace(f"avg(value) FILTER (side = '{_side}')", f"round(avg(value) FILTER (side = '{_side}'), 9)")
+REGISTERED["a8_event_response_whole"] = (_response, _sql)
+_ACTIVE = "start_earliest <= observed AND (end_latest IS NULL OR observed <= end_latest)"
+_DAYS = f"WITH {_OBS}, {_WHOLE_LEDGER}, days AS (SELECT observed, l.event_id FROM (SELECT DISTINCT observed FROM obs) LEFT JOIN ledger l ON {_ACTIVE})"
+REGISTERED["j5_overlay_whole"] = (q_overlay_whole, f"{_DAYS}, n AS (SELECT observed, count(event_id) AS n_active FROM days GROUP BY observed) SELECT event_id, observed, n_active FROM obs JOIN n USING (observed)")
+REGISTERED["j5_active_days_whole"] = (q_active_days, f"{_DAYS} SELECT * FROM days WHERE event_id IS NOT NULL")
+
 FLAGSHIP = "k1_keyword_threads"
