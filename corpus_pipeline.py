@@ -20,15 +20,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, Jaccard of 0.8 or more) the document of the smallest id stays.
+    """Of each group of near duplicates (five words, Jaccard of 0.8 or more) the row of the smallest id stays.
 
-    Rows without an id stay where their group has no id at all; of repeated rows of one id one stays.
+    Rows without an id come last: one stays where its group has no id at all. Of rows of one id and text one stays; of
+    those of one id and several texts, one for each group. Texts without words are a group with their like of one id.
     """
     ship(spark)
-    found = ngram_join.join_components(docs, k=5, num=80, den=100)
-    gone = found.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(gone.where("doc_id IS NOT NULL"), "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    # Rows are told apart by id and text, null-safe, so that a row's fate is that of its own text.
+    key = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_key", key)
+    found = ngram_join.join_components(keyed.select("_key", "text"), "_key", k=5, num=80, den=100).groupBy("_key").agg(F.min("component_id").alias("group"))
+    rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    placed = materialize(found.join(rows, "_key"), "placed")
+    least = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("least")).select(F.col("least._key").alias("_key"), F.lit(True).alias("stays"))
+    # Rows that go, and those of which one of several stays: few, so that whole texts need not be dealt out.
+    marked = placed.join(least, "_key", "left").where("stays IS NULL OR n > 1").select("_key", F.col("stays").isNotNull().alias("stays"))
+    marked = materialize(marked, "marked")
+    kept = keyed.join(marked, "_key", "left_anti").select(*docs.columns)
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
+        return kept
+    one = keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.unionAll(one.select("row.*"))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
