@@ -10,6 +10,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: By application: the folder of a local session without a shared one, and the scratch tables written.
+_OWN: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,13 +32,38 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a folder of its own; elsewhere that is an error, as executors would
+    not see each other's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="mnemospark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _OWN and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="mnemospark-")
+        base = _OWN[app]
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; clear_scratch() deletes what stands there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes all scratch tables of this application and says how many; results that still read them end with it."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
