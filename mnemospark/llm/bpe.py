@@ -5,6 +5,11 @@
 contracts, in every piece at once, the leftmost pair of the lowest rank, until no pair is left. ``decode`` joins ids
 with the vocabulary and aggregates the bytes in order.
 
+Long pieces (text without spaces) go through the same query in overlapping windows. Two windows are joined at a token
+that both have at the same place: no merge crossed its ends in either window, so none does in the whole, since the next
+merge of the whole would also be the next one of a window. Where two windows share no token, as in periodic text, they
+are laid anew at the places where the first one's tokens begin, and at last joined to a longer one.
+
 Null texts count as empty, empty texts have no ids, repeated rows give repeated results, and columns other than the
 text are passed through (an input column named like an output column is replaced). An id outside the vocabulary
 decodes to nothing.
@@ -22,12 +27,17 @@ from pyspark.sql import DataFrame
 
 from .common import by_bytes, gathered, list_array, map_batches, ragged
 
-#: Pieces that a Python worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 300_000
+#: Bytes of pieces and ids that a Python worker remembers, with what each entry costs; beyond it the memory starts anew.
+CACHE_BYTES, ENTRY = 32_000_000, 160
 #: Text that is encoded at once, but for longer single texts: fewer queries, and their fixed cost weighs less.
 BATCH_BYTES = 1_000_000
-#: Longer pieces are contracted one statement at a time, so that only their current state is held.
-LONG_PIECE = 400
+#: Pieces are contracted in windows of so many bytes, of which neighbours share the last and first OVERLAP; a piece of no
+#: more is one window.
+WINDOW, OVERLAP = 128, 48
+#: So often windows without a common token are laid anew; then they are joined.
+TRIES = 12
+#: Rows that one recursive query may make: for each window half the square of its length.
+QUERY_ROWS = 1_200_000
 #: Ids that are decoded at once, but for longer single texts.
 DECODE_IDS = 250_000
 
@@ -49,20 +59,6 @@ WITH RECURSIVE s(g, tok, live) AS (
 )
 SELECT (g >> 20)::INT AS w, tok::INT AS tok FROM s WHERE NOT live ORDER BY g"""
 
-#: For a long piece: all places of its lowest pair that don't overlap, or the leftmost alone where the merged token may
-#: at once take part in a pair of a lower rank.
-CONTRACT_LONG = """
-CREATE OR REPLACE TABLE state AS
-WITH p AS MATERIALIZED (
-  SELECT row_number() OVER v AS i, pos, tok, tok * 65536 + lead(tok) OVER v AS ab FROM state WINDOW v AS (ORDER BY pos)),
-c AS MATERIALIZED (SELECT i, r, unsafe FROM p JOIN merges USING (ab)),
-d AS (SELECT i, r, unsafe, i - row_number() OVER (ORDER BY i) AS run FROM c WHERE r = (SELECT min(r) FROM c)),
-e AS MATERIALIZED (
-  SELECT i, r FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY i) AS q, min(i) OVER () AS first FROM d)
-  WHERE CASE WHEN unsafe THEN i = first ELSE q % 2 = 1 END)
-SELECT p.pos, coalesce(e.r, p.tok) AS tok FROM p LEFT JOIN e ON e.i = p.i LEFT JOIN e AS before ON before.i = p.i - 1
-WHERE before.i IS NULL"""
-
 DECODE = """
 SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS text FROM ids JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"""
 
@@ -82,13 +78,75 @@ def piece_patterns(pattern: str):
     return regex.compile(exact), re.compile(plain, re.ASCII)
 
 
+class _Windows:
+    """A piece in windows: which are still to be contracted, and where their tokens meet."""
+
+    def __init__(self, piece: bytes):
+        self.piece, self.known, self.ids, self.tries = piece, {}, None, 0
+        n, step = len(piece), WINDOW - OVERLAP
+        self.spans = [(a, min(a + WINDOW, n)) for a in range(0, max(n - OVERLAP, 1), step)]
+
+    def missing(self) -> list[tuple[int, int]]:
+        return [span for span in self.spans if span not in self.known]
+
+    def settle(self) -> bool:
+        """Whether all neighbours share a token; then ids is set. Else spans holds windows laid anew."""
+        joints, low = [], 0
+        for x, y in zip(self.spans[:-1], self.spans[1:], strict=True):
+            joints.append(self._joint(x, y, low))
+            low = joints[-1] or low
+        if None not in joints:
+            cuts, parts = [0, *joints, len(self.piece)], []
+            for span, a, b in zip(self.spans, cuts[:-1], cuts[1:], strict=True):
+                ids, starts = self.known[span]
+                parts.append(ids[np.searchsorted(starts, a) : np.searchsorted(starts, b)])
+            self.ids = np.concatenate(parts)
+            return True
+        self.tries += 1
+        out, i = [self.spans[0]], 0
+        while i < len(joints):
+            if joints[i] is not None:
+                out.append(self.spans[i + 1])
+                i += 1
+                continue
+            # From here on windows are laid anew, in each try over twice as many; what follows may then meet them.
+            j = min(i + (1 << self.tries), len(joints))
+            out[-1:] = self._phased(self.spans[i], self.spans[j]) if self.tries <= TRIES else self._longer(self.spans[i : j + 1])
+            i = j
+        self.spans = out
+        return False
+
+    def _joint(self, x: tuple[int, int], y: tuple[int, int], low: int) -> int | None:
+        """Where a token starts that both windows have, at low or after it."""
+        (ids, at), (other, where) = self.known[x], self.known[y]
+        both = np.intersect1d(at[:-1], where[:-1], assume_unique=True)
+        both = both[both >= low]
+        same = both[ids[np.searchsorted(at[:-1], both)] == other[np.searchsorted(where[:-1], both)]]
+        return int(same[0]) if len(same) else None
+
+    def _phased(self, first: tuple[int, int], last: tuple[int, int]) -> list[tuple[int, int]]:
+        """Windows from where a token of the first one begins, at steps of the period in which its tokens repeat there."""
+        (ids, starts), step = self.known[first], WINDOW - OVERLAP
+        k = max(int(np.searchsorted(starts, first[0] + step, "right")) - 1, 1)
+        period = next((p for p in range(1, k // 2 + 1) if (ids[k - p : k] == ids[k - 2 * p : k - p]).all()), 1)
+        begin, size = int(starts[k]), int(starts[k] - starts[k - period])
+        step = max(step // size, 1) * size
+        count = max(-(-(last[1] - WINDOW - begin) // step), 0) + 1  # whole windows, until the last one's end is reached
+        return [first, *((a, min(a + WINDOW, len(self.piece))) for a in range(begin, begin + count * step, step))]
+
+    def _longer(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Each two neighbours as one window."""
+        pairs = [spans[i : i + 2] for i in range(0, len(spans), 2)]
+        return [(p[0][0], p[-1][1]) for p in pairs]
+
+
 class Coder:
     """DuckDB with the merge table and the vocabulary; one for each Python worker."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
 
-        self.ranks, self.cache = ranks, {}
+        self.ranks, self.cache, self.held = ranks, {}, 0
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "120MB"})
         left, right, rank = [], [], []
         for token, r in ranks.items():
@@ -96,8 +154,9 @@ class Coder:
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     left.append(a), right.append(b), rank.append(r)
         left, right, rank = (np.array(x, np.int64) for x in (left, right, rank))
-        unsafe = np.union1d(left[rank < left], right[rank < right])
-        self.create("merges", {"ab": left * 65536 + right, "r": rank, "unsafe": np.isin(rank, unsafe)})
+        self.create("merges", {"ab": left * 65536 + right, "r": rank})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self.create("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "piece": pa.array([t.decode("latin-1") for t in ranks])})
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
@@ -116,36 +175,47 @@ class Coder:
         tokens = found["tok"].to_numpy()
         return np.split(tokens, np.searchsorted(found["w"].to_numpy(), np.arange(1, len(pieces))))
 
-    def contract_long(self, piece: bytes) -> np.ndarray:
-        data = np.frombuffer(piece, np.uint8)
-        self.create("state", {"pos": np.arange(len(data)), "tok": self.byte_id[data]})
-        n = len(data) + 1
-        while n > (n := self.con.sql("SELECT count(*) FROM state").fetchall()[0][0]):
-            self.con.execute(CONTRACT_LONG)
-        return self.con.sql("SELECT tok::INT AS tok FROM state ORDER BY pos").to_arrow_table()["tok"].to_numpy()
+    def windows(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """contract() in groups, so that no query makes more than QUERY_ROWS rows."""
+        out, begin, rows = [], 0, 0
+        for i, piece in enumerate(pieces):
+            more = len(piece) ** 2 // 2 + 1
+            if i > begin and rows + more > QUERY_ROWS:
+                out += self.contract(pieces[begin:i])
+                begin, rows = i, 0
+            rows += more
+        return out + (self.contract(pieces[begin:]) if begin < len(pieces) else [])
+
+    def tokens(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece, by way of windows."""
+        plans = [_Windows(piece) for piece in pieces]
+        todo = plans
+        while todo:
+            spans = [(plan, span) for plan in todo for span in plan.missing()]
+            for (plan, (a, b)), ids in zip(spans, self.windows([plan.piece[a:b] for plan, (a, b) in spans]), strict=True):
+                plan.known[a, b] = ids, a + np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            todo = [plan for plan in todo if not plan.settle()]
+        return [plan.ids for plan in plans]
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of these pieces into the memory."""
-        short, long = [], []
+        unknown = []
         for piece in pieces:
             raw = piece.encode()
             if (one := self.ranks.get(raw)) is not None:
                 self.cache[piece] = one.to_bytes(4, "little")
             else:
-                (short if len(raw) <= LONG_PIECE else long).append((piece, raw))
-        for at in range(0, len(short), 15_000):
-            part = short[at : at + 15_000]
-            for (piece, _), ids in zip(part, self.contract([raw for _, raw in part]), strict=True):
-                self.cache[piece] = ids.astype("<i4").tobytes()
-        for piece, raw in long:
-            self.cache[piece] = self.contract_long(raw).astype("<i4").tobytes()
+                unknown.append((piece, raw))
+        for (piece, _), ids in zip(unknown, self.tokens([raw for _, raw in unknown]), strict=True):
+            self.cache[piece] = ids.astype("<i4").tobytes()
+        self.held += sum(len(p) + len(self.cache[p]) + ENTRY for p in pieces)
 
     def encode(self, texts: list[str | None], pattern: str) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (one more entry at the end)."""
         exact, plain = piece_patterns(pattern)
         cut = [(plain if t.isascii() else exact).findall(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
         if new := set().union(*cut) - self.cache.keys():
             self.learn(new)
         cache, starts, found = self.cache, [0], []

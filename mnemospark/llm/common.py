@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.session import ship
+from mnemospark.session import scratch, ship
 
 #: Rows in one Arrow batch: whole texts and packed messages travel in it, so it is far below Spark's 10,000.
 BATCH_ROWS = 64
@@ -45,22 +43,13 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="mnemospark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes a Parquet table to the shared folder and reads it back.
 
     Unlike a local checkpoint it survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -126,40 +115,22 @@ def split_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tup
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over the bytes, from prefix sums, then mixed with the length. Starts ascend."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    if len(data) > 2 * _SPAN:  # in parts, so that the tables of powers stay small
-        out, a = [], 0
-        while a < len(starts):
-            b = max(a + 1, int(np.searchsorted(starts, starts[a] + _SPAN)))
-            low, high = starts[a], int(ends[a:b].max())
-            out.append(_hashed(data[low:high], starts[a:b] - low, ends[a:b] - low))
-            a = b
-        return np.concatenate(out)
-    return _hashed(data, starts, ends)
-
-
-_SPAN = 1 << 20
-
-
-def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    powers, inverse = _powers(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_HASH[data] * powers[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
-
-
-_TABLES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_TABLES[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((int(_GOLD), pow(int(_GOLD), -1, 2**64))):
-            _TABLES[i] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
-    return _TABLES
+    """A 64-bit hash of each stretch of bytes: its eight-byte words, one after the other, each mixed in by a bijection."""
+    value = mix64((ends - starts).astype(np.uint64) * _GOLD + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the word that starts at each byte
+    left, at, open_ = ends - starts, starts, np.arange(len(starts))
+    while len(open_):
+        keep = left > 0
+        if not keep.all():
+            left, at, open_ = left[keep], at[keep], open_[keep]
+        inside = words[at] & (_FULL >> (np.maximum(8 - left, 0) * 8).astype(np.uint64))
+        value[open_] = mix64(value[open_] ^ inside * _GOLD)
+        left, at = left - 8, at + 8
+    return value
+
+
+_FULL = np.uint64(2**64 - 1)
 
 
 def window_hashes(data: np.ndarray, k: int) -> np.ndarray:

@@ -1,19 +1,22 @@
 """HTML extraction: parser events to lines, their ratio of text to tags, Gaussian smoothing and threshold clusters.
 
-The standard library's streaming parser turns a page into lines, one for each block, with the characters of text, the
-tags met, and whether the block stands in an article or in furniture: menus, headers, footers, sidebars, notices,
-adverts, forms, comments of readers. Text-to-tag ratios of the lines are smoothed by a Gaussian; lines above a
-threshold form clusters, and clusters less than a gap apart are one region. Regions decide where a page has no article
-element; within an article all lines are content but for furniture.
-
-Null and empty pages have an empty text. Whatever the page, nothing is capped. Repeated rows give repeated results;
-other columns pass through.
+The standard library's streaming parser turns a page into lines, one for each block. A line's ratio is its characters
+outside links for each tag met; elements and names around it are features that scale the ratio: in menus, headers,
+footers, sidebars, notices, adverts, forms and readers' comments it is 0, under a name that content bears as well
+(related, share, ...) and outside all articles of a page that has some it is a part. Ratios are smoothed by a Gaussian;
+lines above a threshold form clusters, and clusters less than a gap apart are one region. An article of which the
+clusters hold at least half of the text is one region, short lines such as headings and list items with it. Lines whose
+own ratio is 0 by a feature are in no region.
+
+Null and empty pages have an empty text. Whatever the page, nothing is capped. Repeated rows give repeated results, an
+empty table no rows; other columns pass through, but for one named text.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,31 +29,55 @@ SILENT = set("script style noscript template head title svg math iframe object c
 FURNITURE = set("nav header footer aside form menu dialog".split())
 BLOCKS = set("address article blockquote body center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NOTICE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side-bar|widget|footer|header|masthead|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-list|disqus|respond|reply|popup|modal|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.IGNORECASE)
+# Parts of class names and ids that mark furniture, and those that content can bear too.
+NOTICES = set("ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar widget masthead cookie cookies consent gdpr notice newsletter subscribe signup login comment comments disqus respond popup modal toolbar pagination pager skip".split())
+DOUBTS = set("share sharing social related recommended header footer reply teaser".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 #: Spread of the smoothing in lines, and the share of the standard deviation above which a line is content.
 SIGMA, LEVEL = 1.0, 0.5
 #: Regions with fewer lines between them are one.
 GAP = 3
+#: What is left of a ratio under a doubtful name, and outside the articles of a page that has some.
+DOUBTED, OUTSIDE = 0.25, 0.1
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside links
+    article: int  # number of the article it stands in, 0 for none
+    hidden: bool  # in furniture
+    doubted: bool  # under a doubtful name
 
 
 class Lines(HTMLParser):
-    """The lines of a page: text, tags met, whether inside an article and whether furniture."""
+    """The lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, int]] = []
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        #: tag, silent, furniture, doubtful, link, number of its article (0: none of its own)
+        self.stack: list[tuple[str, int, int, int, int, int]] = []
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.silent = self.hidden = self.article = 0
+        self.articles: list[int] = []
+        self.tags = self.silent = self.hidden = self.doubts = self.links = self.linked = self.seen = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            self.lines.append((text, self.tags, self.article > 0, self.hidden > 0))
+            self.lines.append(Line(text, self.tags, self.linked, self.articles[-1] if self.articles else 0, self.hidden > 0, self.doubts > 0))
             self.tags = 0
+        self.linked = 0
+
+    def _features(self, tag: str, given: dict) -> tuple[bool, bool]:
+        """Whether an element is furniture, and whether its name is doubtful."""
+        names = set(re.split(r"[^a-z0-9]+", f"{given.get('class') or ''} {given.get('id') or ''}".lower()))
+        own = tag in ("html", "body", "main", "article") and not names & {"comment", "comments"}
+        head = tag == "header" and bool(self.articles)  # an article's own heading stands in it
+        hide = tag in FURNITURE and not head or given.get("role") in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or bool(names & NOTICES) and not own
+        return hide, bool(names & DOUBTS) and not head and not (names & {"header"} and self.articles)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -58,19 +85,22 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in BLOCKS:
             self.flush()
-        if tag in ("p", *BLOCKS) and self.stack and self.stack[-1][0] == "p":
-            self._leave()
+            if self.stack and self.stack[-1][0] == "p":
+                self._leave()
         if tag in VOID:
             return
-        given = dict(attrs)
-        named = f"{given.get('class') or ''} {given.get('id') or ''}"
-        header = tag == "header" and self.article  # an article's own heading stands in it
-        hide = (tag in FURNITURE and not header) or given.get("role") in ROLES or bool(NOTICE.search(named)) and tag not in ("html", "body", "main", "article") or "hidden" in given or given.get("aria-hidden") == "true"
-        own = (tag, int(tag in SILENT), int(hide), int(tag in ("article", "main")))
-        if own[2] or own[3]:
+        hide, doubt = self._features(tag, dict(attrs))
+        if hide or doubt or tag in ("article", "main"):
             self.flush()
+        self.seen += tag in ("article", "main")
+        own = (tag, int(tag in SILENT), int(hide), int(doubt), int(tag == "a"), self.seen if tag in ("article", "main") else 0)
         self.stack.append(own)
-        self.silent, self.hidden, self.article = self.silent + own[1], self.hidden + own[2], self.article + own[3]
+        self._count(own, 1)
+        if own[5]:
+            self.articles.append(own[5])
+
+    def _count(self, own: tuple, by: int) -> None:
+        self.silent, self.hidden, self.doubts, self.links = self.silent + by * own[1], self.hidden + by * own[2], self.doubts + by * own[3], self.links + by * own[4]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -79,9 +109,11 @@ class Lines(HTMLParser):
 
     def _leave(self) -> None:
         own = self.stack.pop()
-        if own[0] in BLOCKS or own[2] or own[3]:
+        if own[0] in BLOCKS or own[2] or own[3] or own[5]:
             self.flush()
-        self.silent, self.hidden, self.article = self.silent - own[1], self.hidden - own[2], self.article - own[3]
+        self._count(own, -1)
+        if own[5]:
+            self.articles.pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -95,23 +127,44 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.silent:
             self.parts.append(data)
+            if self.links:
+                self.linked += len("".join(data.split()))
 
 
-def regions(ratio: np.ndarray) -> np.ndarray:
-    """Which lines are in a content region, by their smoothed ratios."""
-    if not len(ratio):
-        return np.zeros(0, bool)
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Characters outside links for each tag, scaled by the features of each line."""
+    some = any(x.article and not x.hidden for x in lines)
+    return np.array([0.0 if x.hidden else max(len(x.text) - x.linked, 0) / max(x.tags, 1) * (DOUBTED if x.doubted else 1) * (OUTSIDE if some and not x.article else 1) for x in lines])
+
+
+def smoothed(ratio: np.ndarray) -> np.ndarray:
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    weight = np.convolve(np.ones(len(ratio)), kernel, "full")[reach : reach + len(ratio)]
-    smooth = np.convolve(ratio, kernel, "full")[reach : reach + len(ratio)] / weight
-    above = np.flatnonzero(smooth >= min(LEVEL * smooth.std(), smooth.max()))
-    out = np.zeros(len(ratio), bool)
+    middle = lambda x: np.convolve(x, kernel, "full")[reach : reach + len(ratio)]
+    return middle(ratio) / middle(np.ones(len(ratio)))
+
+
+def regions(lines: list[Line]) -> np.ndarray:
+    """Which lines are content: those of the regions."""
+    if not lines:
+        return np.zeros(0, bool)
+    smooth, shown = smoothed(ratios(lines)), np.array([not x.hidden for x in lines])
+    # Half as far again in lines under doubtful names: what stands beside content isn't content for that.
+    level = min(LEVEL * smooth.std(), smooth.max()) * np.where([x.doubted for x in lines], 1.5, 1)
+    # Lines that are mostly links stand in a region only by what is around them.
+    links, doubted = np.array([2 * x.linked > len(x.text) for x in lines]), np.array([x.doubted for x in lines])
+    above = np.flatnonzero((smooth >= level) & (smooth > 0) & shown & ~links)
+    out = np.zeros(len(lines), bool)
     out[above] = True
+    article, size = np.array([x.article for x in lines]), np.array([len(x.text) for x in lines])
     for a, b in zip(above[:-1], above[1:], strict=True):
-        if b - a <= GAP:
+        if b - a <= GAP and article[a] == article[b]:
             out[a:b] = True
-    return out
+    for number in np.unique(article[out & (article > 0)]):
+        own = (article == number) & shown
+        if 2 * size[own & out].sum() >= size[own].sum():
+            out |= own & ~(doubted & (links | (smooth < level)))
+    return out & shown
 
 
 def extract(html: str | None) -> str:
@@ -119,13 +172,7 @@ def extract(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     page.flush()
-    lines = [x for x in page.lines if not x[3]]
-    if any(x[2] for x in lines):
-        chosen = [x for x in lines if x[2]]
-    else:
-        keep = regions(np.array([len(x[0]) / max(x[1], 1) for x in lines], float))
-        chosen = [x for x, k in zip(lines, keep, strict=True) if k]
-    return "\n".join(x[0] for x in chosen)
+    return "\n".join(x.text for x, keep in zip(page.lines, regions(page.lines), strict=True) if keep)
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -1,12 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. The tokens of the templates are ordered by the number of blocks of the whole corpus that hold them,
-rare ones first. A block contains a template when it holds at least ``CONTAINMENT`` of its distinct tokens. Only
-blocks that share a token of both prefixes are paired (prefix filter), that have enough tokens (length filter), and
-whose tokens beyond the shared one can still suffice (position filter); those are then verified in full.
+A block is ``BLOCK`` consecutive words, one starting at every ``STEP``-th word, so that a notice of up to STEP words stands
+whole in some block however its lines are wrapped. The tokens of the templates are ordered by the number of texts of the
+whole corpus that hold them, rare ones first. A block contains a template when it holds at least ``CONTAINMENT`` of its
+distinct tokens. Only blocks that share a token of both prefixes are paired (prefix filter), that have enough tokens
+(length filter), and whose tokens beyond the shared one can still suffice (position filter); those are then verified in
+full.
 
 Null texts count as empty; an empty text has no words, places or labels and scores 0. Repeated rows give repeated
-results, also under one id or none. Columns other than id and text don't matter.
+results, also under one id or none. An empty table has no rows. Columns other than id and text don't matter.
 """
 
 from __future__ import annotations
@@ -41,10 +43,11 @@ TEMPLATES = {
 
 #: The share of a template's distinct tokens that a block must hold.
 CONTAINMENT = 0.9
+#: Words in a block, and from one block's start to the next; both no less than twice and once the longest template.
+BLOCK, STEP = 64, 32
 
 #: A-Z to lower case; digits, letters and bytes beyond ASCII stay; all others end a word.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_LINES = bytes(10 if b == 10 else _WORDS[b] for b in range(256))
 
 
 def words(text: str) -> list[bytes]:
@@ -64,7 +67,7 @@ def _places(found: list[bytes], phrases: dict[tuple[bytes, ...], str]) -> tuple[
 
 
 def token_order(docs: DataFrame, tokens: set[bytes], text: str) -> dict[bytes, int]:
-    """The rank of each template token by the number of blocks with it, over all texts; rare ones first."""
+    """The rank of each template token by the number of texts with it, over all texts; rare ones first."""
     names = sorted(tokens)
 
     def run(batches):
@@ -72,8 +75,7 @@ def token_order(docs: DataFrame, tokens: set[bytes], text: str) -> dict[bytes, i
         for batch in batches:
             for value in batch.column(text).to_pylist():
                 if value:
-                    for line in value.encode().translate(_LINES).split(b"\n"):
-                        seen.update(tokens.intersection(line.split()))
+                    seen.update(tokens.intersection(words(value)))
         yield pa.RecordBatch.from_arrays([pa.array([names.index(t) for t in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["token", "n"])
 
     rows = map_batches(docs.select(text), run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # as many as the templates have tokens
@@ -90,20 +92,28 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     least = min(needed.values())
     spoken = {tuple(words(p)): label for p, label in phrases.items()}
     hints = {p[-1] for p in spoken} | {p[0] for p in spoken}
+    longest = max(len(words(t)) for t in templates.values())
+    size, step = max(BLOCK, 2 * longest), max(STEP, longest)
+    # The templates' prefixes: as many rows as the templates have tokens.
+    prefix = []
+    for label, s in sets.items():
+        order = sorted(rank[t] for t in s)
+        prefix += [(order[i], label, i, needed[label], order) for i in range(len(order) - needed[label] + 1)]
+    rare = {t for t in rank if rank[t] in {p[0] for p in prefix}}
 
     def run(batches):
         for batch in batches:
             out = []
             for key, value in zip(batch.column(doc_id).to_pylist(), batch.column(text).to_pylist(), strict=True):
                 raw = (value or "").encode()
-                lines = raw.translate(_LINES)
-                found = lines.split()
+                found = raw.translate(_WORDS).split()
                 starts, labels = _places(found, spoken) if hints.intersection(found) else ([], set())
                 blocks = []
-                for i, line in enumerate(lines.split(b"\n")):
-                    held = rank.keys() & set(line.split())
-                    if len(held) >= least:  # length filter
-                        blocks.append({"block": i, "tokens": sorted(rank[t] for t in held)})
+                if not rare.isdisjoint(found):  # prefix filter, for the whole text
+                    for i, at in enumerate(range(0, max(len(found) - size + step, 1), step)):
+                        held = rank.keys() & set(found[at : at + size])
+                        if len(held) >= least and not rare.isdisjoint(held):  # length filter
+                            blocks.append({"block": i, "tokens": sorted(rank[t] for t in held)})
                 out.append((key, hashlib.blake2b(raw, digest_size=8).digest(), len(found), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), blocks))
             columns = list(zip(*out, strict=True)) or [[]] * 8
             kinds = [batch.schema.field(doc_id).type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("block", pa.int32()), ("tokens", pa.list_(pa.int32()))]))]
@@ -113,11 +123,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     kind = docs.schema[doc_id].dataType.simpleString()
     found = materialize(map_batches(docs.select(doc_id, text), run, f"id {kind}, digest binary, n_words long, n_base long, first_word long, last_word long, phrase_labels array<string>, blocks array<struct<block:int,tokens:array<int>>>"), "licenses")
 
-    # The templates' prefixes: as many rows as the templates have tokens.
-    prefix = []
-    for label, s in sets.items():
-        order = sorted(rank[t] for t in s)
-        prefix += [(order[i], label, i, needed[label], order) for i in range(len(order) - needed[label] + 1)]
     prefix = spark.createDataFrame(prefix, "token int, label string, i int, needed int, template array<int>")
     blocks = found.where(F.size("blocks") > 0).select("id", "digest", F.explode("blocks").alias("b")).distinct().select("id", "digest", F.col("b.block").alias("block"), F.col("b.tokens").alias("tokens"), F.posexplode(F.slice("b.tokens", F.lit(1), F.size("b.tokens") - least + 1)).alias("j", "token"))
     b, t = F.size("tokens"), F.size("template")

@@ -3,10 +3,13 @@
 ``store`` writes each text's bytes, padded, as the mean grey values of 8 x 8 blocks: one DC coefficient for each byte,
 all AC coefficients zero, a quantizer of 8 and a restart marker after every 24 blocks. The DC-only thumbnail of such a
 file is the payload itself, bit for bit. ``read`` parses the markers of any baseline JPEG file, decodes its Huffman
-scans, many restart intervals at once in numpy, and rebuilds the thumbnail of the luminance.
+scans, many restart intervals at once in numpy, and rebuilds the thumbnail of the luminance (the first component, whose
+scan may hold others too).
 
 Null texts count as empty, an empty text still fills one unit of padding, equal texts have equal files, and payloads
-too large for one picture become several files back to back. Columns other than those named are passed through.
+too large for one picture become several files back to back, all of which are read. Media that are null, empty, not
+JPEG, not baseline or broken have a null payload and no pictures. An empty table has no rows, and repeated rows give
+repeated results. Columns other than those named are passed through.
 """
 
 from __future__ import annotations
@@ -49,9 +52,7 @@ def _header(width: int, height: int) -> bytes:
 
 
 def _shapes(n: int) -> list[tuple[int, int]]:
-    """Rows and columns, in blocks, of the pictures for a payload of n bytes."""
-    if n <= RUN * MOST_ROWS:
-        return [(n // RUN, RUN)]
+    """Rows and columns, in blocks, of the pictures for a payload of n bytes: UNIT columns, and as many rows as it takes."""
     rows = n // UNIT
     return [(min(MOST_ROWS, rows - at), UNIT) for at in range(0, rows, MOST_ROWS)]
 
@@ -139,16 +140,21 @@ def parse(media: bytes) -> list[dict]:
         elif 0xC1 <= marker <= 0xCF:
             raise ValueError("not baseline")
         elif marker == 0xDA:
+            if frame is None:
+                raise ValueError("a scan before its frame")
             chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-            parts = [(h, v, tables[chosen[k] >> 4], tables[16 | chosen[k] & 15]) for k, h, v, _ in frame["parts"]]
+            parts = [(h, v, tables[chosen[k] >> 4], tables[16 | chosen[k] & 15]) for k, h, v, _ in frame["parts"] if k in chosen]
             end = at
             while True:
                 end = media.index(b"\xff", end)
                 if end + 1 >= len(media) or media[end + 1] and not 0xD0 <= media[end + 1] <= 0xD7:
                     break
                 end += 2
-            frames.append(frame | {"scan": (at, end), "kind": (tuple(parts), quant[frame["parts"][0][3]], restart)})
+            if frame["parts"][0][0] in chosen:
+                frames.append(frame | {"scan": (at, end), "kind": (tuple(parts), quant[frame["parts"][0][3]], restart)})
             at = end
+    if not frames:
+        raise ValueError("no picture")
     return frames
 
 
@@ -223,23 +229,47 @@ def _scan(data: np.ndarray, frames: list[dict], ends: np.ndarray, kind: tuple) -
     return out
 
 
-def thumbnails(media: list[bytes]) -> list[list[np.ndarray]]:
-    """The luminance thumbnails of each value's pictures, an eighth of their size each way."""
-    out: list[list] = []
+#: What reading broken media can raise.
+BROKEN = (ValueError, KeyError, IndexError, struct.error, TypeError, OverflowError)
+
+
+def thumbnails(media: list[bytes]) -> list[list[np.ndarray] | None]:
+    """The luminance thumbnails of each value's pictures, an eighth of their size each way; None for broken values."""
+    out: list[list | None] = []
     groups = defaultdict(list)
     for i, value in enumerate(media):
-        frames = parse(value)
+        try:
+            frames = parse(value)
+        except BROKEN:
+            out.append(None)
+            continue
         out.append([None] * len(frames))
         for j, f in enumerate(frames):
             groups[f["kind"]].append((i, j, f))
     for kind, group in groups.items():
-        data = np.concatenate([np.frombuffer(media[i], np.uint8)[f["scan"][0] : f["scan"][1] + 2] for i, _, f in group])
-        ends = np.cumsum([f["scan"][1] + 2 - f["scan"][0] for *_, f in group])
-        for (i, j, _), picture in zip(group, _scan(data, [f for *_, f in group], ends, kind), strict=True):
-            out[i][j] = picture
+        try:
+            pictures = _group(media, kind, group)
+        except BROKEN:  # one is broken: each by itself
+            pictures = []
+            for one in group:
+                try:
+                    pictures += _group(media, kind, [one])
+                except BROKEN:
+                    pictures.append(None)
+        for (i, j, _), picture in zip(group, pictures, strict=True):
+            if picture is None:
+                out[i] = None
+            elif out[i] is not None:
+                out[i][j] = picture
     return out
 
 
+def _group(media: list[bytes], kind: tuple, group: list) -> list[np.ndarray]:
+    data = np.concatenate([np.frombuffer(media[i], np.uint8)[f["scan"][0] : f["scan"][1] + 2] for i, _, f in group])
+    ends = np.cumsum([f["scan"][1] + 2 - f["scan"][0] for *_, f in group])
+    return _scan(data, [f for *_, f in group], ends, kind)
+
+
 def thumbnail_hash(picture: np.ndarray) -> str:
     """64 bits: in an 8 x 9 grid of mean grey values, whether each is above its left neighbour."""
     rows = np.linspace(0, picture.shape[0], 9).astype(int)[:-1]
@@ -286,19 +316,19 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read(files: DataFrame, media: str = "media") -> DataFrame:
-    """Adds ``payload binary`` (all thumbnails' samples), ``width``, ``height``, ``pictures`` and ``thumb_hash``."""
-    more = ["payload", "width", "height", "pictures", "thumb_hash"]
+    """Adds ``payload binary`` (all thumbnails' samples) and ``pictures array<struct<width, height, thumb_hash>>``."""
+    more = ["payload", "pictures"]
     keep = [c for c in files.columns if c not in more]
+    kind = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("thumb_hash", pa.string())]))
 
     def run(batches):
         for batch in batches:
             values = batch.column(media).to_pylist()
-            rows = []
+            payloads, pictures = [], []
             for a, b in _chunks([len(v or b"") for v in values]):
-                for pictures in thumbnails([v or b"" for v in values[a:b]]):
-                    first = pictures[0] if pictures else np.zeros((0, 0), np.uint8)
-                    rows.append((b"".join(p.tobytes() for p in pictures), 8 * first.shape[1], 8 * first.shape[0], len(pictures), thumbnail_hash(first) if first.size else ""))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True))], [*keep, *more])
+                for found in thumbnails([v or b"" for v in values[a:b]]):
+                    payloads.append(None if found is None else b"".join(p.tobytes() for p in found))
+                    pictures.append([{"width": 8 * p.shape[1], "height": 8 * p.shape[0], "thumb_hash": thumbnail_hash(p) if p.size else ""} for p in found or []])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(payloads, pa.binary()), pa.array(pictures, kind)], [*keep, *more])
 
-    return map_batches(files, run, ", ".join([*_types(files, keep), "payload binary, width int, height int, pictures int, thumb_hash string"]))
+    return map_batches(files, run, ", ".join([*_types(files, keep), "payload binary, pictures array<struct<width:int,height:int,thumb_hash:string>>"]))

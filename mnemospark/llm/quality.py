@@ -5,8 +5,9 @@ function of (score - threshold k). From these come the expected grade and the ta
 selected by. Features are hashed byte 4-grams of the whole text, as shares of the text, and how often one of its 4-grams
 repeats on average.
 
-Null and empty texts have no features and so the score 0; repeated rows get the same values. With fewer than two
-grades among the labels nothing can be told apart: the expected grade is that grade (or null), the tail 1.
+Null and empty texts have no features and so the score 0; repeated rows get the same values. Rows without an id are scored
+but never learned from; of several rows of one id one is learned from. Columns pass through, but for those named like an
+output column. With fewer than two grades among the labels nothing can be told apart: the expected grade is that grade (or null), the tail 1.
 """
 
 from __future__ import annotations
@@ -100,9 +101,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 s.append(np.append(c / max(b - a, 1), REPEAT_SHARE).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("grade"), pa.array(f, pa.binary()), pa.array(s, pa.binary())], [doc_id, "grade", "f", "s"])
 
-    found = map_batches(docs.select(doc_id, text).join(F.broadcast(wanted), doc_id), run, f"{doc_id} {kind}, grade {own.schema['grade'].dataType.simpleString()}, f binary, s binary").collect()
-    found.sort(key=lambda r: (r[0], bytes(r.f), bytes(r.s)))
-    weights, cuts = fit([(np.frombuffer(r.f, np.int32), np.frombuffer(r.s, np.float32)) for r in found], np.array([grades.index(r.grade) for r in found]), len(grades))
+    found = map_batches(docs.select(doc_id, text).join(F.broadcast(wanted), doc_id), run, f"{doc_id} {kind}, grade {own.schema['grade'].dataType.simpleString()}, f binary, s binary")
+    # Rows of one id may be many; one of them is learned from.
+    found = sorted(found.groupBy(doc_id, "grade").agg(F.min(F.struct("f", "s")).alias("r")).collect(), key=lambda r: r[0])
+    weights, cuts = fit([(np.frombuffer(r.r.f, np.int32), np.frombuffer(r.r.s, np.float32)) for r in found], np.array([grades.index(r.grade) for r in found]), len(grades))
     return {"grades": grades, "weights": weights, "cuts": cuts}
 
 

@@ -46,7 +46,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.concat("width", F.lit("x"), "height"), "pictures", "thumb_hash").alias("feature"),
+        F.array_join(F.transform("pictures", lambda p: F.concat(p["width"].cast("string"), F.lit("x"), p["height"].cast("string"), F.lit(":"), p["thumb_hash"])), ",").alias("feature"),
     )
 
 

@@ -25,9 +25,6 @@ SMOOTHING = 0.5
 THRESHOLD = -0.25
 #: Windows of so many words found twice in one text count as repeated.
 WINDOW = 3
-#: Texts of up to 2**PACKED words keep hash and position in one number: 64 - PACKED bits of the hash.
-PACKED = 14
-
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -39,23 +36,14 @@ def _bound(value: Column, body) -> Column:
 
 
 def repeated_words(hashes: Column) -> Column:
-    """Words inside windows that the text holds twice or more. hashes: of the words."""
+    """Words inside windows that the text holds twice or more. hashes: 64-bit ones of the words; windows have such too."""
     windows = _bound(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)))))
 
     def positions(h: Column) -> Column:
-        return F.when(F.size(h) <= 1 << PACKED, packed(h)).otherwise(placed(h))
-
-    def placed(h: Column) -> Column:
+        """Places of windows that are not the only one of their hash."""
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return _bound(pairs, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])), lambda x: x["i"])))
 
-    def packed(h: Column) -> Column:
-        """The same with hash and position in one number, which sorts faster."""
-        low = (1 << PACKED) - 1
-        pairs = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
-        same = lambda x, y: F.coalesce(F.shiftright(x.bitwiseXOR(y), PACKED) == 0, F.lit(False))
-        return _bound(pairs, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x.bitwiseAND(F.lit(low)).cast("int"))))
-
     def covered(h: Column) -> Column:
         return _bound(positions(h), lambda p: F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")))["n"])
 
@@ -65,18 +53,25 @@ def repeated_words(hashes: Column) -> Column:
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    value = F.coalesce(F.col(text), F.lit(""))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    rest = [c for c in docs.columns if c not in names]
+    found = _counted(docs.select(F.col(f"`{text}`").alias("text"), F.struct(*(f"`{c}`" for c in rest)).alias("row")))
+    return found.select(*(F.col("row")[c].alias(c) for c in rest), *names)
+
+
+def _counted(own: DataFrame) -> DataFrame:
+    """The counts of text, beside row, and the hashes of its words."""
+    value = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(value, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     return (
-        docs.withColumn("_w", words_of(F.col(text)))
-        .withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
+        own.withColumn("words", words_of(F.col("text")))
+        .withColumn("n_words", F.size("words").cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
         .withColumn("n_symbols", (F.length(value) - F.length(F.regexp_replace(value, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-        .withColumn("n_repeat_words", repeated_words(F.col("_h")))
+        .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+        .withColumn("n_repeat_words", repeated_words(F.col("hashes")))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .drop("_w")
     )
 
 
@@ -106,6 +101,10 @@ def ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: st
 
 def judge(docs: DataFrame, table: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds the base counts, ``llr double`` and ``kept boolean``. table: one row of BUCKETS numbers, from ratios()."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
+    rest = [c for c in docs.columns if c not in names]
     n = F.greatest(F.col("n_words") - (NGRAM - 1), F.lit(1))
-    total = F.aggregate(_buckets(F.col("_h")), F.lit(0.0), lambda a, b: a + F.get(F.col("table"), b.cast("int")))
-    return base_counts(docs, text).crossJoin(F.broadcast(table)).withColumn("llr", total / n).drop("table", "_h").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    total = F.aggregate(_buckets(F.col("hashes")), F.lit(0.0), lambda a, b: a + F.get(F.col("ratios"), b.cast("int")))
+    found = _counted(docs.select(F.col(f"`{text}`").alias("text"), F.struct(*(f"`{c}`" for c in rest)).alias("row"))).crossJoin(F.broadcast(table.select(F.col("table").alias("ratios"))))
+    found = found.withColumn("llr", total / n).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return found.select(*(F.col("row")[c].alias(c) for c in rest), *names)

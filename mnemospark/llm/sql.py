@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of those queries that SQL can express.
 
-Plain forms: all shingles, all 50-byte strings and all lines are joined as they are, which small tables allow.
+Plain forms: all shingles, all 50-byte strings and all blocks of words are joined as they are, which small tables allow.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ def license_scan() -> str:
 d AS MATERIALIZED (SELECT doc_id, {_LOWER} AS t, regexp_extract_all({_LOWER}, {_LICENSE_WORD}) AS w FROM documents),
 places AS (SELECT doc_id, i, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN phrases ON w[i] = p[1] AND list_slice(w, i, i + len(p) - 1) = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT DISTINCT doc_id, list_sort(list_distinct(regexp_extract_all(line, {_LICENSE_WORD}))) AS tokens FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-held AS (SELECT doc_id, t.label, len(list_intersect(l.tokens, t.tokens)) AS n, len(t.tokens) AS m, needed FROM lines l, templates t WHERE len(l.tokens) >= needed),
+blocks AS (SELECT doc_id, list_distinct(list_slice(w, i + 1, i + {licenses.BLOCK})) AS tokens FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {licenses.BLOCK - licenses.STEP}, 1), {licenses.STEP})) AS i FROM d)),
+held AS (SELECT doc_id, t.label, len(list_intersect(l.tokens, t.tokens)) AS n, len(t.tokens) AS m, needed FROM blocks l, templates t WHERE len(l.tokens) >= needed),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / m) AS containment FROM held WHERE n >= needed GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0::DOUBLE) END AS score
