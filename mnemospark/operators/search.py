@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -14,6 +14,8 @@ from mnemospark.session import ship
 K1, B, RRF = 1.2, 0.75, 60
 #: So many vectors, and so many queries, are packed in one row; so many such rows make an Arrow batch.
 VECTORS, QUERIES, BATCH_ROWS = 1024, 512, 64
+#: Folders of a stored index.
+BUCKETS = 64
 
 
 def terms(queries: DataFrame) -> DataFrame:
@@ -22,28 +24,57 @@ def terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", words.alias("w")).select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """The inverted index: trigram, unit_id, of each text's distinct lower-case trigrams."""
-    low = F.lower("text")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))
-    return units.where(F.length("text") >= 3).select("unit_id", F.explode(grams).alias("gram"))
+def grams(low: Column, n: int = 3) -> Column:
+    """All runs of n characters, each once: one pass of a look-ahead, so linear in the text."""
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+
+
+def postings(units: DataFrame, n: int = 3) -> DataFrame:
+    """The inverted index: gram, unit_id, of each text's distinct lower-case runs of n characters."""
+    return units.where(F.length("text") >= n).select("unit_id", F.explode(grams(F.lower("text"), n)).alias("gram"))
+
+
+def store_index(units: DataFrame, path: str, n: int = 3, buckets: int = BUCKETS) -> None:
+    """Writes the postings as a table whose folders are buckets of grams."""
+    found = postings(units, n).withColumn("bucket", F.pmod(F.hash("gram"), F.lit(buckets)))
+    found.repartition("bucket").sortWithinPartitions("gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, wanted: DataFrame, kind: str = "long", n: int = 3, buckets: int = BUCKETS) -> DataFrame:
+    """The stored postings, of the buckets alone in which grams of the wanted terms can stand: at most ``buckets`` numbers."""
+    asked = wanted.where(F.length("term") >= n).select(F.explode(grams(F.col("term"), n)).alias("gram")).select(F.pmod(F.hash("gram"), F.lit(buckets)).alias("bucket")).distinct()
+    stored = spark.read.schema(f"unit_id {kind}, gram string, bucket int").parquet(path)
+    return stored.where(F.col("bucket").isin([r.bucket for r in asked.collect()])).select("gram", "unit_id")
 
 
 def candidates(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """query_id, term, unit_id: units that hold every trigram of a term of three characters or more."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substr("term", i, F.lit(3))))
-    asked = wanted.where(F.length("term") >= 3).select("query_id", "term", F.size(grams).alias("need"), F.explode(grams).alias("gram"))
+    own = grams(F.col("term"))
+    asked = wanted.where(F.length("term") >= 3).select("query_id", "term", F.size(own).alias("need"), F.explode(own).alias("gram"))
     return index.join(asked, "gram").groupBy("query_id", "term", "need", "unit_id").agg(F.count("*").alias("have")).where("have = need").select("query_id", "term", "unit_id")
 
 
-def keyword(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, unit_id, score: units with all terms as substrings, BM25 with lengths in trigrams, lower is better."""
+def holding(units: DataFrame, wanted: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """query_id, term, unit_id, text: units with the term as a substring of their lower-case text.
+
+    Terms of three characters or more go by trigrams and are then looked for; shorter ones are grams themselves.
+    """
+    found = candidates(postings(units) if index is None else index, wanted)
+    found = found.join(units.select("unit_id", "text"), "unit_id").where(F.contains(F.lower("text"), F.col("term")))
+    return found.select("query_id", "term", "unit_id", "text")
+
+
+def keyword(units: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """query_id, unit_id, score: units with all terms as substrings, BM25 with lengths in trigrams, lower is better.
+
+    index: stored postings of the same units; made anew unless given.
+    """
     wanted = terms(queries)
     low = F.lower("text")
-    found = candidates(postings(units), wanted).join(units.select("unit_id", "text"), "unit_id").where(F.contains(low, F.col("term")))
+    found = holding(units, wanted, index)
     tf = (F.length(low) - F.length(F.replace(low, F.col("term"), F.lit("")))) / F.length("term")
     found = found.select("query_id", "term", "unit_id", tf.alias("tf"), F.greatest(F.length("text") - 2, F.lit(0)).alias("dl"))
-    stats = units.agg(F.count("*").alias("N"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))
+    stats = units.agg(F.count("*").alias("N"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))  # one row
     df = found.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     scored = found.join(df, ["query_id", "term"]).crossJoin(F.broadcast(stats))
     idf = F.greatest(F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -54,9 +85,19 @@ def keyword(units: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def short_terms(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Queries with a term of under three characters: plain substring tests, every term needed."""
-    asked = queries.select("query_id", F.filter(F.split(F.lower("q"), r"\s+"), lambda t: t != "").alias("w")).where(F.exists("w", lambda t: F.length(t) < 3))
-    return units.crossJoin(asked).where(F.forall("w", lambda t: F.contains(F.lower("text"), t))).select("query_id", "unit_id")
+    """query_id, unit_id for queries with a term of under three characters: every term is a substring of the unit.
+
+    A short term is a gram of its own length, so its postings are the answer; longer terms go by trigrams.
+    """
+    wanted = terms(queries)
+    asked = wanted.where(F.length("term") < 3).select("query_id").distinct()
+    wanted = wanted.join(asked, "query_id")
+    hits = holding(units, wanted).select("query_id", "term", "unit_id")
+    for n in (1, 2):
+        own = wanted.where(F.length("term") == n).select("query_id", "term")
+        hits = hits.unionByName(postings(units, n).join(own, F.col("gram") == F.col("term")).select("query_id", "term", "unit_id"))
+    need = wanted.groupBy("query_id").agg(F.max("n_terms").alias("n_terms"))
+    return hits.groupBy("query_id", "unit_id").agg(F.count("*").alias("n")).join(need, "query_id").where("n = n_terms").select("query_id", "unit_id")
 
 
 def best_per_item(hits: DataFrame, item: str, tie: str) -> DataFrame:
@@ -94,25 +135,35 @@ def _packed(key: str, vector: str, most: int):
 
 
 def _best(k: int):
-    """The k best vectors of each query of a packed row of either. Of equal scores the one that stands first."""
+    """The k best vectors of each query of all packed rows of a partition. Of equal scores the ones of the least keys."""
 
     def run(batches):
+        held: dict[bytes, tuple] = {}  # by packed row of queries: their keys, and the best scores and keys so far
         for batch in batches:
             for r in range(batch.num_rows):
                 size, of_query = batch.column("size")[r].as_py(), batch.column("qsize")[r].as_py()
                 if size != of_query:
                     continue
                 ids, query_ids = batch.column("keys")[r].values, batch.column("qkeys")[r].values
-                v, q = (np.frombuffer(batch.column(c)[r].as_py()).reshape(-1, size) if size else np.zeros((len(x), 0)) for c, x in (("numbers", ids), ("qnumbers", query_ids)))
+                raw = batch.column("qnumbers")[r].as_py()
+                v, q = (np.frombuffer(x).reshape(-1, size) if size else np.zeros((len(n), 0)) for x, n in ((batch.column("numbers")[r].as_py(), ids), (raw, query_ids)))
                 with np.errstate(all="ignore"):
                     norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))
                     score = np.where(norm == 0, 0.0, q @ v.T / norm)
                 # Numbers that are none come first, as Spark sorts them.
                 score = np.where(np.isnan(score), np.inf, np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0)
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(score, top, 1).ravel()
-                at = np.repeat(np.arange(len(query_ids)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(at)), ids.take(pa.array(top.ravel())), pa.array(np.where(found == np.inf, np.nan, found))], ["query_id", "vec_id", "score"])
+                own = np.take_along_axis(score, top, 1), np.array(ids)[top]
+                key = bytes(str(query_ids.to_pylist()), "utf-8") + raw[:64]
+                if key in held:
+                    scores, keys = (np.concatenate(x, axis=1) for x in zip(held[key][1:], own, strict=True))
+                    order = np.lexsort((keys, -scores), axis=1)[:, :k]
+                    own = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+                held[key] = (query_ids, *own)
+        for query_ids, scores, keys in held.values():
+            at = np.repeat(np.arange(len(query_ids)), scores.shape[1])
+            found = scores.ravel()
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(at)), pa.array(keys.ravel()), pa.array(np.where(found == np.inf, np.nan, found))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -121,7 +172,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, rank: the k vectors of the greatest cosine; zero vectors score 0.
 
     Queries are packed in blocks of bounded size, vectors too, and every block meets every block, however many there
-    are; of each two blocks only k rows for a query go on. query_id says which rows are one query.
+    are; a task keeps the k best of each of its queries over all its vectors, and only these go on. query_id says which
+    rows are one query. vec_id and query_id: integer columns.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -144,6 +196,66 @@ def fuse(*lists: DataFrame) -> DataFrame:
     return every.groupBy("query_id", "item").agg(F.round(F.sum(1 / (RRF + F.col("rank"))), 8).alias("score"), F.count("*").alias("lists"), F.min("list").alias("first_list"))
 
 
+def semantic(vectors: DataFrame, queries: DataFrame, k: int, item: str) -> DataFrame:
+    """query_id, item, vec_id, score, hit_count, rank: the best chunk of each item among a query's k nearest chunks."""
+    near = nearest(vectors.select("vec_id", "v"), queries, k).drop("rank").join(vectors.select("vec_id", F.col(item).alias("item")), "vec_id")
+    own = Window.partitionBy("query_id", "item")
+    best = near.withColumn("hit_count", F.count("*").over(own)).withColumn("_r", F.row_number().over(own.orderBy(F.desc("score"), "vec_id"))).where("_r = 1").drop("_r")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item")))
+
+
+def ranked(hits: DataFrame, item: str, most: int | None = None) -> DataFrame:
+    """query_id, item, rank of the best hit of each item, by score and item."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", item))
+    found = best_per_item(hits, item, "unit_id").withColumn("rank", place)
+    return (found if most is None else found.where(F.col("rank") <= most)).withColumnRenamed(item, "item")
+
+
+def hybrid(words: DataFrame, near: DataFrame) -> DataFrame:
+    """query_id, item, score, match_reason: fused ranks of a keyword and a semantic list, each query_id, item, rank."""
+    both = fuse(words, near)
+    reason = F.when(F.col("lists") == 2, "both").when(F.col("first_list") == 0, "keyword").otherwise("semantic")
+    return both.select("query_id", "item", "score", reason.alias("match_reason"))
+
+
+MODES = ("keyword", "semantic", "hybrid")
+
+
+def search(mode: str, words: DataFrame, near: DataFrame) -> DataFrame:
+    """query_id, item, score, match_reason in one of three modes, of the lists of keyword and semantic search."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if mode == "hybrid":
+        return hybrid(words, near)
+    own = words if mode == "keyword" else near
+    return own.select("query_id", "item", F.round(1 / (RRF + F.col("rank")), 8).alias("score"), F.lit(mode).alias("match_reason"))
+
+
+def merged(threads: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, item, score of two keyword lists: fused where a query has both, else the one list as it is.
+
+    Both: query_id, item, rank.
+    """
+    return fuse(threads, items).drop("lists", "first_list")
+
+
+def by_date(threads: DataFrame, items: DataFrame, time: str) -> DataFrame:
+    """query_id, item, place of two lists of short terms, which have no score: newest first, undated last."""
+    every = threads.select("query_id", "item", time).unionByName(items.select("query_id", "item", time))
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(time), "item")))
+
+
+def related(lists: DataFrame, k: int) -> DataFrame:
+    """group, item, source, score, reason, place: lists of several queries fused by group, at most half of k from a source.
+
+    lists: group, query_id, item, source, rank. reason: the query in which the item stands highest.
+    """
+    fused = lists.groupBy("group", "item").agg(F.round(F.sum(1 / (RRF + F.col("rank"))), 8).alias("score"), F.min(F.struct("rank", "query_id")).alias("b"), F.min("source").alias("source"))
+    fused = fused.select(F.col("group").alias("query_id"), "item", "source", "score", F.col("b.query_id").alias("reason"))
+    placed = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item")))
+    return diversify(placed, k).select(F.col("query_id").alias("group"), "item", "source", "score", "reason", "place")
+
+
 def diversify(ranked: DataFrame, k: int) -> DataFrame:
     """At most half of k rows from one source in rank order; the overflow fills what is left."""
     own = Window.partitionBy("query_id", "source").orderBy("rank")
