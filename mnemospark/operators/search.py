@@ -261,3 +261,13 @@ def diversify(ranked: DataFrame, k: int) -> DataFrame:
     own = Window.partitionBy("query_id", "source").orderBy("rank")
     spare = ranked.withColumn("overflow", F.row_number().over(own) > (k + 1) // 2)
     return spare.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("overflow", "rank"))).where(F.col("place") <= k)
+
+
+def embedded(units: DataFrame, stored: DataFrame, provider: str, model: str, encoder, only_missing: bool = True) -> DataFrame:
+    """unit_id, provider, model, vector of units that this model has no vector of yet, or of all.
+
+    encoder: a vectorised function from texts to vectors, which loads its model once in each worker.
+    """
+    done = stored.where((F.col("provider") == provider) & (F.col("model") == model)).select("unit_id")
+    todo = units.join(done, "unit_id", "left_anti") if only_missing else units
+    return todo.select("unit_id", F.lit(provider).alias("provider"), F.lit(model).alias("model"), encoder(F.col("text")).alias("vector"))
