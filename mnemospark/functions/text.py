@@ -85,3 +85,55 @@ def chunks(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     cut = own.select(*keys, text, F.coalesce(_windows(F.when(n > CHUNK, F.col(text))), whole).alias("_w"))
     rows = cut.select(*keys, text, F.posexplode("_w").alias("idx", "w")).select(*keys, text, "idx", "w.*")
     return rows.select(*keys, "idx", "start_offset", "end_offset", F.substring(text, F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")).alias("chunk"))
+
+
+@F.pandas_udf(T.StringType())
+def plain_text(html: pd.Series) -> pd.Series:
+    """Text of a piece of HTML: no scripts or styles, a line for each block, one blank line at most."""
+    from html.parser import HTMLParser
+
+    blocks, skipped = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "tr", "blockquote", "pre"}, {"script", "style"}
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.parts: list[str] = []
+            self.inside = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in skipped
+            if tag == "br" or tag in blocks:
+                self.parts.append("\n")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in skipped and self.inside > 0
+            if tag in blocks:
+                self.parts.append("\n")
+
+        def handle_data(self, data):
+            if not self.inside:
+                self.parts.append(data)
+
+    def of(value: str | None) -> str | None:
+        if value is None:
+            return None
+        page = Text()
+        page.feed(value)
+        page.close()
+        lines = [line.rstrip() for line in "".join(page.parts).splitlines()]
+        return "\n".join(line for line, before in zip(lines, ["", *lines], strict=False) if line or before).strip()
+
+    return html.map(of)
+
+
+def redact_tree(column: Column, kind: T.DataType) -> Column:
+    """A nested value with every string in it redacted, at any depth."""
+    if isinstance(kind, T.StringType):
+        return redact(column)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: redact_tree(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, v: redact_tree(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*(redact_tree(column[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return column

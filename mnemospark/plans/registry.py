@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import archive, queries, retrieval
+from mnemospark.plans import archive, facts, queries, retrieval
 
 FLAGSHIP = queries.FLAGSHIP
-REGISTERED: dict[str, tuple] = {**queries.REGISTERED, **archive.REGISTERED, **retrieval.REGISTERED}
+REGISTERED: dict[str, tuple] = {**queries.REGISTERED, **archive.REGISTERED, **retrieval.REGISTERED, **facts.REGISTERED}
