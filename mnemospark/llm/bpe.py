@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import by_bytes, gathered, list_array, map_batches, ragged
 
 #: Bytes of pieces and ids that a Python worker remembers, with what each entry costs; beyond it the memory starts anew.
-CACHE_BYTES, ENTRY = 32_000_000, 160
+CACHE_BYTES, ENTRY = 60_000_000, 160
 #: Text that is encoded at once, but for longer single texts: fewer queries, and their fixed cost weighs less.
 BATCH_BYTES = 1_000_000
 #: Pieces are contracted in windows of so many bytes, of which neighbours share the last and first OVERLAP; a piece of no
@@ -187,15 +187,16 @@ class Coder:
         return out + (self.contract(pieces[begin:]) if begin < len(pieces) else [])
 
     def tokens(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece, by way of windows."""
-        plans = [_Windows(piece) for piece in pieces]
-        todo = plans
+        """The ids of each piece; pieces of no more than a window are contracted at once, others by way of windows."""
+        short = iter(self.windows([piece for piece in pieces if len(piece) <= WINDOW]))
+        plans = [_Windows(piece) if len(piece) > WINDOW else None for piece in pieces]
+        todo = [plan for plan in plans if plan]
         while todo:
             spans = [(plan, span) for plan in todo for span in plan.missing()]
             for (plan, (a, b)), ids in zip(spans, self.windows([plan.piece[a:b] for plan, (a, b) in spans]), strict=True):
                 plan.known[a, b] = ids, a + np.concatenate([[0], np.cumsum(self.sizes[ids])])
             todo = [plan for plan in todo if not plan.settle()]
-        return [plan.ids for plan in plans]
+        return [plan.ids if plan else next(short) for plan in plans]
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of these pieces into the memory."""
