@@ -3,17 +3,20 @@
 A text's set holds its distinct word n-grams, as 64-bit hashes. Two texts link when
 ``den * |intersection| >= num * |union|``. A global order of the n-grams makes prefixes: linked sets of n elements
 share one of the first n - ceil(num/den * n) + 1 under any order. The first order puts the n-grams of many documents
-last and sorts the rest by hash; it makes the candidates. Candidates must then agree with the sizes and with parity
-bitmaps (the bits in which two bitmaps differ are a lower bound of the elements in which the sets do), and must share
-prefix elements under further orders too. Who passes all filters is verified on the whole sets.
+last and sorts the rest by hash; its prefixes make the candidates, of which sizes and short parity bitmaps leave those
+that can link (the bits in which two bitmaps differ are a lower bound of the elements in which the sets do). Each node
+also has its prefixes under further orders: a candidate pair must share an element in every one of them, and agree with
+full bitmaps, before any set moves. Who passes all filters is verified on the whole sets.
 
-Documents of equal sets are one node. Of each group of a prefix element, large ones dealt out in pairs of blocks, a
-forest of nearest neighbours is verified first; only pairs whose nodes are still in different components after that
-are verified in a second round. No link between components is lost, and neither round makes all pairs of a group.
+Documents of equal sets are one node. Two rounds find the components. In the first, a forest of nearest neighbours
+inside each group of a prefix element is verified, large groups dealt by node and element into blocks of bounded size;
+a node meets other blocks' nodes through its other elements. In the second, groups whose nodes are still in different
+components are compared across components: nodes of a group's largest component stand in one block each, the others
+in all of its blocks. So a group's pairs are never made, and no link between components is lost.
 
 Null and empty texts have empty sets and link with nothing; a text of fewer words than n has one n-gram, the whole.
 Rows of equal sets are linked, repeated rows too. A row without an id takes part; the component's id is the smallest
-id there is (null if there is none). Columns other than id and text don't matter.
+id there is (null if there is none). An empty table has no rows. Columns other than id and text don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, deal, map_batches, materialize, mix64, ragged, split_words, text_bytes, word_hashes
-from .suffix_dedup import MESSAGE, _by_key, _joined, _packs, _send, _unpack, row_keys
+from .suffix_dedup import MESSAGE, _by_key, _joined, _messages, _packs, _send, _unpack, row_keys
 
 #: n-grams in the lowest 1/LOW of the hashes are counted; those of over HOT documents come last in the first order.
 LOW, HOT = 8, 48
@@ -69,11 +72,22 @@ def prefix_size(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
+def _hold(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ones."""
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values if len(sorted_) else np.zeros(len(values), bool)
+
+
+def further(values: np.ndarray, num: int, den: int) -> bytes:
+    """A set's prefixes under the further orders, one after the other, as 32 bits of each element's hash."""
+    n = prefix_size(len(values), num, den)
+    return b"".join((np.sort(mix64(values ^ np.uint64(seed)))[:n] >> np.uint64(32)).astype(np.uint32).tobytes() for seed in ORDERS)
+
+
 def prefixes(values: np.ndarray, starts: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether each element is in its row's prefix under the first order."""
     n = np.diff(starts)
     row = np.repeat(np.arange(len(n)), n)
-    late = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values if len(hot) else np.zeros(len(values), bool)
+    late = _hold(hot, values)
     want = np.where(n > 0, prefix_size(n, num, den), 0)
 
     def rank(flag):
@@ -139,12 +153,13 @@ def _hot(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u[n > HOT].view(np.int64)), pa.array(n[n > HOT])], ["t", "n"])
 
 
-def hot_elements(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """The n-grams to come last, at most HOT_MOST, as sorted numbers."""
+def hot_elements(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams to come last, at most HOT_MOST, as sorted numbers, and how many documents have each."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = map_batches(deal(map_batches(docs.select(text), _low(text, k, parts), MESSAGE), parts), _hot, "t long, n long")
-    found = counted.orderBy(F.desc("n"), "t").limit(HOT_MOST).toPandas()["t"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    found = counted.orderBy(F.desc("n"), "t").limit(HOT_MOST).toPandas()
+    t, n = found["t"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    return t[np.argsort(t)], n[np.argsort(t)]
 
 
 # ---- candidates ----------------------------------------------------------------------------------
@@ -157,31 +172,39 @@ def _table(doc_id: str, text: str, k: int, num: int, den: int, hot):
             values, starts = sets(batch.column(text), k)
             n = np.diff(starts)
             sig, key = _sigs(values, starts), row_keys(batch.column(doc_id), batch.column(text)).view(np.int64)
-            chosen = prefixes(values, starts, hot.value, num, den)
-            prefix, bits = [], []
+            chosen = prefixes(values, starts, hot.value[0], num, den)
+            prefix, bits, orders = [], [], []
             for i, s in enumerate(sig.tolist()):
                 if n[i] == 0 or s in seen:  # once in a task is enough
-                    prefix.append(None), bits.append(None)
+                    prefix.append(None), bits.append(None), orders.append(None)
                     continue
                 seen.add(s)
                 a, b = starts[i], starts[i + 1]
                 prefix.append(values[a:b][chosen[a:b]].tobytes())
                 bits.append(bitmap(values[a:b]).tobytes())
+                orders.append(further(values[a:b], num, den))
             if len(seen) > 200_000:
                 seen = set()
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(key), pa.array(sig), pa.array(n), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "key", "sig", "n", "prefix", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(key), pa.array(sig), pa.array(n), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary()), pa.array(orders, pa.binary())], ["doc_id", "key", "sig", "n", "prefix", "bitmap", "orders"])
 
     return run
 
 
-def _postings(parts: int):
+def _postings(parts: int, hot):
+    """Prefix elements to the tasks of their groups (kind 0). How many have a hot one is known, so it goes on at once (kind 2)."""
+
     def run(batches):
         def rows():
             held, size = [], 0
 
             def out():
                 t, s = (np.concatenate(x) for x in zip(*held, strict=True))
-                return _by_key((t % np.uint64(parts)).astype(np.int64), {"t": t, "s": s}, 0)
+                known = _hold(hot.value[0], t)
+                yield from _by_key((t[~known] % np.uint64(parts)).astype(np.int64), {"t": t[~known], "s": s[~known]}, 0)
+                if known.any():
+                    t, s = t[known], s[known]
+                    n = hot.value[1][np.searchsorted(hot.value[0], t)]
+                    yield from ((k, 2, d) for k, _, d in _by_key((s.view(np.uint64) % np.uint64(parts)).astype(np.int64), {"t": t, "s": s, "b": np.maximum(-(-n // BLOCK), 1)}, 0))
 
             for batch in batches:
                 raw = batch.column("prefix").to_pylist()
@@ -203,7 +226,13 @@ def _groups(parts: int):
     """Postings whose element several nodes have, with the number of blocks of its group."""
 
     def run(batches):
-        got = [_unpack(x) for b in batches for x in b.column("data").to_pylist()]
+        got = []
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if kind == 2:
+                    yield _messages([(batch.column("key")[0].as_py(), 0, data)])
+                else:
+                    got.append(_unpack(data))
         if not got:
             return
         t, s = _joined(got, "t"), _joined(got, "s")
@@ -238,7 +267,7 @@ def _nodes(parts: int):
 
 
 def _meet(parts: int):
-    """Postings with their nodes' sizes and bitmaps, to the groups; for large ones to each pair of blocks."""
+    """Postings with their nodes' sizes and bitmaps, to the groups, of large ones to one of their blocks."""
 
     def run(batches):
         post, nodes = [], []
@@ -257,13 +286,10 @@ def _meet(parts: int):
             for a in range(0, len(every[0]), 400_000):
                 ps, t, b = (c[a : a + 400_000] for c in every)
                 node = np.searchsorted(s, ps)
-                times = np.maximum(b, 1)
-                i = np.repeat(np.arange(len(ps)), times)
-                other = ragged(np.zeros(len(ps), np.int64), times)
-                own = np.where(b > 0, (mix64(ps.view(np.uint64)) % np.maximum(b, 1).astype(np.uint64)).astype(np.int64), 0)[i]
-                code = np.where(b[i] > 0, 2 + (np.minimum(own, other) << 31) + (np.maximum(own, other) << 1) + (own > other), 0)
-                key = mix64(t[i] ^ (code >> 1).astype(np.uint64))
-                yield from _by_key((key % np.uint64(parts)).astype(np.int64), {"t": t[i], "code": code, "s": ps[i], "n": n[node][i], "m": m.take(pa.array(node[i]))}, 0)
+                block = (mix64(ps.view(np.uint64) ^ t) % np.maximum(b, 1).astype(np.uint64)).astype(np.int64)
+                code = np.where(b > 0, block + 1, 0)
+                key = mix64(t ^ code.astype(np.uint64))
+                yield from _by_key((key % np.uint64(parts)).astype(np.int64), {"t": t, "code": code, "s": ps, "n": n[node], "m": m.take(pa.array(node))}, 0)
 
         yield from _send(rows())
 
@@ -275,47 +301,49 @@ def _passes(n1, n2, differ, num: int, den: int):
     return (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & ((total - differ) * (den + num) >= 2 * num * total)
 
 
-def _large(n: np.ndarray, m: np.ndarray, side: np.ndarray, num: int, den: int, comp: np.ndarray | None):
-    """Pairs of a large group that pass: the nearest earlier node of each, or with comp all of other components.
+def _nearest(n: np.ndarray, m: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node of a block the nearest earlier one that passes, as pairs."""
+    out = []
+    for x in range(0, len(n), 128):
+        i = np.arange(x, min(x + 128, len(n)))
+        differ = _differ(m[i], m)
+        ok = _passes(n[i][:, None], n[None, :], differ, num, den) & (np.arange(len(n))[None, :] < i[:, None])
+        differ[~ok] = 64 * m.shape[1] + 1
+        p = np.flatnonzero(ok.any(1))
+        out.append((i[p], differ.argmin(1)[p]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    Also whether a node is in any pair that passes.
-    """
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    within = not len(right) or not len(left)
-    a, b = (np.arange(len(n)),) * 2 if within else (left, right)
-    out, any_ = [], np.zeros(len(n), bool)
-    for x in range(0, len(a), 128):
-        i = a[x : x + 128]
-        differ = np.zeros((len(i), len(b)), np.int64)
-        for w in range(m.shape[1]):
-            differ += np.bitwise_count(m[i, w][:, None] ^ m[b, w][None, :])
-        ok = _passes(n[i][:, None], n[b][None, :], differ, num, den)
-        if within:
-            ok &= b[None, :] < i[:, None]
-        any_[i] |= ok.any(1)
-        any_[b] |= ok.any(0)
-        if comp is not None:
-            p, q = np.nonzero(ok & (comp[i][:, None] != comp[b][None, :]))
-        else:
-            differ[~ok] = 64 * m.shape[1] + 1
-            q = differ.argmin(1)
-            p = np.flatnonzero(ok.any(1))
-            q = q[p]
-        out.append((i[p], b[q]))
-    return *(np.concatenate(x) for x in zip(*out, strict=True)), any_
-
-
-_EDGE = "a long, b long, t long, code long, s long"
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    differ = np.zeros((len(a), len(b)), np.int64)
+    for w in range(a.shape[1]):
+        differ += np.bitwise_count(a[:, w][:, None] ^ b[:, w][None, :])
+    return differ
+
+
+def _across(n: np.ndarray, m: np.ndarray, side: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a node with side True and any other, of different components, that pass."""
+    left = np.flatnonzero(side)
+    out = [(np.zeros(0, np.int64),) * 2]
+    for x in range(0, len(left), 128):
+        i = left[x : x + 128]
+        ok = _passes(n[i][:, None], n[None, :], _differ(m[i], m), num, den) & (comp[i][:, None] != comp[None, :])
+        p, q = np.nonzero(ok)
+        out.append((i[p], q))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+_EDGE = "a long, b long, t long, s long"
 
 
 def _edges_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], ["a", "b", "t", "code", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], ["a", "b", "t", "s"])
 
 
-def _again_batch(t: np.ndarray, code: np.ndarray, s: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+def _again_batch(t: np.ndarray, s: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(which), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.array(t[which].view(np.int64)), pa.array(code[which]), pa.array(s[which])], ["a", "b", "t", "code", "s"])
+    return pa.RecordBatch.from_arrays([none, none, pa.array(t[which].view(np.int64)), pa.array(s[which])], ["a", "b", "t", "s"])
 
 
 def _candidates(num: int, den: int):
@@ -332,7 +360,7 @@ def _candidates(num: int, den: int):
         order = np.lexsort((s, n, code, t))
         t, code, s, n, m = t[order], code[order], s[order], n[order], m[order]
         new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (code[1:] >> 1 != code[:-1] >> 1)
+        new[1:] = (t[1:] != t[:-1]) | (code[1:] != code[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(t)))
         small = (code[first] == 0) & (size > 1)
@@ -358,29 +386,29 @@ def _candidates(num: int, den: int):
                 if len(best) < len(i):  # the group's other pairs may matter in the second round
                     some = np.unique(group[j[np.setdiff1d(np.arange(len(i)), best)]])
                     member = np.unique(np.concatenate([i, j]))
-                    yield _again_batch(t, code, s, member[np.isin(group[member], some)])
-        for g in np.flatnonzero((code[first] > 0) & (size > 1)):
+                    yield _again_batch(t, s, member[np.isin(group[member], some)])
+        for g in np.flatnonzero(code[first] > 0):
             own = slice(first[g], first[g] + size[g])
-            a, b, any_ = _large(n[own], m[own], code[own] & 1 if _two(code[own]) else np.zeros(size[g], np.int64), num, den, None)
-            yield _edges_batch(s[own][a], s[own][b])
-            yield _again_batch(t, code, s, first[g] + np.flatnonzero(any_))
+            if size[g] > 1:
+                a, b = _nearest(n[own], m[own], num, den)
+                yield _edges_batch(s[own][a], s[own][b])
+            yield _again_batch(t, s, np.arange(own.start, own.stop))  # its other blocks are yet to be met
 
     return run
 
 
-def _two(code: np.ndarray) -> bool:
-    return bool((((code - 2) >> 31) != (((code - 2) >> 1) & ((1 << 30) - 1))).any())
-
-
 def _second(num: int, den: int):
-    """The pairs of large groups that pass and are in different components. Rows come sorted by group."""
+    """Pairs that pass, of different components, of a node outside its group's largest component with another.
+
+    Rows come sorted by group and block. Two nodes outside it meet in all blocks; their pair is made in one.
+    """
 
     def run(batches):
         def groups():
             held: list[pa.RecordBatch] = []
             last = None
             for batch in batches:
-                g = np.stack([batch.column("t").to_numpy(), batch.column("code").to_numpy() >> 1])
+                g = np.stack([batch.column("t").to_numpy(), batch.column("block").to_numpy()])
                 cut = np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1
                 for x, y in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                     if y > x:
@@ -393,26 +421,24 @@ def _second(num: int, den: int):
                 yield held
 
         for held in groups():
-            comp = _joined(held, "c")
-            if (comp == comp[0]).all():
-                continue
-            code, s, n = (_joined(held, c) for c in ("code", "s", "n"))
+            comp, s, n, minor = (_joined(held, c) for c in ("c", "s", "n", "minor"))
+            block, blocks = held[0].column("block")[0].as_py(), held[0].column("blocks")[0].as_py()
             maps = [np.frombuffer(x, np.uint64) for h in held for x in h.column("m").to_pylist()]
             words = np.array([len(m) for m in maps])
-            blocks = code & 1 if _two(code) else None
             for w in np.unique(words):
                 # Sizes that can link differ by less than a half, so their bitmaps by a factor of two at most.
-                same, twice = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
-                sets_ = [(same, np.zeros(len(same), np.int64) if blocks is None else blocks[same])]
-                if len(twice):
-                    both = np.concatenate([same, twice])
-                    sets_.append((both, (words[both] != w).astype(np.int64)))
-                for own, side in sets_:
-                    m = np.stack([fold(maps[x], w) for x in own])
-                    a, b, _ = _large(n[own], m, side, num, den, comp[own])
-                    a, b = s[own[a]], s[own[b]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                own = np.flatnonzero((words == w) | (words == 2 * w))
+                own = own[np.argsort(words[own] != w, kind="stable")]
+                m = np.stack([fold(maps[x], w) for x in own])
+                a, b = _across(n[own], m, minor[own].astype(bool), comp[own], num, den)
+                keep = (words[own][a] == w) | (words[own][b] == w)  # pairs of the larger size have a turn of their own
+                a, b = own[a[keep]], own[b[keep]]
+                both = minor[a].astype(bool) & minor[b].astype(bool)
+                turn = (mix64(np.minimum(s[a], s[b]).view(np.uint64)) % np.uint64(blocks)).astype(np.int64) == block
+                keep = ~both | (turn & (s[a] < s[b]))
+                a, b = s[a[keep]], s[b[keep]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -420,18 +446,25 @@ def _second(num: int, den: int):
 # ---- verification --------------------------------------------------------------------------------
 
 
+def shares_all(x: bytes, y: bytes) -> bool:
+    """Whether two sets have an element in both prefixes under every further order."""
+    a, b = (np.frombuffer(v, np.uint32).reshape(len(ORDERS), -1) for v in (x, y))
+    return all(len(np.intersect1d(p, q)) for p, q in zip(a, b, strict=True))
+
+
 def _close(num: int, den: int):
-    """Pairs that their full bitmaps, folded to one size, leave possible."""
+    """Pairs that share prefixes under all orders, and that their full bitmaps, folded to one size, leave possible."""
 
     def run(batches):
         for batch in batches:
             n1, n2 = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            shared = [shares_all(x, y) for x, y in zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), strict=True)]
             differ = []
             for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 w = min(len(a), len(b))
                 differ.append(int(np.bitwise_count(fold(a, w) ^ fold(b, w)).sum()))
-            yield batch.select(["a", "b"]).filter(pa.array(_passes(n1, n2, np.array(differ, np.int64), num, den)))
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(shared, bool) & _passes(n1, n2, np.array(differ, np.int64), num, den)))
 
     return run
 
@@ -474,23 +507,14 @@ def _wanted_sets(doc_id: str, text: str, k: int):
     return run
 
 
-def shares_prefix(a: np.ndarray, b: np.ndarray, seed: int, num: int, den: int) -> bool:
-    """Whether both sets have an element in both prefixes under the order of this seed."""
-    x, y = (np.sort(mix64(v ^ np.uint64(seed)))[: prefix_size(len(v), num, den)] for v in (a, b))
-    return len(np.intersect1d(x, y, assume_unique=True)) > 0
-
-
 def _verified(num: int, den: int):
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ea").to_pylist(), batch.column("eb").to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok = all(shares_prefix(a, b, seed, num, den) for seed in ORDERS)
-                if ok:
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    ok = den * both >= num * (len(a) + len(b) - both)
-                keep.append(ok)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(den * both >= num * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -522,19 +546,21 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hot = spark.sparkContext.broadcast(hot_elements(docs, "text", k))  # HOT_MOST numbers at most
-    table = materialize(map_batches(docs, _table("doc_id", "text", k, num, den, hot), "doc_id long, key long, sig long, n long, prefix binary, bitmap binary"), "sets")
+    table = materialize(map_batches(docs, _table("doc_id", "text", k, num, den, hot), "doc_id long, key long, sig long, n long, prefix binary, bitmap binary, orders binary"), "sets")
     own = table.where("prefix IS NOT NULL")
-    groups = map_batches(deal(map_batches(own.select("sig", "prefix"), _postings(parts), MESSAGE), parts), _groups(parts), MESSAGE)
+    groups = map_batches(deal(map_batches(own.select("sig", "prefix"), _postings(parts, hot), MESSAGE), parts), _groups(parts), MESSAGE)
     nodes = map_batches(own.select("sig", "n", "bitmap"), _nodes(parts), MESSAGE)
     met = map_batches(deal(groups.unionAll(nodes), parts), _meet(parts), MESSAGE)
     found = materialize(map_batches(deal(met, parts), _candidates(num, den), _EDGE), "candidates")
 
     pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-    again = found.where("s IS NOT NULL").select("t", "code", "s")
-    bits = materialize(own.select("sig", "n", "bitmap").dropDuplicates(["sig"]), "bitmaps")
-    # Before whole sets are fetched, pairs are held against the full bitmaps.
-    both = pairs.join(bits.toDF("a", "na", "ma"), "a").join(bits.toDF("b", "nb", "mb"), "b")
-    pairs = map_batches(both, _close(num, den), "a long, b long")
+    again = found.where("s IS NOT NULL").select("t", "s")
+    bits = materialize(own.select("sig", "n", "bitmap", "orders").dropDuplicates(["sig"]), "bitmaps")
+
+    def filtered(pairs: DataFrame) -> DataFrame:
+        """Before whole sets are fetched, pairs are held against all further orders and the full bitmaps."""
+        both = pairs.join(bits.toDF("a", "na", "ma", "oa"), "a").join(bits.toDF("b", "nb", "mb", "ob"), "b")
+        return map_batches(both, _close(num, den), "a long, b long")
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
@@ -545,17 +571,32 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         both = pairs.join(got.toDF("a", "ea"), "a").join(got.toDF("b", "eb"), "b")
         return materialize(map_batches(both, _verified(num, den), "a long, b long"), "links")
 
-    first = links(pairs)
+    first = links(filtered(pairs))
     roots = components(first)
-    placed = again.join(roots, F.col("s") == F.col("node"), "left").select("t", "code", F.shiftright("code", 1).alias("g"), "s", F.coalesce("root", "s").alias("c"))
-    mixed = placed.groupBy("t", "g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("t", "g")
-    placed = materialize(placed.join(mixed, ["t", "g"], "left_semi"), "again")
+    placed = again.join(roots, F.col("s") == F.col("node"), "left").select("t", "s", F.coalesce("root", "s").alias("c"))
+    # The groups with several components: their largest one, and into how many blocks it is dealt.
+    sizes = placed.groupBy("t", "c").agg(F.count("*").alias("k")).groupBy("t").agg(F.max(F.struct("k", "c"))["c"].alias("major"), F.sum("k").alias("size"), F.count("*").alias("several")).where("several > 1")
+    mixed = sizes.select("t", "major", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    placed = placed.join(mixed, "t").withColumn("minor", F.col("c") != F.col("major"))
+    spread = F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("s"), F.col("blocks"))))
+    placed = materialize(placed.select("t", "s", "c", "minor", "blocks", F.explode(spread).alias("block")), "again")
     if not placed.isEmpty():
-        placed = placed.join(bits, F.col("s") == F.col("sig")).select("t", "code", "s", "n", F.col("bitmap").alias("m"), "c")
-        placed = placed.repartition(parts, "t", F.shiftright("code", 1)).sortWithinPartitions("t", "code")
-        more = links(map_batches(placed, _second(num, den), "a long, b long").distinct())
+        placed = placed.join(bits.select(F.col("sig").alias("s"), "n", F.col("bitmap").alias("m")), "s").select("t", "block", "blocks", "s", "n", "m", "c", F.col("minor").cast("int").alias("minor"))
+        placed = placed.repartition(parts, "t", "block").sortWithinPartitions("t", "block")
+        more = links(filtered(map_batches(placed, _second(num, den), "a long, b long").distinct()))
         roots = components(first.unionAll(more))
     labelled = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(roots, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sig").alias("label"))
-    least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "l")
-    out = labelled.join(least, F.col("label") == F.col("l"), "left")
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return _with_least(labelled, parts, doc_id)
+
+
+def _with_least(labelled: DataFrame, parts: int, doc_id: str) -> DataFrame:
+    """Rows with the smallest id of their label. Labels of many rows are few and broadcast, so that no task has all of one."""
+    labelled = materialize(labelled, "labelled")
+    least = materialize(labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")), "least")
+    most = least.agg(F.sum("k").alias("k")).first().k or 0
+    large = least.where(F.col("k") > max(most // (4 * parts), 1))  # at most 4 * parts labels
+    known = F.broadcast(large.select(F.col("label").alias("l"), F.struct("least").alias("big")))
+    marked = labelled.join(known, F.col("label") == F.col("l"), "left").drop("l")
+    rest = marked.where("big IS NULL").drop("big").join(least.select(F.col("label").alias("l"), "least"), F.col("label") == F.col("l"), "left")
+    every = marked.where("big IS NOT NULL").select("doc_id", "n", "label", F.col("big.least").alias("least")).unionAll(rest.select("doc_id", "n", "label", "least"))
+    return every.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

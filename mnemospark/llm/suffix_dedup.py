@@ -10,12 +10,14 @@ a text depend on its content alone, and equal windows lie in phrases of one trig
 2. Texts meet the triggers they share with others. Phrases around these form the dictionary; within a task a phrase
    is kept once, with the least document that has it, and later documents' places are marked at once.
 3. Dictionary phrases of one trigger meet. The suffix array of the dictionary, to LENGTH bytes, puts equal windows
-   next to each other; with the documents of the parse this is the corpus order of all repeated suffixes, and each
-   window's first document. Windows with an earlier document are marked.
+   next to each other. Phrases overlap by LENGTH - 1 bytes, so no window leaves its phrase, and of the parse its
+   documents are all that the order of two equal windows hangs on: where a phrase stands is kept as a list sorted by
+   document, in place of a suffix array of the parse. Both combined give each window's first document; windows with an
+   earlier one are marked. The windows of a trigger with many phrases are sorted in passes of bounded size.
 4. Marks meet their texts, and what is marked goes.
 
 Null texts count as empty. Rows without an id come after all others; rows of one id don't remove each other's bytes.
-Rows alike in id and text get the same result. Other columns pass through. Hashes have 64 bits (48 in the first
+Rows alike in id and text get the same result. An empty table has no rows. Other columns pass through. Hashes have 64 bits (48 in the first
 filter); windows are compared by their bytes.
 """
 
@@ -279,24 +281,34 @@ def first_documents(data: np.ndarray, starts: np.ndarray, n: np.ndarray, doc: np
     """The least document of each window, in the order of phrases and windows.
 
     The suffix array of the dictionary to LENGTH bytes: windows sorted as big-endian words; equal ones are neighbours.
+    More windows than SORT_WINDOWS are sorted in several passes, equal ones in one, by a hash of their bytes.
     """
     size = n + LENGTH - 1
     data = data[ragged(starts, size)]
     at = ragged(np.cumsum(size) - size, n)
     own = np.repeat(doc, n)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(len(data) + 1, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + len(word)]
-    words = [word[at + k] for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
-    order = np.lexsort(words[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for w in words:
-        new[1:] |= w[order][1:] != w[order][:-1]
-    group = np.cumsum(new) - 1
-    out = np.empty(len(order), np.int64)
-    out[order] = np.minimum.reduceat(own[order], np.flatnonzero(new))[group] if len(order) else []
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))  # the word that starts at each byte
+    places = (*range(0, LENGTH - 8, 8), LENGTH - 8)
+    out = np.empty(len(at), np.int64)
+    passes = -(-len(at) // SORT_WINDOWS)
+    turn = np.zeros(len(at), np.uint64)
+    for k in places if passes > 1 else ():
+        turn = mix64(turn ^ words[at + k].astype(np.uint64))
+    turn %= np.uint64(max(passes, 1))
+    for p in range(passes):
+        some = np.flatnonzero(turn == p)
+        if not len(some):
+            continue
+        keys = [words[at[some] + k].astype(np.uint64) for k in places]
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for w in keys:
+            w = w[order]
+            new[1:] |= w[1:] != w[:-1]
+        least = np.minimum.reduceat(own[some][order], np.flatnonzero(new))
+        out[some[order]] = least[np.cumsum(new) - 1]
     return out
 
 

@@ -62,7 +62,11 @@ def test_classifiers(spark, odd):
     assert quality.score(odd, model).count() == len(ODD)
 
 
-def test_ngram_components(spark):
+@pytest.mark.parametrize("sizes", [(24, 1536, 48), (3, 8, 2)])
+def test_ngram_components(spark, monkeypatch, sizes):
+    """With production sizes, and with small ones, so that groups of this table are large and hot."""
+    for name, value in zip(("SMALL", "BLOCK", "HOT"), sizes, strict=True):
+        monkeypatch.setattr(ngram_join, name, value)
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(3000)]
     base = [[rnd.choice(words) for _ in range(rnd.randrange(60, 300))] for _ in range(6)]
