@@ -10,10 +10,7 @@ TRACKING = ["fbclid", "gclid", "dclid", "msclkid", "igshid", "si", "t", "ref_src
 HOST_TRACKING = {"x.com": ["s"]}
 HOST_ALIASES = {"twitter.com": "x.com", "mobile.twitter.com": "x.com", "m.twitter.com": "x.com", "mobile.x.com": "x.com", "m.youtube.com": "youtube.com"}
 # First parts of paths that belong to the site and not to an owner of repositories.
-NO_OWNERS = (
-    "about apps codespaces collections contact customer-stories enterprise explore features join login marketplace new "
-    "notifications orgs pricing search settings sponsors topics trending"
-).split()
+NO_OWNERS = ["about", "apps", "codespaces", "collections", "contact", "customer-stories", "enterprise", "explore", "features", "join", "login", "marketplace", "new", "notifications", "orgs", "pricing", "search", "settings", "sponsors", "topics", "trending"]
 # Phrases in which a text would diagnose or prescribe; without white space, and with single spaces.
 UNSAFE_TIGHT = [r"と診断(し|され)ます", r"診断は[^。]{0,20}です", r"(服用|内服)を(中止|開始)(してください|すべきです|します)", r"(増量|減量|処方)(してください|すべきです|します)", r"薬を(やめ|始め)(てください|るべきです)"]
 UNSAFE_SPACED = [r"\byou (have|should (take|stop|start))\b", r"\b(diagnos(is|ed) is|I diagnose)\b"]

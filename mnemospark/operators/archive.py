@@ -45,7 +45,8 @@ def duplicate_keys(rows: DataFrame, *key: str) -> DataFrame:
 
 def changes(incoming: DataFrame, stored: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """insert, update or skip for each incoming row, by a hash of its content."""
-    digest = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    # As JSON, so that nulls, empty texts and separators inside values stay apart.
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
     old = stored.select(key, digest.alias("old_hash"))
     new = incoming.select(key, digest.alias("new_hash"))
     return new.join(old, key, "left").select(key, F.when(F.col("old_hash").isNull(), "insert").when(F.col("old_hash") == F.col("new_hash"), "skip").otherwise("update").alias("action"))
@@ -61,16 +62,6 @@ def prune(stored: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return stored.join(listed.select(key).distinct(), key, "left_semi")
 
 
-def url_key(url) -> F.Column:
-    """A normalised URL: lower-case host without www. and default port, no tracking parameters, others sorted, no
-    fragment or closing slash. Null for what is not http."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^(www|m)\.", ""), ":(80|443)$", "")
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
-    params = F.array_sort(F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).rlike("^(utm_.*|ref|fbclid|gclid|source)$")))
-    query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")
-    return F.when(url.rlike("(?i)^https?://") & host.isNotNull(), F.concat(F.lit("https://"), host, path, query))
-
-
 def linked_pairs(keys: DataFrame, most: int = MOST_LINKED) -> DataFrame:
     """Pairs of items that share a key. keys: item, via, key. Group sizes are bounded before the self join."""
     keys = keys.where("key IS NOT NULL").distinct()

@@ -126,4 +126,4 @@ def overlaps(events: DataFrame, since: str, until: str) -> DataFrame:
 
 def fingerprints(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows once for each fingerprint over the identifying columns."""
-    return rows.withColumn("fingerprint", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)).dropDuplicates(["fingerprint"])
+    return rows.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)).dropDuplicates(["fingerprint"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import entities, keys, text
 from mnemospark.operators import archive, filters, items, maintenance
-from mnemospark.plans.queries import _messages, _read
+from mnemospark.plans.queries import _messages, _NORMAL, _read
 from mnemospark.session import ship
 
 def _id() -> F.Column:
@@ -57,9 +57,6 @@ def _linked(spark, d) -> DataFrame:
 
 
 _LINKED = "linked AS (SELECT page_id AS unit_id, url, 'See (' || url || '), and https://github.com/Org' || page_id % 20 || '/Tool' || page_id % 7 || '.git, or again ' || url || '; it is github.com/issues/blob.' AS text FROM pages)"
-# The pages' URLs have no user, port or codes, so few rules of the normal form bear on them.
-_PARAMS = "list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|dclid|msclkid|igshid|si|t|ref_src|ref_url|mc_cid|mc_eid)$')))"
-_NORMAL = f"regexp_extract(lower(url), '^(https?://)', 1) || regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') || CASE WHEN len({_PARAMS}) > 0 THEN '?' || array_to_string({_PARAMS}, '&') ELSE '' END"
 _STRIPPED = "list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'ref', 'source')))"
 _CANONICAL = f"regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') || CASE WHEN len({_STRIPPED}) > 0 THEN '?' || array_to_string({_STRIPPED}, '&') ELSE '' END"
 _MENTIONS = f"mentions AS (SELECT unit_id, 'url' AS kind, {_CANONICAL} AS canonical_name, 2 AS n FROM linked UNION ALL SELECT unit_id, 'url', 'https://github.com/Org' || unit_id % 20 || '/Tool' || unit_id % 7 || '.git', 1 FROM linked UNION ALL SELECT unit_id, 'repo', 'https://github.com/org' || unit_id % 20 || '/tool' || unit_id % 7, 1 FROM linked)"
@@ -347,7 +344,6 @@ def q_json_export(spark, d):
     return rows.select("j.conv_id", "j.schema", F.size("j.messages").alias("n"), F.md5(F.array_join(F.transform("j.messages", lambda m: m["text"]), "|")).alias("texts_md5"))
 
 
-_DERIVED_URL = f"{_NORMAL}"
 _HALF = "regexp_replace({}, '/[^/]*$', '')"
 _PAIRS = """keyed AS (SELECT DISTINCT * FROM ({})), good AS (SELECT via, key FROM keyed WHERE key IS NOT NULL GROUP BY ALL HAVING count(*) BETWEEN 2 AND 30),
 pairs AS (SELECT DISTINCT x.item AS a, y.item AS b, via FROM keyed x JOIN keyed y USING (via, key) JOIN good USING (via, key) WHERE x.item < y.item)"""

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions import text
+from mnemospark.functions import keys, text
 from mnemospark.operators import archive, integrity, maintenance, observations, reports, search
 from mnemospark.session import ship
 from mnemospark.streaming import feeds
@@ -92,7 +92,7 @@ for _provider, _pattern in text.SECRETS:
 
 
 def _links(spark, d) -> DataFrame:
-    return archive.linked_pairs(_read(spark, d, "pages").select(F.col("page_id").alias("item"), F.lit("url").alias("via"), F.regexp_replace(archive.url_key(F.col("url")), r"/[^/]*$", "").alias("key")))
+    return archive.linked_pairs(_read(spark, d, "pages").select(F.col("page_id").alias("item"), F.lit("url").alias("via"), F.regexp_replace(keys.normal_url(F.col("url")), r"/[^/]*$", "").alias("key")))
 
 
 def q_chunks(spark, d):
@@ -200,11 +200,6 @@ def q_admissible(spark, d):
     return reports.admissible(lines, _read(spark, d, "part").where("p_size <= 30"), "l_orderkey", "p_partkey")
 
 
-def q_title_queries(spark, d):
-    first = _messages(spark, d).where("turn = 0").select("conv_id", F.left("text", F.lit(40)).alias("title"))
-    return reports.title_queries(first, "conv_id")
-
-
 def q_snippets(spark, d):
     m = _messages(spark, d)
     return m.select("conv_id", "turn", reports.snippet(F.col("text"), F.lit("tion")).alias("snippet")).where("snippet IS NOT NULL")
@@ -296,6 +291,15 @@ def q_budget(spark, d):
     return archive.budget_page(_messages(spark, d), 8000).select("conv_id", "turn", "spent")
 
 
+def q_small_budget(spark, d):
+    return archive.budget_page(_messages(spark, d), 700).select("conv_id", "turn", "spent")
+
+
+def q_whole_links(spark, d):
+    """Pages of one address, whole."""
+    return archive.linked_pairs(_read(spark, d, "pages").select(F.col("page_id").alias("item"), F.lit("url").alias("via"), keys.normal_url(F.col("url")).alias("key")))
+
+
 def q_json(spark, d):
     return archive.threads_as_markdown(_messages(spark, d))
 
@@ -352,8 +356,10 @@ def _summary_sql(period: str, n: int | None = None) -> str:
     return f"WITH {_OBS} {body}" if n is None else f"WITH {_OBS}, s AS ({body}) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY metric ORDER BY period DESC) <= {n}"
 
 
-_EDGES = r"""keyed AS (SELECT page_id AS item, regexp_replace('https://' || regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^(www|m)\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') ||
-  (CASE WHEN len(p) > 0 THEN '?' || array_to_string(p, '&') ELSE '' END), '/[^/]*$', '') AS key FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|ref|fbclid|gclid|source)$'))) AS p FROM pages WHERE regexp_matches(url, '^https?://'))),
+# The pages' URLs have no user, port or codes, so few rules of the normal form bear on them.
+_PARAMS = "list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|dclid|msclkid|igshid|si|t|ref_src|ref_url|mc_cid|mc_eid)$')))"
+_NORMAL = f"regexp_extract(lower(url), '^(https?://)', 1) || regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') || CASE WHEN len({_PARAMS}) > 0 THEN '?' || array_to_string({_PARAMS}, '&') ELSE '' END"
+_EDGES = f"""keyed AS (SELECT page_id AS item, regexp_replace({_NORMAL}, '/[^/]*$', '') AS key FROM pages),
 good AS (SELECT key FROM keyed GROUP BY key HAVING count(*) BETWEEN 2 AND 30),
 edges AS (SELECT DISTINCT x.item AS a, y.item AS b, 'url' AS via FROM keyed x JOIN keyed y USING (key) JOIN good USING (key) WHERE x.item < y.item)"""
 _SEGMENTS = "segments AS (SELECT DISTINCT conv_id, turn - turn % 3 AS start_turn, turn - turn % 3 + CASE WHEN conv_id % 5 = 0 THEN 3 ELSE 2 END AS end_turn FROM conversations)"
@@ -377,10 +383,12 @@ REGISTERED: dict[str, tuple] = {
     "a8_event_response": (q_response, f"WITH {_OBS}, {_LEDGER}, {_HEADS}, w AS (SELECT h.event_id AS eid, o.metric, o.value, CASE WHEN observed < start_earliest THEN 'before' WHEN observed > start_latest THEN 'after' ELSE 'inside' END AS side FROM obs o JOIN heads h ON observed BETWEEN start_earliest - 5 AND start_latest + 5) SELECT eid AS event_id, metric, {_SIDES}, count(*) FILTER (side = 'inside') AS n_inside, count(*) - count(value) AS n_non_numeric FROM w GROUP BY ALL"),
     "j5_overlay": (q_overlay, f"WITH {_OBS}, {_LEDGER} SELECT o.event_id, observed, count(l.event_id) AS n_active, coalesce(string_agg(CAST(l.event_id AS VARCHAR), ',' ORDER BY l.event_id), '') AS active FROM obs o LEFT JOIN ledger l ON start_earliest <= observed AND (end_latest IS NULL OR observed <= end_latest) GROUP BY o.event_id, observed"),
     "j11_period_overlap": (q_overlaps, f"WITH {_LEDGER} SELECT event_id, start_earliest, end_latest FROM ledger WHERE start_earliest <= DATE '2024-01-12' AND (end_latest IS NULL OR end_latest >= DATE '2024-01-05')"),
-    "m9_fingerprints": (q_fingerprints, f"WITH {_OBS} SELECT DISTINCT sha256(metric || '|' || CAST(observed AS VARCHAR) || '|' || source) AS fingerprint, metric, observed, source FROM obs"),
+    "m9_fingerprints": (q_fingerprints, f"""WITH {_OBS} SELECT DISTINCT sha256('{{"metric":"' || metric || '","observed":"' || observed || '","source":"' || source || '"}}') AS fingerprint, metric, observed, source FROM obs"""),
     "a18_thread_counts": (q_threads, "SELECT conv_id, count(*) AS message_count, count(*) FILTER (role = 'user') AS user_count FROM conversations GROUP BY conv_id"),
     "t1_recency_page": (q_recency, "SELECT conv_id, CASE WHEN conv_id % 7 <> 0 THEN DATE '2024-01-01' + CAST((conv_id * 37) % 365 AS INTEGER) END AS updated_at, count(*) AS message_count FROM conversations GROUP BY conv_id ORDER BY updated_at DESC NULLS LAST, conv_id LIMIT 20 OFFSET 5"),
     "w5_budget_page": (q_budget, "SELECT conv_id, turn, spent FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM conversations) WHERE spent = 0 OR spent + length(text) <= 8000"),
+    "w5_small_budget": (q_small_budget, "SELECT conv_id, turn, spent FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM conversations) WHERE spent = 0 OR spent + length(text) <= 700"),
+    "j15_same_address": (q_whole_links, f"WITH keyed AS (SELECT page_id AS item, {_NORMAL} AS key FROM pages), good AS (SELECT key FROM keyed GROUP BY key HAVING count(*) BETWEEN 2 AND 30) SELECT DISTINCT x.item AS a, y.item AS b, 'url' AS via FROM keyed x JOIN keyed y USING (key) JOIN good USING (key) WHERE x.item < y.item"),
     "o2_markdown_export": (q_json, "SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id"),
     "a12_duplicate_keys": (q_duplicates, "SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1"),
     "j10_changes": (q_changes, "SELECT i.doc_id, CASE WHEN s.doc_id IS NULL THEN 'insert' WHEN i.doc_id % 5 = 0 AND i.lang IS DISTINCT FROM 'xx' THEN 'update' ELSE 'skip' END AS action FROM documents i LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 > 0) s USING (doc_id) WHERE i.doc_id % 3 > 0"),

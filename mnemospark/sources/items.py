@@ -32,11 +32,18 @@ def _items(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*({**of, **columns}[c].alias(c) for c in of))
 
 
-def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a bookmark service. Where pages overlap, a bookmark's newest form counts."""
+def _capped(value: Column, most: int | None) -> Column:
+    return value if most is None else F.left(value, F.lit(most))
+
+
+def read_bookmarks(spark: SparkSession, path: str, most: int | None = BOOKMARK_TEXT) -> DataFrame:
+    """Pages of a bookmark service. Where pages overlap, a bookmark's newest form counts.
+
+    most: characters kept of each text; None keeps all.
+    """
     raw = spark.read.schema(BOOKMARKS).option("multiLine", True).json(path).select(F.explode("bookmarks").alias("b")).where("b.id IS NOT NULL")
     b, c = F.col("b"), F.col("b.content")
-    cap = lambda v: F.left(F.nullif(v, F.lit("")), F.lit(BOOKMARK_TEXT))
+    cap = lambda v: _capped(F.nullif(v, F.lit("")), most)
     stamp = lambda v: v.try_cast("timestamp")
     meta = F.to_json(F.struct(c["type"].alias("type"), cap(c["description"]).alias("description"), cap(b["note"]).alias("note"), cap(b["summary"]).alias("summary"), F.when(b["favourited"], True).alias("favourited"), F.when(b["archived"], True).alias("archived")))
     tags = F.filter(F.transform(F.coalesce(b["tags"], F.array()), lambda t: t["name"]), lambda t: F.length(t) > 0)
@@ -56,8 +63,11 @@ def read_works(spark: SparkSession, path: str) -> DataFrame:
     return _items(raw, kind=F.lit("reference"), external_id=F.col("key"), title=F.nullif(d["title"], none), url=F.nullif(d["url"], none), doi=F.nullif(d["DOI"], none), created_at=d["dateAdded"].try_cast("timestamp"), updated_at=d["dateModified"].try_cast("timestamp"), text=F.nullif(d["abstractNote"], none), tags=tags, meta=meta)
 
 
-def read_notes(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
-    """Markdown files below some folders of a tree; paths with a hidden part don't count."""
+def read_notes(spark: SparkSession, root: str, folders: list[str], most: int | None = NOTE_TEXT) -> DataFrame:
+    """Markdown files below some folders of a tree; paths with a hidden part don't count.
+
+    most: characters kept of each note; None keeps all.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file:")
     place = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + "".join(f"\\{c}" if not c.isalnum() and c != "/" else c for c in base) + "/", "")
@@ -65,7 +75,7 @@ def read_notes(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
     inside = F.lit(False)
     for folder in folders:
         inside = inside | F.col("_p").startswith(folder.rstrip("/") + "/")
-    text = F.left(F.make_valid_utf8(F.col("content").cast("string")), F.lit(NOTE_TEXT))
+    text = _capped(F.make_valid_utf8(F.col("content").cast("string")), most)
     return _items(rows.where(inside), kind=F.lit("note"), external_id=F.col("_p"), title=F.regexp_extract("_p", r"([^/]+)\.md$", 1), created_at=F.col("modificationTime"), updated_at=F.col("modificationTime"), text=text, meta=F.to_json(F.struct(F.regexp_extract("_p", "^(.*)/[^/]*$", 1).alias("folder"))))
 
 

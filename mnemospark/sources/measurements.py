@@ -22,10 +22,7 @@ COLUMNS = {
 }
 # A range written as text; what a ledger's entries may say; the type of sleep records.
 RANGE = r"^\s*(-?\d+(?:\.\d+)?)\s*[-−–~〜]\s*(-?\d+(?:\.\d+)?)\s*$"
-KINDS = (
-    "medication_start medication_stop dose_change supplement_start supplement_stop smoking_stop alcohol_change "
-    "exercise_change illness procedure travel context_change"
-).split()
+KINDS = ["medication_start", "medication_stop", "dose_change", "supplement_start", "supplement_stop", "smoking_stop", "alcohol_change", "exercise_change", "illness", "procedure", "travel", "context_change"]
 SOURCES, CONFIDENCES = ["self_report", "clinician", "document"], ["confirmed", "estimated", "uncertain"]
 SLEEP = "HKCategoryTypeIdentifierSleepAnalysis"
 
