@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.functions import text
-from mnemospark.operators import archive, reports, search
-from mnemospark.plans.archive import _ITEMS, _THREADS, _items, _threads
+from mnemospark.operators import archive, items, refresh, reports, search
+from mnemospark.plans.archive import _ITEMS, _THREADS, _items, _threads, _versions
 from mnemospark.plans.queries import _CUT, _messages, _queries, _read, _units
 from mnemospark.session import scratch, ship
 
@@ -189,12 +189,43 @@ def q_embedded(spark, d):
     return found.select("unit_id", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.size("vector").alias("size"))
 
 
+def _derived(spark, d) -> dict:
+    i = F.col("doc_id")
+    docs = _read(spark, d, "documents")
+    done = docs.where("doc_id % 5 > 0").select(i.alias("unit_id"), F.when(i % 2 == 0, "v2").otherwise("v1").alias("version"))
+    vectors = docs.where("doc_id % 3 > 0").select(i.alias("unit_id"), F.lit("hash").alias("provider"), F.lit("v2").alias("model"))
+    links = _read(spark, d, "pages").select(F.col("page_id").alias("item"), F.lit("host").alias("via"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("key"))
+    return {"chunks": done, "version": "v2", "vectors": vectors, "model": ("hash", "v2"), "encoder": _hash_vector, "links": links}
+
+
+def _counts(made: dict[str, DataFrame]) -> DataFrame:
+    every = None
+    for name in ("chunks", "vectors", "links"):
+        one = made[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        every = one if every is None else every.unionAll(one)
+    return every
+
+
+def q_gaps(spark, d):
+    ship(spark)
+    units = _read(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+    return _counts(refresh.gaps_filled(units, **_derived(spark, d)))
+
+
+def q_after_import(spark, d):
+    ship(spark)
+    stored, fresh = _versions(spark, d)
+    return _counts(refresh.after_import(items.plan(fresh, stored, "doc_id"), fresh.select("doc_id", "text"), "doc_id", **_derived(spark, d)))
+
+
 _RELATED = f"""{_ITEMS}, old AS (SELECT item_id AS item, source FROM items WHERE updated_at <= DATE '{_CUTOFF}'),
 {_HITS.replace("FROM chunks)", "FROM chunks SEMI JOIN old USING (item))").replace(f"rank <= {LISTED}", "rank <= 20")},
 fused AS (SELECT query_id // 20 % {_GROUPS} AS "group", item, any_value(source) AS source, round(sum(1 / (60 + rank)), 8) AS score, arg_min(query_id, (rank, query_id)) AS reason FROM words JOIN old USING (item) GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, item) AS rank FROM fused),
 spare AS (SELECT *, row_number() OVER (PARTITION BY "group", source ORDER BY rank) > 4 AS overflow FROM placed),
 related AS (SELECT "group", item, source, score, reason, row_number() OVER (PARTITION BY "group" ORDER BY overflow, rank) AS place FROM spare QUALIFY place <= 8)"""
+_LINKS = "links AS (SELECT DISTINCT a.page_id AS x, b.page_id AS y FROM (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS h FROM pages) a JOIN (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS h FROM pages) b USING (h) WHERE a.page_id < b.page_id AND h IN (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS h FROM pages GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30))"
+_CHANGED = "changed AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0 AND (doc_id % 4 = 0 OR (doc_id % 5 = 0 AND lang IS DISTINCT FROM 'xx')))"
 _GRAMS = "SELECT DISTINCT substring(term, i, 3) AS gram FROM (SELECT term, unnest(range(1, length(term) - 1)) AS i FROM (VALUES ('tion'), ('the'), ('and'), ('ing'), ('that'), ('zzzqq')) v(term))"
 _SPLIT = "regexp_split_to_array({}, '[\\s、。・．，:：;；,.()（）\\[\\]「」『』<>《》…!?！？/／｜|—\\-‐–]+')"
 
@@ -219,5 +250,7 @@ linked AS (SELECT query_id, o.item_id AS item, min(rank) AS rank, 2 AS bucket FR
 every AS (SELECT * FROM picked UNION ALL SELECT * FROM linked ANTI JOIN picked USING (query_id, item)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY rank, item) AS place FROM every)
 SELECT query_id, ['vision', 'evidence', 'linked'][bucket + 1] AS bucket, item, place FROM placed WHERE place <= 5"""),
+    "m12_gaps_filled": (q_gaps, f"WITH {_CHUNKS}, {_LINKS} SELECT 'chunks' AS part, count(*) AS n FROM chunks WHERE item % 2 <> 0 OR item % 5 = 0 UNION ALL SELECT 'vectors', count(*) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'links', count(*) FROM links"),
+    "m17_after_import": (q_after_import, f"WITH {_CHUNKS}, {_LINKS}, {_CHANGED} SELECT 'chunks' AS part, count(*) AS n FROM chunks WHERE item IN (SELECT doc_id FROM changed) UNION ALL SELECT 'vectors', count(*) FROM changed UNION ALL SELECT 'links', count(*) FROM links"),
     "v3_embedded": (q_embedded, "SELECT doc_id AS unit_id, round(('0x' || left(md5(text), 2))::INTEGER / 255, 6) AS first, 8 AS size FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 <> 0"),
 }
