@@ -204,6 +204,11 @@ def semantic(vectors: DataFrame, queries: DataFrame, k: int, item: str) -> DataF
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item")))
 
 
+def over_fetch(limit: int, offset: int = 0) -> int:
+    """Chunks to look at for a page of items, of which each may have several."""
+    return max(3 * limit + offset + 50, 50)
+
+
 def ranked(hits: DataFrame, item: str, most: int | None = None) -> DataFrame:
     """query_id, item, rank of the best hit of each item, by score and item."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", item))

@@ -29,6 +29,19 @@ def _whole(spark, d) -> DataFrame:
     return _messages(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
 
 
+def _renamed(spark, path: str, name) -> str:
+    """Gives the files of a folder names of their own, by their number."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for i, old in enumerate(found):
+        new = jvm.org.apache.hadoop.fs.Path(folder, name(i))
+        fs.mkdirs(new.getParent())
+        fs.rename(jvm.org.apache.hadoop.fs.Path(old), new)
+    return path
+
+
 def _seen(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("position").cast("long").alias("position"), "role", F.md5("text").alias("text_md5"))
 
@@ -145,6 +158,31 @@ def q_own_posts(spark, d):
     return found.groupBy(F.get_json_object("meta", "$.post_type").alias("type")).agg(F.count("*").alias("n"), F.min(F.md5("text")).alias("least")).crossJoin(F.broadcast(authors))  # one row
 
 
+def q_wrapped_posts(spark, d):
+    """Turns as posts and likes of a network's archive: JSON arrays behind an assignment."""
+    m = _messages(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), "turn", "text")
+    ident = F.col("n").cast("string")
+    post = F.struct(F.struct(ident.alias("id_str"), F.col("text").alias("full_text"), F.lit("Wed Jan 03 10:00:00 +0000 2024").alias("created_at"), F.when(F.col("n") % 2 == 0, F.lit("7")).alias("in_reply_to_status_id_str")).alias("tweet"))
+    like = F.struct(F.struct(ident.alias("tweetId"), F.lit("https://x.com/i/1").alias("expandedUrl")).alias("like"))
+    every = None
+    for name, rows, e in (("tweets", m.where("turn > 0"), post), ("like", m.where("turn = 0"), like)):
+        packed = rows.select("n", e.alias("e")).groupBy(F.expr("n div 50000")).agg(F.concat(F.lit(f"window.YTD.{name}.part0 = "), F.to_json(F.collect_list("e"))).alias("value"))
+        path = _renamed(spark, _files(spark, packed, F.col("value"), f"export-{name}"), lambda i, name=name: f"data/{name}-part{i}.js")
+        one = items.read_wrapped_posts(spark, path)
+        every = one if every is None else every.unionAll(one)
+    return every.select("external_id", "kind", F.get_json_object("meta", "$.post_type").alias("type"), F.md5("text").alias("text_md5"), F.col("created_at").cast("date").alias("day"))
+
+
+def q_notes(spark, d):
+    """Pages as notes in two folders, one of them hidden."""
+    page = _read(spark, d, "pages").select(F.concat(F.lit("note "), "url").alias("value"))
+    path = _renamed(spark, _files(spark, page, F.col("value"), "export-notes"), lambda i: f"{'ideas' if i % 3 else '.trash'}/n{i}.md")
+    found = items.read_notes(spark, path, ["ideas", ".trash"])
+    whole = _read(spark, d, "pages").agg(F.count("*").alias("files"))  # one row
+    rows = found.withColumn("known", F.col("text").startswith("note http")).agg(F.count("*").alias("n"), F.count_if("known").alias("known"), F.count_distinct("text").alias("texts"))
+    return rows.crossJoin(F.broadcast(whole)).select("files", "n", (F.col("known") == F.col("n")).alias("all_known"), (F.col("texts") > 0).alias("some"))
+
+
 def q_sheet(spark, d):
     """Means of a metric and day as a lab sheet with a column for each day."""
     daily = _observations(spark, d).groupBy(F.concat(F.lit("Test "), "metric").alias("metric"), F.lit("mg").alias("unit")).pivot("observed").agg(F.round(F.avg("value"), 2))
@@ -226,6 +264,8 @@ REGISTERED: dict[str, tuple] = {
     "s9_bookmarks": (q_bookmarks, "SELECT CAST(page_id AS VARCHAR) AS external_id, 'bookmark' AS kind, CASE WHEN page_id % 10 = 0 THEN 'v2' ELSE 'v1' END AS title, url, 'to-review' AS tags, CASE WHEN page_id % 10 = 0 THEN DATE '2024-01-02' ELSE DATE '2024-01-01' END AS updated_on FROM pages"),
     "s10_works": (q_works, "SELECT CAST(doc_id AS VARCHAR) AS external_id, md5(left(text, 30)) AS title_md5, '10.1/' || doc_id AS doi, 'Ann ' || source AS creator FROM documents WHERE doc_id % 6 <> 0"),
     "s8_own_posts": (q_own_posts, f"SELECT CASE role WHEN 'user' THEN 'post' ELSE 'comment' END AS type, count(*) AS n, min(m) AS least, (SELECT count(DISTINCT (conv_id * 1000 + turn) % 2) FROM conversations WHERE role = 'assistant') AS comment_authors FROM ({_OWN}) WHERE role IN ('user', 'assistant') GROUP BY role"),
+    "s7_wrapped_posts": (q_wrapped_posts, f"SELECT 'x:' || (conv_id * 1000 + turn) AS external_id, 'social_post' AS kind, CASE WHEN (conv_id * 1000 + turn) % 2 = 0 THEN 'reply' ELSE 'post' END AS type, md5(text) AS text_md5, DATE '2024-01-03' AS day FROM conversations WHERE turn > 0 AND trim(text, {_WS}) <> '' UNION ALL SELECT 'xlike:' || (conv_id * 1000 + turn), 'bookmark', 'like', NULL, NULL FROM conversations WHERE turn = 0"),
+    "s11_notes": (q_notes, "SELECT count(*) AS files, count(*) - (count(*) + 2) // 3 AS n, true AS all_known, true AS some FROM pages"),
     "s12_lab_sheet": (q_sheet, "SELECT 'Test ' || event_type AS original_metric, CASE WHEN event_type <> 'error' THEN event_type END AS metric, CAST(ts AS DATE) AS observed, CASE WHEN event_type <> 'error' THEN round(avg(value), 2) END AS value, CASE WHEN event_type = 'error' THEN 'unknown_metric' END AS reason FROM events GROUP BY event_type, observed"),
     "s13_sensor_records": (q_records, "WITH r AS (SELECT DISTINCT event_type, user_id, date_trunc('second', ts) AS at, value FROM events WHERE event_type <> 'error') SELECT event_type AS metric, count(*) AS n, round(sum(value), 2) AS total FROM r GROUP BY event_type UNION ALL SELECT event_type, count(*), NULL FROM events WHERE event_type = 'error' GROUP BY event_type"),
     "s14_ledger": (q_ledger, "SELECT CAST(event_id AS VARCHAR) AS id, CASE event_id % 4 WHEN 0 THEN CAST(date_trunc('month', ts) AS DATE) WHEN 1 THEN NULL ELSE CAST(ts AS DATE) END AS start_earliest, CASE event_id % 4 WHEN 0 THEN last_day(CAST(ts AS DATE)) WHEN 1 THEN NULL ELSE CAST(ts AS DATE) END AS start_latest, concat_ws(',', CASE WHEN event_id % 9 = 0 THEN 'kind' END, CASE WHEN event_id % 4 = 1 THEN 'start' END) AS violations FROM events WHERE event_type = 'signup'"),

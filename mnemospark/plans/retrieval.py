@@ -108,6 +108,11 @@ def q_semantic(spark, d):
     return found.select("query_id", "item", "vec_id", "score", "hit_count", "rank")
 
 
+def q_item_page(spark, d):
+    found = search.semantic(_vectors(spark, d), _asked(spark, d).select("query_id", "qv"), search.over_fetch(10), "fifth")
+    return found.where("rank <= 10").select("query_id", "item", "score", "rank")
+
+
 def q_hybrid(spark, d):
     return search.hybrid(_words(spark, d), _near(spark, d))
 
@@ -235,6 +240,7 @@ REGISTERED: dict[str, tuple] = {
     "k4_stored_search": (q_stored_search, None),
     "q1_index_counts": (q_index_counts, "SELECT 'index' AS side, count(*) AS n FROM conversations WHERE length(text) >= 3 UNION ALL SELECT 'units', count(*) FROM conversations WHERE length(text) >= 3"),
     "k8_semantic_items": (q_semantic, f"WITH {_ASKED}, {_NEAR}, b AS (SELECT query_id, fifth AS item, vec_id, score, count(*) OVER (PARTITION BY query_id, fifth) AS hit_count FROM pool QUALIFY row_number() OVER (PARTITION BY query_id, fifth ORDER BY score DESC, vec_id) = 1) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM b"),
+    "t4_item_page": (q_item_page, f"WITH {_ASKED}, {_NEAR.replace(f'<= {POOL}', '<= 80')}, b AS (SELECT query_id, fifth AS item, max(score) AS score FROM pool GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM b QUALIFY rank <= 10"),
     "k9_hybrid": (q_hybrid, f"{_LISTS} {_FUSED}"),
     "k10_search_modes": (q_modes, f"{_LISTS} SELECT 'hybrid' AS mode, * FROM ({_FUSED}) UNION ALL SELECT CASE list WHEN 0 THEN 'keyword' ELSE 'semantic' END AS mode, query_id, item, round(1 / (60 + rank), 8), mode FROM lists"),
     "k7_merged_lists": (q_merged, f"WITH {_HITS}, turns AS (SELECT conv_id, conv_id * 1000 + turn AS unit_id, lower(text) AS t, greatest(length(text) - 2, 0) AS dl FROM conversations), f2 AS (SELECT query_id, unit_id, conv_id, (length(t) - length(replace(t, q, ''))) / length(q) AS tf, dl FROM turns JOIN asked ON contains(t, q)), d2 AS (SELECT query_id, count(*) AS df FROM f2 GROUP BY ALL), s2 AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM turns), h2 AS (SELECT query_id, unit_id, conv_id, round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM f2 JOIN d2 USING (query_id), s2), b2 AS (SELECT query_id, conv_id, min(score) AS score FROM h2 GROUP BY ALL), r2 AS (SELECT query_id, -conv_id - 1 AS item, row_number() OVER (PARTITION BY query_id ORDER BY score, conv_id) AS rank FROM b2 QUALIFY rank <= {LISTED}) SELECT query_id, item, round(sum(1 / (60 + rank)), 8) AS score FROM (SELECT * FROM r2 UNION ALL SELECT * FROM words) GROUP BY ALL"),
