@@ -289,7 +289,7 @@ def _meet(parts: int):
                 block = (mix64(ps.view(np.uint64) ^ t) % np.maximum(b, 1).astype(np.uint64)).astype(np.int64)
                 code = np.where(b > 0, block + 1, 0)
                 key = mix64(t ^ code.astype(np.uint64))
-                yield from _by_key((key % np.uint64(parts)).astype(np.int64), {"t": t, "code": code, "s": ps, "n": n[node], "m": m.take(pa.array(node))}, 0)
+                yield from _by_key((key % np.uint64(parts)).astype(np.int64), {"t": t, "code": code, "s": ps, "n": n[node], "m": m.take(pa.array(node)), "b": b}, 0)
 
         yield from _send(rows())
 
@@ -301,17 +301,19 @@ def _passes(n1, n2, differ, num: int, den: int):
     return (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & ((total - differ) * (den + num) >= 2 * num * total)
 
 
-def _nearest(n: np.ndarray, m: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each node of a block the nearest earlier one that passes, as pairs."""
-    out = []
+def _nearest(n: np.ndarray, m: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each node of a block the nearest earlier one that passes, as pairs; and which nodes are in any pair that passes."""
+    out, some = [], np.zeros(len(n), bool)
     for x in range(0, len(n), 128):
         i = np.arange(x, min(x + 128, len(n)))
         differ = _differ(m[i], m)
         ok = _passes(n[i][:, None], n[None, :], differ, num, den) & (np.arange(len(n))[None, :] < i[:, None])
         differ[~ok] = 64 * m.shape[1] + 1
+        some[i] |= ok.any(1)
+        some |= ok.any(0)
         p = np.flatnonzero(ok.any(1))
         out.append((i[p], differ.argmin(1)[p]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), some
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -353,12 +355,12 @@ def _candidates(num: int, den: int):
         got = [_unpack(x) for b in batches for x in b.column("data").to_pylist()]
         if not got:
             return
-        t, code, s, n = (_joined(got, c) for c in ("t", "code", "s", "n"))
+        t, code, s, n, blocks = (_joined(got, c) for c in ("t", "code", "s", "n", "b"))
         m = pa.concat_arrays([x.column("m") for x in got])
         del got
         m = np.frombuffer(m.buffers()[2], np.uint64).reshape(len(m), -1)
         order = np.lexsort((s, n, code, t))
-        t, code, s, n, m = t[order], code[order], s[order], n[order], m[order]
+        t, code, s, n, m, blocks = t[order], code[order], s[order], n[order], m[order], blocks[order]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (code[1:] != code[:-1])
         first = np.flatnonzero(new)
@@ -389,10 +391,11 @@ def _candidates(num: int, den: int):
                     yield _again_batch(t, s, member[np.isin(group[member], some)])
         for g in np.flatnonzero(code[first] > 0):
             own = slice(first[g], first[g] + size[g])
-            if size[g] > 1:
-                a, b = _nearest(n[own], m[own], num, den)
-                yield _edges_batch(s[own][a], s[own][b])
-            yield _again_batch(t, s, np.arange(own.start, own.stop))  # its other blocks are yet to be met
+            a, b, some = _nearest(n[own], m[own], num, den)
+            yield _edges_batch(s[own][a], s[own][b])
+            if blocks[own.start] > 1:  # other blocks are yet to be met
+                some[:] = True
+            yield _again_batch(t, s, own.start + np.flatnonzero(some))
 
     return run
 
