@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,17 @@ def run_counts(actions: DataFrame, by: str) -> DataFrame:
     return actions.groupBy(by).agg(count("insert").alias("inserted"), count("update").alias("updated"), count("skip").alias("skipped"), F.count("*").alias("seen"))
 
 
+def import_runs(actions: DataFrame, warnings: DataFrame, by: str, most: int = 2_000) -> DataFrame:
+    """run_counts() with the first warnings of each input, a line each, up to so many characters.
+
+    warnings: the input, place, warning. Those beyond the limit are left out before lines are gathered.
+    """
+    before = F.sum(F.length("warning") + 1).over(Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    first = warnings.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most)
+    lines = first.groupBy(by).agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "warning"))), lambda x: x["warning"]), "\n"), F.lit(most)).alias("warnings"))
+    return run_counts(actions, by).join(lines, by, "left").withColumn("warnings", F.coalesce("warnings", F.lit("")))
+
+
 def latest_states(runs: DataFrame, run: str, time: str) -> DataFrame:
     """The last state of each run, of a table to which states are only added."""
     rest = [c for c in runs.columns if c != run]

@@ -63,20 +63,16 @@ def chain_heads(events: DataFrame) -> DataFrame:
     return events.join(gone, "event_id", "left_anti")
 
 
-def _month(date) -> F.Column:
-    return F.year(date) * 12 + F.month(date)
-
-
 def in_window(obs: DataFrame, events: DataFrame, days: int) -> DataFrame:
     """Each observation within ``days`` of an event's start, with its side of it.
 
-    A range join by equality on months: an event goes to the months its window touches, a day to its own.
+    A range join by equality: an event goes to each day of its window, so what is joined is what comes out.
     """
     low, high = F.date_sub("start_earliest", days), F.date_add("start_latest", days)
-    dated = events.where("start_earliest IS NOT NULL AND start_latest IS NOT NULL")
-    spread = dated.select("event_id", "start_earliest", "start_latest", low.alias("low"), high.alias("high")).withColumn("_m", F.explode(F.sequence(_month(F.col("low")), _month(F.col("high")))))
+    dated = events.where(low <= high)  # both dates known
+    spread = dated.select("event_id", "start_earliest", "start_latest", F.explode(F.sequence(low, high)).alias("observed"))
     side = F.when(F.col("observed") < F.col("start_earliest"), "before").when(F.col("observed") > F.col("start_latest"), "after").otherwise("inside")
-    return obs.withColumn("_m", _month(F.col("observed"))).join(spread, "_m").where("observed BETWEEN low AND high").withColumn("side", side).drop("_m", "low", "high")
+    return obs.join(spread, "observed").withColumn("side", side)
 
 
 def event_response(obs: DataFrame, events: DataFrame, days: int) -> DataFrame:
