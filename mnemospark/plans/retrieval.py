@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.functions import text
-from mnemospark.operators import archive, items, refresh, reports, search
+from mnemospark.operators import approximate, archive, items, refresh, reports, search
 from mnemospark.plans.archive import _ITEMS, _THREADS, _items, _threads, _versions
 from mnemospark.plans.queries import _CUT, _messages, _queries, _read, _units
 from mnemospark.session import scratch, ship
@@ -113,6 +113,11 @@ def q_item_page(spark, d):
     return found.where("rank <= 10").select("query_id", "item", "score", "rank")
 
 
+def q_approximate(spark, d):
+    vectors, queries = _vectors(spark, d).select("vec_id", "v"), _read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return approximate.nearest_in_cells(vectors, queries, 10, *approximate.fit_cells(vectors))
+
+
 def q_hybrid(spark, d):
     return search.hybrid(_words(spark, d), _near(spark, d))
 
@@ -240,6 +245,7 @@ REGISTERED: dict[str, tuple] = {
     "k4_stored_search": (q_stored_search, None),
     "q1_index_counts": (q_index_counts, "SELECT 'index' AS side, count(*) AS n FROM conversations WHERE length(text) >= 3 UNION ALL SELECT 'units', count(*) FROM conversations WHERE length(text) >= 3"),
     "k8_semantic_items": (q_semantic, f"WITH {_ASKED}, {_NEAR}, b AS (SELECT query_id, fifth AS item, vec_id, score, count(*) OVER (PARTITION BY query_id, fifth) AS hit_count FROM pool QUALIFY row_number() OVER (PARTITION BY query_id, fifth ORDER BY score DESC, vec_id) = 1) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM b"),
+    "v2_approximate": (q_approximate, None),
     "t4_item_page": (q_item_page, f"WITH {_ASKED}, {_NEAR.replace(f'<= {POOL}', '<= 80')}, b AS (SELECT query_id, fifth AS item, max(score) AS score FROM pool GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM b QUALIFY rank <= 10"),
     "k9_hybrid": (q_hybrid, f"{_LISTS} {_FUSED}"),
     "k10_search_modes": (q_modes, f"{_LISTS} SELECT 'hybrid' AS mode, * FROM ({_FUSED}) UNION ALL SELECT CASE list WHEN 0 THEN 'keyword' ELSE 'semantic' END AS mode, query_id, item, round(1 / (60 + rank), 8), mode FROM lists"),

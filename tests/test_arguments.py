@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import facts, filters, reports, search
+from mnemospark.operators import approximate, facts, filters, reports, search
 from mnemospark.session import clear_scratch, scratch
 from mnemospark.sources import exports, items
 
@@ -57,6 +57,22 @@ def test_nearest_against_all_pairs(spark):
         assert [got[q, k + 1] for k in range(5)] == np.lexsort((np.arange(3000), -score))[:5].tolist()
 
 
+@pytest.mark.parametrize("data", ["/root/testdata/sf0.01", None])
+def test_recall_of_cells(spark, data):
+    """Of the ten nearest vectors of each query at least nine in ten are found, over all queries."""
+    import numpy as np
+
+    if data:
+        rows = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("vec_id", "embedding AS v")
+    else:  # no clusters at all
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(2).normal(size=(3000, 8)))], "vec_id long, v array<double>")
+    asked = rows.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "v AS qv")
+    pairs = lambda x: {(r.query_id, r.vec_id) for r in x.collect()}
+    exact = pairs(search.nearest(rows, asked, 10))
+    found = pairs(approximate.nearest_in_cells(rows, asked, 10, *approximate.fit_cells(rows)))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_scratch_is_deleted(spark):
     path = scratch(spark, "some")
     spark.range(3).write.parquet(path)
