@@ -18,6 +18,7 @@ decodes to nothing.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from functools import lru_cache
 
@@ -165,17 +166,19 @@ class Coder:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def contract(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def contract(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, four bytes each."""
         lengths = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
         position = ragged(np.zeros(len(pieces), np.int64), lengths)
         self.con.register("init", pa.table({"g": np.repeat(np.arange(len(pieces)) << 20, lengths) | position, "tok": self.byte_id[data]}))
         found = self.con.sql(CONTRACT).to_arrow_table()
         self.con.unregister("init")
-        tokens = found["tok"].to_numpy()
-        return np.split(tokens, np.searchsorted(found["w"].to_numpy(), np.arange(1, len(pieces))))
+        tokens = found["tok"].to_numpy().astype("<i4").tobytes()
+        cut = (4 * np.searchsorted(found["w"].to_numpy(), np.arange(len(pieces) + 1))).tolist()
+        return [tokens[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    def windows(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def windows(self, pieces: list[bytes]) -> list[bytes]:
         """contract() in groups, so that no query makes more than QUERY_ROWS rows."""
         out, begin, rows = [], 0, 0
         for i, piece in enumerate(pieces):
@@ -186,7 +189,7 @@ class Coder:
             rows += more
         return out + (self.contract(pieces[begin:]) if begin < len(pieces) else [])
 
-    def tokens(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def tokens(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece; pieces of no more than a window are contracted at once, others by way of windows."""
         short = iter(self.windows([piece for piece in pieces if len(piece) <= WINDOW]))
         plans = [_Windows(piece) if len(piece) > WINDOW else None for piece in pieces]
@@ -194,9 +197,10 @@ class Coder:
         while todo:
             spans = [(plan, span) for plan in todo for span in plan.missing()]
             for (plan, (a, b)), ids in zip(spans, self.windows([plan.piece[a:b] for plan, (a, b) in spans]), strict=True):
+                ids = np.frombuffer(ids, "<i4")
                 plan.known[a, b] = ids, a + np.concatenate([[0], np.cumsum(self.sizes[ids])])
             todo = [plan for plan in todo if not plan.settle()]
-        return [plan.ids if plan else next(short) for plan in plans]
+        return [plan.ids.astype("<i4").tobytes() if plan else next(short) for plan in plans]
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of these pieces into the memory."""
@@ -208,11 +212,18 @@ class Coder:
             else:
                 unknown.append((piece, raw))
         for (piece, _), ids in zip(unknown, self.tokens([raw for _, raw in unknown]), strict=True):
-            self.cache[piece] = ids.astype("<i4").tobytes()
+            self.cache[piece] = ids
         self.held += sum(len(p) + len(self.cache[p]) + ENTRY for p in pieces)
 
     def encode(self, texts: list[str | None], pattern: str) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (one more entry at the end)."""
+        gc.disable()  # pieces and ids are many and in no cycles
+        try:
+            return self._encode(texts, pattern)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None], pattern: str) -> tuple[np.ndarray, np.ndarray]:
         exact, plain = piece_patterns(pattern)
         cut = [(plain if t.isascii() else exact).findall(t) if t else [] for t in texts]
         if self.held > CACHE_BYTES:
