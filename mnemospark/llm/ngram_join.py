@@ -323,13 +323,14 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return differ
 
 
-def _across(n: np.ndarray, m: np.ndarray, side: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a node with side True and any other, of different components, that pass."""
-    left = np.flatnonzero(side)
+def _across(left: tuple, right: tuple, side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left node with side True and a right one, of different components, that pass. Both: sizes, bitmaps, components."""
+    (n1, m1, c1), (n2, m2, c2) = left, right
+    chosen = np.flatnonzero(side)
     out = [(np.zeros(0, np.int64),) * 2]
-    for x in range(0, len(left), 128):
-        i = left[x : x + 128]
-        ok = _passes(n[i][:, None], n[None, :], _differ(m[i], m), num, den) & (comp[i][:, None] != comp[None, :])
+    for x in range(0, len(chosen), 128):
+        i = chosen[x : x + 128]
+        ok = _passes(n1[i][:, None], n2[None, :], _differ(m1[i], m2), num, den) & (c1[i][:, None] != c2[None, :])
         p, q = np.nonzero(ok)
         out.append((i[p], q))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -430,12 +431,12 @@ def _second(num: int, den: int):
             words = np.array([len(m) for m in maps])
             for w in np.unique(words):
                 # Sizes that can link differ by less than a half, so their bitmaps by a factor of two at most.
-                own = np.flatnonzero((words == w) | (words == 2 * w))
-                own = own[np.argsort(words[own] != w, kind="stable")]
-                m = np.stack([fold(maps[x], w) for x in own])
-                a, b = _across(n[own], m, minor[own].astype(bool), comp[own], num, den)
-                keep = (words[own][a] == w) | (words[own][b] == w)  # pairs of the larger size have a turn of their own
-                a, b = own[a[keep]], own[b[keep]]
+                folded = lambda own, w=w: (n[own], np.stack([fold(maps[x], w) for x in own]), comp[own])
+                same, twice = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+                turns = [(same, same), (same, twice), (twice, same)] if len(twice) else [(same, same)]
+                sides = {id(x): folded(x) for x in (same, twice) if len(x)}
+                found = [(x, y, _across(sides[id(x)], sides[id(y)], minor[x].astype(bool), num, den)) for x, y in turns]
+                a, b = (np.concatenate(z) for z in zip(*((x[i], y[j]) for x, y, (i, j) in found), strict=True))
                 both = minor[a].astype(bool) & minor[b].astype(bool)
                 turn = (mix64(np.minimum(s[a], s[b]).view(np.uint64)) % np.uint64(blocks)).astype(np.int64) == block
                 keep = ~both | (turn & (s[a] < s[b]))
