@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import ship
 
-from . import bpe, html_text, licenses, media, mixing, ngram_join, quality, rules, sql, suffix_dedup, toxicity
+from . import bpe, forced_bpe, html_text, licenses, media, mixing, ngram_join, quality, rules, sql, suffix_dedup, toxicity
 from .common import read_table
 
 #: The tail probability from which a document is kept, and the score from which one counts as toxic.
@@ -20,6 +20,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return read_table(spark, sf_dir, "documents")
@@ -95,6 +101,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = forced_bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), byte_tokenizer(), packed=True, back=True)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1,
     "op2_license_scan": op2,
@@ -106,7 +117,8 @@ QUERIES = {
     "op8_html_extraction": op8,
     "op9_suffix_dedup": op9,
     "op10_source_mixing": op10,
+    "op13_forced_bpe": op13,
 }
 
-#: Not here: op1, op3, op4, op5 and op8 (tokenizer, JPEG, models, HTML) and op7, whose hash DuckDB lacks.
+#: Not here: op1, op3, op4, op5, op8 and op13 (tokenizers, JPEG, models, HTML) and op7, whose hash DuckDB lacks.
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
