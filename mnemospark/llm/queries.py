@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import ship
 
-from . import bpe, forced_bpe, html_text, licenses, media, mixing, ngram_join, quality, rules, sql, suffix_dedup, toxicity
+from . import bpe, forced_bpe, html_text, lexical, licenses, media, mixing, ngram_join, quality, rules, sql, suffix_dedup, toxicity
 from .common import read_table
 
 #: The tail probability from which a document is kept, and the score from which one counts as toxic.
@@ -101,6 +101,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = forced_bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), byte_tokenizer(), packed=True, back=True)
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -117,6 +121,7 @@ QUERIES = {
     "op8_html_extraction": op8,
     "op9_suffix_dedup": op9,
     "op10_source_mixing": op10,
+    "op12_ranked_search": op12,
     "op13_forced_bpe": op13,
 }
 

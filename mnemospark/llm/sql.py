@@ -56,6 +56,17 @@ cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)"""
 
 
+def ranked_search(k: int = 20) -> str:
+    word = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {word}) AS w FROM documents),
+s AS MATERIALIZED (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+p AS MATERIALIZED (SELECT r, doc_id, t, n, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+q AS (SELECT item_id, i, unnest(regexp_extract_all({_LOWER}, {word})) AS t FROM (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+c AS (SELECT item_id, i, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score FROM q JOIN f USING (t) JOIN p USING (t), s GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0) WHERE rank <= {k}"""
+
+
 def source_mixing() -> str:
     weights = "[" + ", ".join(f"{w}::DOUBLE" for w in mixing.WEIGHTS) + "]"
     p = "greatest(least(rest * sqrt(size * n_docs / source_size), 0.999999::DOUBLE), 0.000001::DOUBLE)"
@@ -79,4 +90,5 @@ ORACLE_SQL = {
     "op6_ngram_jaccard": ngram_jaccard(),
     "op9_suffix_dedup": suffix_dedup(),
     "op10_source_mixing": source_mixing(),
+    "op12_ranked_search": ranked_search(),
 }
