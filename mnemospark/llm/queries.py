@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import ship
 
-from . import bpe, forced_bpe, html_text, lexical, licenses, media, mixing, ngram_join, quality, rules, sql, suffix_dedup, toxicity
+from . import alignment, bpe, forced_bpe, html_text, lexical, licenses, media, mixing, ngram_join, quality, rules, sql, suffix_dedup, toxicity
 from .common import read_table
 
 #: The tail probability from which a document is kept, and the score from which one counts as toxic.
@@ -26,6 +26,12 @@ def byte_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return read_table(spark, sf_dir, "documents")
@@ -101,6 +107,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(_documents(spark, sf_dir), byte_tokenizer(), piece_tokenizer())
+    return found.withColumnRenamed("digest", "groups_sha256")
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), k=20)
 
@@ -121,9 +132,10 @@ QUERIES = {
     "op8_html_extraction": op8,
     "op9_suffix_dedup": op9,
     "op10_source_mixing": op10,
+    "op11_alignment": op11,
     "op12_ranked_search": op12,
     "op13_forced_bpe": op13,
 }
 
-#: Not here: op1, op3, op4, op5, op8 and op13 (tokenizers, JPEG, models, HTML) and op7, whose hash DuckDB lacks.
+#: Not here: op1, op3, op4, op5, op8, op11 and op13 (tokenizers, JPEG, models, HTML) and op7, whose hash DuckDB lacks.
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
