@@ -64,11 +64,16 @@ def prune(stored: DataFrame, listed: DataFrame, key: str) -> DataFrame:
 
 def linked_pairs(keys: DataFrame, most: int = MOST_LINKED) -> DataFrame:
     """Pairs of items that share a key. keys: item, via, key. Group sizes are bounded before the self join."""
+    return linked_pairs_by_key(keys, most).select("a", "b", "via").distinct()
+
+
+def linked_pairs_by_key(keys: DataFrame, most: int = MOST_LINKED) -> DataFrame:
+    """a, b, via, key: a pair for each key that both have."""
     keys = keys.where("key IS NOT NULL").distinct()
     sizes = keys.groupBy("via", "key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("via", "key")
     own = keys.join(sizes, ["via", "key"], "left_semi")
     other = own.select("via", "key", F.col("item").alias("b"))
-    return own.join(other, ["via", "key"]).where("item < b").select(F.col("item").alias("a"), "b", "via").distinct()
+    return own.join(other, ["via", "key"]).where("item < b").select(F.col("item").alias("a"), "b", "via", "key")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
