@@ -43,8 +43,13 @@ def normal_url(url: Column, more_tracking: list[str] | None = None) -> Column:
 
     Other parameters are sorted; short links to videos and forms of preprints become one. Null for what is not http.
     """
-    url = stripped(url)
-    part = lambda i: F.regexp_extract(url, _SPLIT_URL, i)
+    whole = lambda u: F.array(F.struct(*(F.regexp_extract(u, _SPLIT_URL, i).alias(f"p{i}") for i in range(1, 6))))
+    # A lambda's argument is a value: the pattern is matched once for each part, however often the parts are used.
+    return F.get(F.transform(whole(stripped(url)), lambda p: _normal(p, more_tracking or [])), F.lit(0))
+
+
+def _normal(parts: Column, more_tracking: list[str]) -> Column:
+    part = lambda i: parts[f"p{i}"]
     scheme = F.lower(part(1))
     host = _mapped(F.regexp_replace(F.regexp_replace(F.lower(part(2)), r"\.+$", ""), r"^www\.", ""), HOST_ALIASES)
     port = F.regexp_replace(part(3), "^0+(?=.)", "")
@@ -55,7 +60,7 @@ def normal_url(url: Column, more_tracking: list[str] | None = None) -> Column:
     path = F.when(short, "/watch").when((host == "arxiv.org") & (paper != ""), F.concat(F.lit("/abs/"), paper)).otherwise(part(4))
     query = F.when(short, F.concat_ws("&", F.concat(F.lit("v="), video), F.nullif(part(5), F.lit("")))).otherwise(part(5))
     name = lambda p: F.lower(_decoded(F.substring_index(p, "=", 1)))
-    noise = lambda p: name(p).isin(TRACKING + (more_tracking or [])) | name(p).startswith("utm_")
+    noise = lambda p: name(p).isin(TRACKING + more_tracking) | name(p).startswith("utm_")
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~noise(p))
     for one, names in HOST_TRACKING.items():
         kept = F.when(host == one, _without(kept, name, names)).otherwise(kept)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from mnemospark.session import ship
+from mnemospark.session import kept, ship
 
 K1, B, RRF = 1.2, 0.75, 60
 #: So many vectors, and so many queries, are packed in one row; so many such rows make an Arrow batch.
@@ -67,13 +67,14 @@ def holding(units: DataFrame, wanted: DataFrame, index: DataFrame | None = None)
 def keyword(units: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """query_id, unit_id, score: units with all terms as substrings, BM25 with lengths in trigrams, lower is better.
 
-    index: stored postings of the same units; made anew unless given.
+    index: stored postings of the same units; made anew unless given. Hits are written once, since how many there are
+    of a term weighs each of them.
     """
     wanted = terms(queries)
     low = F.lower("text")
     found = holding(units, wanted, index)
     tf = (F.length(low) - F.length(F.replace(low, F.col("term"), F.lit("")))) / F.length("term")
-    found = found.select("query_id", "term", "unit_id", tf.alias("tf"), F.greatest(F.length("text") - 2, F.lit(0)).alias("dl"))
+    found = kept(found.select("query_id", "term", "unit_id", tf.alias("tf"), F.greatest(F.length("text") - 2, F.lit(0)).alias("dl")), "hits")
     stats = units.agg(F.count("*").alias("N"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))  # one row
     df = found.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     scored = found.join(df, ["query_id", "term"]).crossJoin(F.broadcast(stats))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import archive, exports, facts, queries, retrieval
+from mnemospark.plans import archive, exports, facts, queries, retrieval, upkeep
 
 FLAGSHIP = queries.FLAGSHIP
-REGISTERED: dict[str, tuple] = {**queries.REGISTERED, **archive.REGISTERED, **retrieval.REGISTERED, **facts.REGISTERED, **exports.REGISTERED}
+REGISTERED: dict[str, tuple] = {**queries.REGISTERED, **archive.REGISTERED, **retrieval.REGISTERED, **facts.REGISTERED, **exports.REGISTERED, **upkeep.REGISTERED}

@@ -15,7 +15,7 @@ from mnemospark.functions import text
 from mnemospark.operators import approximate, archive, items, refresh, reports, search
 from mnemospark.plans.archive import _ITEMS, _THREADS, _items, _threads, _versions
 from mnemospark.plans.queries import _CUT, _messages, _queries, _read, _units
-from mnemospark.session import scratch, ship
+from mnemospark.session import kept, scratch, ship
 
 #: Items of each list that a hybrid search fuses, and how many chunks a semantic search looks at.
 LISTED, POOL = 100, 100
@@ -24,8 +24,9 @@ _WORD = "[a-z]{4,7}"
 
 def _chunks(spark, d) -> DataFrame:
     ship(spark)
+    """Chunks of all documents, written once: search reads them for postings, places and lengths."""
     found = text.chunks(_read(spark, d, "documents"), "text", ["doc_id"])
-    return found.select((F.col("doc_id") * 1000 + F.col("idx")).alias("unit_id"), F.col("doc_id").alias("item"), F.col("chunk").alias("text"))
+    return kept(found.select((F.col("doc_id") * 1000 + F.col("idx")).alias("unit_id"), F.col("doc_id").alias("item"), F.col("chunk").alias("text")), "chunks")
 
 
 def _asked(spark, d) -> DataFrame:
@@ -41,11 +42,11 @@ def _vectors(spark, d) -> DataFrame:
 
 def _words(spark, d, most=LISTED) -> DataFrame:
     hits = search.keyword(_chunks(spark, d), _asked(spark, d).select("query_id", "q"))
-    return search.ranked(hits.withColumn("item", F.expr("unit_id div 1000")), "item", most).select("query_id", "item", "rank")
+    return kept(search.ranked(hits.withColumn("item", F.expr("unit_id div 1000")), "item", most).select("query_id", "item", "rank"), "words")
 
 
 def _near(spark, d) -> DataFrame:
-    return search.semantic(_vectors(spark, d), _asked(spark, d).select("query_id", "qv"), POOL, "item").select("query_id", "item", "rank")
+    return kept(search.semantic(_vectors(spark, d), _asked(spark, d).select("query_id", "qv"), POOL, "item").select("query_id", "item", "rank"), "near")
 
 
 _CHUNKS = f"chunks AS (WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS idx, 0 AS s, {_CUT.format(s='0')} AS e FROM documents WHERE regexp_matches(text, '\\S') UNION ALL SELECT doc_id, text, idx + 1, e - 200, {_CUT.format(s='(e - 200)')} FROM c WHERE e < length(text)) SELECT doc_id * 1000 + idx AS unit_id, doc_id AS item, substring(text, s + 1, e - s) AS text FROM c)"

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: By application: the folder of a local session without a shared one, and the scratch tables written.
@@ -56,6 +56,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as a scratch table: for what is read several times and is dear to make."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Deletes all scratch tables of this application and says how many; results that still read them end with it."""
     paths = _TABLES.pop(spark.sparkContext.applicationId, [])
