@@ -6,7 +6,7 @@ start_latest, end_latest, supersedes``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY, WEEK, MONTH = "day", "week", "month"
@@ -95,24 +95,60 @@ def event_response(obs: DataFrame, events: DataFrame, days: int) -> DataFrame:
     return events.select("event_id", "start_earliest", "start_latest").join(found, ["start_earliest", "start_latest"]).drop("start_earliest", "start_latest")
 
 
-def _active(obs: DataFrame, events: DataFrame, *columns: str) -> DataFrame:
-    """The columns of each row of events once for each day seen on which it is active; an open end lasts to the last day."""
-    bound = obs.agg(F.min("observed").alias("_first"), F.max("observed").alias("_last"))
-    spread = events.where("start_earliest IS NOT NULL").crossJoin(F.broadcast(bound))
-    spread = spread.withColumn("_from", F.greatest("start_earliest", "_first")).withColumn("_to", F.least(F.coalesce("end_latest", "_last"), "_last")).where("_from <= _to")
-    return spread.select(*columns, F.explode(F.sequence("_from", "_to")).alias("observed")).join(obs.select("observed").distinct(), "observed", "left_semi")
+def interval_pieces(rows: DataFrame, low: str, high: str, *columns: str) -> DataFrame:
+    """The columns of each row with level and place of the dyadic intervals that its whole numbers low to high consist of.
+
+    A piece of level l at place p covers 2**l numbers from p * 2**l on. Each level has two pieces of an interval at most,
+    so an interval of n numbers is some 2 log n rows, however long it is. Nulls and empty intervals have none.
+    """
+    spread = rows.where(F.col(low) <= F.col(high)).select(*columns, F.col(low).alias("_a"), (F.col(high) + 1).alias("_b"), F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col(high) - F.col(low) + 2)).cast("int"))).alias("_l"))
+    # The blocks of this level that lie inside, less the pairs that the next level has.
+    found = spread.withColumn("_f", F.expr("-shiftright(-_a, _l)")).withColumn("_e", F.expr("shiftright(_b, _l)")).where("_f < _e")
+    places = F.array_compact(F.array(F.when(F.pmod("_f", F.lit(2)) == 1, F.col("_f")), F.when(F.pmod("_e", F.lit(2)) == 1, F.col("_e") - 1)))
+    return found.select(*columns, F.col("_l").alias("level"), F.explode(places).alias("place"))
+
+
+def interval_prefixes(points: DataFrame, at: str, pieces: DataFrame) -> DataFrame:
+    """Each distinct number of points with level and place of the dyadic intervals that hold it, of levels that pieces have."""
+    levels = pieces.select("level").distinct()  # 64 rows at most
+    return points.select(at).where(F.col(at).isNotNull()).distinct().join(F.broadcast(levels)).withColumn("place", F.expr(f"shiftright(`{at}`, level)"))
+
+
+def _days(date: str) -> Column:
+    return F.unix_date(date).cast("long")
+
+
+def _spans(obs: DataFrame, events: DataFrame) -> DataFrame:
+    """Events with their days as numbers; an open end lasts to the last day seen."""
+    last = obs.agg(F.max("observed").alias("_last"))  # one row
+    return events.crossJoin(F.broadcast(last)).withColumn("_from", _days("start_earliest")).withColumn("_to", _days(F.coalesce("end_latest", "_last")))
 
 
 def active_days(obs: DataFrame, events: DataFrame) -> DataFrame:
     """observed, event_id: each day with an observation and each event active that day."""
-    return _active(obs, events, "event_id")
+    pieces = interval_pieces(_spans(obs, events), "_from", "_to", "event_id")
+    days = interval_prefixes(obs.withColumn("_day", _days("observed")), "_day", pieces)
+    return days.join(pieces, ["level", "place"]).select(F.date_from_unix_date(F.col("_day").cast("int")).alias("observed"), "event_id")
 
 
 def overlay(obs: DataFrame, events: DataFrame) -> DataFrame:
     """Each observation with how many events are active that day; active_days() says which."""
-    spans = events.groupBy("start_earliest", "end_latest").agg(F.count("*").alias("n"))
-    active = _active(obs, spans, "n").groupBy("observed").agg(F.sum("n").alias("n_active"))
-    return obs.join(active, "observed", "left").withColumn("n_active", F.coalesce("n_active", F.lit(0)))
+    return _counted(obs.withColumn("_at", _days("observed")), interval_pieces(_spans(obs, events), "_from", "_to")).drop("_at")
+
+
+def overlay_instants(obs: DataFrame, events: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Each observation with how many events are active at its very millisecond. An event without an end lasts."""
+    millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    last = obs.agg(F.max(millis(at)).alias("_last"))  # one row
+    spans = events.crossJoin(F.broadcast(last)).select(millis(start).alias("_from"), F.coalesce(millis(end), "_last").alias("_to"))
+    return _counted(obs.withColumn("_at", millis(at)), interval_pieces(spans, "_from", "_to")).drop("_at")
+
+
+def _counted(points: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Points (_at) with n_active. Pieces are counted by place before they meet points, so no place has many rows."""
+    counts = pieces.groupBy("level", "place").agg(F.count("*").alias("n"))
+    active = interval_prefixes(points, "_at", pieces).join(counts, ["level", "place"]).groupBy("_at").agg(F.sum("n").alias("n_active"))
+    return points.join(active, "_at", "left").withColumn("n_active", F.coalesce("n_active", F.lit(0)))
 
 
 def overlaps(events: DataFrame, since: str, until: str) -> DataFrame:

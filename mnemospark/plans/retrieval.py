@@ -229,6 +229,51 @@ def q_after_import(spark, d):
     return _counts(refresh.after_import(items.plan(fresh, stored, "doc_id"), fresh.select("doc_id", "text"), "doc_id", **_derived(spark, d)))
 
 
+#: Words that are asked for at once, and the tokens of a pack.
+_THREE, _TOKENS = "[a-z]{3,7}", 900
+
+
+def q_windows(spark, d):
+    """Of each chunk that holds three words of the asked document, the best window."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_THREE), F.lit(0))), 1, 3)
+    asked = _read(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), words.alias("terms")).where(F.size("terms") > 0)
+    units = _chunks(spark, d)
+    hits = search.keyword(units, asked.select("query_id", F.array_join("terms", " ").alias("q"))).join(units, "unit_id").join(asked, "query_id")
+    return reports.best_windows(hits.select("query_id", "unit_id", "text", "terms"), ["query_id", "unit_id"], "text", "terms").select("query_id", "unit_id", "snippet", F.array_join("matched", ",").alias("matched"))
+
+
+def q_budget_pack(spark, d):
+    """A pack of 900 tokens for each query: notes and posts, references and bookmarks, and items of before a date."""
+    words, registry = _words(spark, d), _items(spark, d).select(F.col("item_id").alias("item"), "kind", F.ceil(F.least(F.length("text"), F.lit(400)) / 4).alias("cost"), "folder", "updated_at")
+    links = registry.groupBy("folder").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 30").select("folder")
+    edges = archive.linked_pairs(registry.join(links, "folder", "left_semi").select("item", F.lit("folder").alias("via"), F.col("folder").alias("key")))
+    past = words.join(registry.where(F.col("updated_at") <= F.lit(_CUTOFF).cast("date")).select("item"), "item")
+    return reports.budget_pack(words, registry, edges, past, ["note", "social_post"], ["reference", "bookmark"], ["social_post"], _TOKENS)
+
+
+_WINDOWS = f"""WITH {_CHUNKS}, asked AS (SELECT * FROM (SELECT doc_id AS query_id, list_transform(list_sort(list_transform(list_distinct(w), lambda x: {{'i': list_position(w, x), 'x': x}}))[1:3], lambda y: y.x) AS terms FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_THREE}') AS w FROM documents WHERE doc_id % 20 = 0)) WHERE len(terms) > 0),
+hits AS (SELECT query_id, unit_id, text, terms FROM chunks, asked WHERE len(list_filter(terms, lambda x: contains(lower(text), x))) = len(terms)),
+parts AS (SELECT query_id, unit_id, term, string_split(lower(text), term) AS p FROM (SELECT *, unnest(terms) AS term FROM hits)),
+places AS (SELECT query_id, unit_id, term, list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(term) AS b FROM (SELECT *, unnest(range(1, len(p))) AS i FROM parts)),
+wins AS (SELECT query_id, unit_id, b, list_filter(list({{'t': term, 'e': b + length(term)}}) OVER (PARTITION BY query_id, unit_id ORDER BY b RANGE BETWEEN CURRENT ROW AND 159 FOLLOWING), lambda x: x.e <= b + 160) AS held FROM places),
+scored AS (SELECT query_id, unit_id, b, list_distinct(list_transform(held, lambda x: x.t)) AS ts, held FROM wins),
+best AS (SELECT query_id, unit_id, min({{'n': -len(ts), 'x': list_max(list_transform(ts, lambda t: list_min(list_transform(list_filter(held, lambda h: h.t = t), lambda h: h.e)))) - b, 'b': b}}) AS w FROM scored GROUP BY ALL),
+cut AS (SELECT query_id, unit_id, text, terms, greatest(w.b - (160 - w.x) // 2, 0)::BIGINT AS low FROM hits JOIN best USING (query_id, unit_id)),
+marked AS (SELECT *, regexp_replace(substring(text, low + 1, 160), '(?i)(' || array_to_string(list_transform(list_sort(list_transform(terms, lambda x: {{'n': -length(x), 'x': x}})), lambda y: y.x), '|') || ')', '[[\\1]]', 'g') AS m FROM cut)
+SELECT query_id, unit_id, CASE WHEN low > 0 THEN '…' ELSE '' END || m || CASE WHEN low + 160 < length(text) THEN '…' ELSE '' END AS snippet,
+  (SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT regexp_extract_all(m, '\\[\\[(.+?)\\]\\]', 1) AS l)) GROUP BY x)) AS matched FROM marked"""
+_BUDGET = f"""WITH {_ITEMS}, {_HITS}, reg AS (SELECT item_id AS item, kind, ceil(least(length(text), 400) / 4)::BIGINT AS cost, folder, updated_at FROM items),
+listed AS (SELECT query_id, item, rank, kind, CASE WHEN kind IN ('note', 'social_post') THEN 0 ELSE 1 END AS b FROM words JOIN reg USING (item)),
+direct AS (SELECT *, row_number() OVER (PARTITION BY query_id, b ORDER BY rank, item) AS r FROM listed QUALIFY r <= 2),
+good AS (SELECT folder FROM reg GROUP BY folder HAVING count(*) BETWEEN 2 AND 30),
+near AS (SELECT query_id, o.item, 1 AS b, min(r) + 2 AS r FROM direct d JOIN reg i USING (item) JOIN good USING (folder) JOIN reg o ON o.folder = i.folder AND o.item <> d.item WHERE b = 0 AND d.kind = 'social_post' AND o.kind IN ('reference', 'bookmark') GROUP BY ALL),
+every AS (SELECT query_id, item, b, r FROM direct UNION ALL SELECT query_id, item, b, r FROM near UNION ALL SELECT query_id, item, 2, rank FROM words JOIN reg USING (item) WHERE updated_at <= DATE '{_CUTOFF}'),
+firsts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, item ORDER BY b, r) = 1),
+placed AS (SELECT query_id, b, item, cost, row_number() OVER (PARTITION BY query_id, b ORDER BY r, item) AS place FROM firsts JOIN reg USING (item) QUALIFY place <= 2),
+filled AS (SELECT *, sum(cost) OVER (PARTITION BY query_id, b ORDER BY place) <= {_TOKENS // 3} AS own FROM placed),
+summed AS (SELECT *, sum(CASE WHEN own THEN cost ELSE 0 END) OVER (PARTITION BY query_id) AS used, sum(CASE WHEN own THEN 0 ELSE cost END) OVER (PARTITION BY query_id ORDER BY b, place) AS more FROM filled)
+SELECT query_id, ['vision', 'evidence', 'past_discussion'][b + 1] AS bucket, row_number() OVER (PARTITION BY query_id, b ORDER BY place) AS place, item, cost FROM summed WHERE own OR used + more <= {_TOKENS}"""
+
 _RELATED = f"""{_ITEMS}, old AS (SELECT item_id AS item, source FROM items WHERE updated_at <= DATE '{_CUTOFF}'),
 {_HITS.replace("FROM chunks)", "FROM chunks SEMI JOIN old USING (item))").replace(f"rank <= {LISTED}", "rank <= 20")},
 fused AS (SELECT query_id // 20 % {_GROUPS} AS "group", item, any_value(source) AS source, round(sum(1 / (60 + rank)), 8) AS score, arg_min(query_id, (rank, query_id)) AS reason FROM words JOIN old USING (item) GROUP BY ALL),
@@ -263,6 +308,8 @@ linked AS (SELECT query_id, o.item_id AS item, min(rank) AS rank, 2 AS bucket FR
 every AS (SELECT * FROM picked UNION ALL SELECT * FROM linked ANTI JOIN picked USING (query_id, item)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY rank, item) AS place FROM every)
 SELECT query_id, ['vision', 'evidence', 'linked'][bucket + 1] AS bucket, item, place FROM placed WHERE place <= 5"""),
+    "k6_best_windows": (q_windows, _WINDOWS),
+    "r5_budget_pack": (q_budget_pack, _BUDGET),
     "m12_gaps_filled": (q_gaps, f"WITH {_CHUNKS}, {_LINKS} SELECT 'chunks' AS part, count(*) AS n FROM chunks WHERE item % 2 <> 0 OR item % 5 = 0 UNION ALL SELECT 'vectors', count(*) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'links', count(*) FROM links"),
     "m17_after_import": (q_after_import, f"WITH {_CHUNKS}, {_LINKS}, {_CHANGED} SELECT 'chunks' AS part, count(*) AS n FROM chunks WHERE item IN (SELECT doc_id FROM changed) UNION ALL SELECT 'vectors', count(*) FROM changed UNION ALL SELECT 'links', count(*) FROM links"),
     "v3_embedded": (q_embedded, "SELECT doc_id AS unit_id, round(('0x' || left(md5(text), 2))::INTEGER / 255, 6) AS first, 8 AS size FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 <> 0"),
