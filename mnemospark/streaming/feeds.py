@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mnemospark.session import scratch
 
@@ -18,6 +20,64 @@ def once(feed: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     return feed.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def lasting(spark: SparkSession) -> None:
+    """State that must outlive memory is kept in RocksDB: for first_ever() and corrections()."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def first_ever(feed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys were never seen before, however long ago: the same file a year later adds nothing.
+
+    Without a watermark no key is forgotten, so state grows with the number of keys, on disk, dealt over partitions.
+    """
+    lasting(feed.sparkSession)
+    return feed.dropDuplicates(keys)
+
+
+class _Superseded(StatefulProcessor):
+    """For one id: its own row, and whether another has superseded it; either may come first, and may come again."""
+
+    def __init__(self, columns: list[str], schema: str):
+        self.columns, self.schema = columns, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.own = handle.getValueState("own", self.schema)
+        self.gone = handle.getValueState("gone", "gone boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        out = []
+        for batch in rows:
+            for row in batch.itertuples(index=False):
+                if row.is_own and not self.own.exists():
+                    own = tuple(None if pd.isna(v) else v for v in (getattr(row, c) for c in self.columns))
+                    self.own.update(own)
+                    if not self.gone.exists():
+                        out.append((key[0], 1, *own))
+                elif not row.is_own and not self.gone.exists():
+                    self.gone.update((True,))
+                    if self.own.exists():
+                        out.append((key[0], -1, *self.own.get()))
+        if out:
+            yield pd.DataFrame(out, columns=["id", "sign", *self.columns])
+
+    def close(self) -> None:
+        pass
+
+
+def corrections(feed: DataFrame, columns: list[str]) -> DataFrame:
+    """id, sign and the columns: +1 for a row that counts from now on, -1 for one that a later row supersedes.
+
+    feed: id, supersedes (null, or the id of the row it stands for) and the columns. Sums of column times sign follow
+    late corrections, also those that come before what they correct; rows that come again add nothing.
+    """
+    lasting(feed.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in feed.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    sent = F.array(F.struct(F.col("id").alias("key"), F.lit(True).alias("is_own")), F.struct(F.col("supersedes").alias("key"), F.lit(False).alias("is_own")))
+    rows = feed.select(F.explode(sent).alias("m"), *columns).select("m.*", *columns).where("key IS NOT NULL")
+    return rows.groupBy("key").transformWithStateInPandas(_Superseded(columns, schema), f"id {kinds['id']}, sign int, {schema}", "Append", "none")
+
+
 def daily(feed: DataFrame, key: str, time: str, value: str, late: str = "2 days") -> DataFrame:
     """Rows, smallest and largest value by key and day. State of a day goes when the watermark has passed it."""
     days = feed.withWatermark(time, late).groupBy(key, F.window(time, "1 day").alias("w"))
