@@ -5,7 +5,7 @@ sorted by name from the newest rows to the oldest. The offset is the folder and
 pages from the first one up to where a whole page is strictly older than the cursor before, and of these the rows at or
 after it: rows that share the cursor's own time may stand on either side of it, so they come again, and the sink must
 take them as known. A stream that starts from its checkpoint reads this boundary again and nothing older. Pages are
-read where Spark reads them, one a partition; the driver opens one for the offset and a few to find the boundary.
+read where Spark reads them, some a task; the driver opens one for the offset and a few to find the boundary.
 
 ``listed_files`` lists a tree as path, size and modified: each folder below the top is a partition. By (path, size, time) a
 sink finds what grew, moved in or changed, also where names stay (a file stream would not); with ``margin_hours`` only
@@ -46,11 +46,14 @@ def _below(path: str, deep: bool) -> list:
 # ---- pages ---------------------------------------------------------------------------------------
 
 
+#: Pages that one task reads.
+PAGES_PER_TASK = 64
+
+
 @dataclass
-class Page(InputPartition):
-    path: str
+class Pages(InputPartition):
+    paths: list[str]
     low: str
-    high: str
 
 
 class _Pages:
@@ -71,10 +74,13 @@ class _Pages:
     def newest(self, rows: list[dict]) -> str:
         return max((str(r.get(self.time) or "") for r in rows), default="")
 
-    def read(self, part: Page) -> Iterator[tuple]:
-        for row in self.load(part.path):
+    def dealt(self, pages: list[str], low: str) -> list[Pages]:
+        return [Pages(pages[i : i + PAGES_PER_TASK], low) for i in range(0, len(pages), PAGES_PER_TASK)]
+
+    def read(self, part: Pages) -> Iterator[tuple]:
+        for row in (row for path in part.paths for row in self.load(path)):
             at = row.get(self.time)
-            if at is None or part.low <= str(at) and (not part.high or str(at) <= part.high):
+            if at is None or part.low <= str(at):
                 yield (str(row.get(self.key)), None if at is None else str(at), json.dumps(row, ensure_ascii=False))
 
 
@@ -88,20 +94,20 @@ class _PageStream(_Pages, DataSourceStreamReader):
             return {"folder": folders[-1], "cursor": self.newest(self.load(page))}
         return self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         pages = self.pages(end["folder"]) if end["folder"] else []
         # Pages go from new to old: the first one that is strictly older than the cursor is found by halving.
         low, high = 0, len(pages)
         while low < high and start["cursor"]:
             mid = (low + high) // 2
             low, high = (mid + 1, high) if self.newest(self.load(pages[mid])) >= start["cursor"] else (low, mid)
-        return [Page(p, start["cursor"], "") for p in pages[: high if start["cursor"] else None]]
+        return self.dealt(pages[: high if start["cursor"] else None], start["cursor"])
 
 
 class _PageSweep(_Pages, DataSourceReader):
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         folders = self.folders()
-        return [Page(p, "", "") for p in self.pages(folders[-1])] if folders else []
+        return self.dealt(self.pages(folders[-1]), "") if folders else []
 
 
 class PageFeed(DataSource):

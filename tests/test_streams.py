@@ -53,9 +53,9 @@ def test_pages_before_the_boundary_alone(spark, tmp_path):
     stream = sources._PageStream({"path": str(tmp_path), "rows": "bookmarks"})
     end = stream.latestOffset()
     assert end == {"folder": "0001", "cursor": "2024-01-24"}
-    assert len(stream.partitions(stream.initialOffset(), end)) == 8
+    assert [len(p.paths) for p in stream.partitions(stream.initialOffset(), end)] == [8]
     parts = stream.partitions({"folder": "0000", "cursor": "2024-01-21"}, end)
-    assert [os.path.basename(p.path) for p in parts] == ["page-0000.json", "page-0003.json"]
+    assert [os.path.basename(path) for p in parts for path in p.paths] == ["page-0000.json", "page-0003.json"]
     assert [r[1] for p in parts for r in stream.read(p)] == ["2024-01-24", "2024-01-23", "2024-01-22", "2024-01-21"]
 
 
