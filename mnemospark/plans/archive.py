@@ -204,8 +204,8 @@ def q_link_counts(spark, d):
 
 
 def q_distinct_urls(spark, d):
-    urls = F.array_distinct(F.flatten(F.collect_list(F.array("url"))))
-    return _read(spark, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.size(urls).alias("n_urls"))
+    rows = _read(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+    return items.first_of(rows, ["host", "url"], "page_id").groupBy("host").agg(F.count("*").cast("int").alias("n_urls"))
 
 
 def q_titles(spark, d):

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from mnemospark.functions import keys, text
+from mnemospark.functions import keys, text, values
 from mnemospark.operators import facts, filters, items, maintenance, observations, reports
 from mnemospark.plans.archive import _ITEMS, _THREADS, _items, _threads
 from mnemospark.plans.queries import _HEADS, _OBS, _WHOLE_LEDGER, _history, _HISTORY, _messages, _observations, _read, _whole_ledger
 from mnemospark.session import ship
+from mnemospark.sources import items as item_sources
 from mnemospark.sources import measurements
 from mnemospark.streaming import feeds
 
@@ -39,7 +38,8 @@ def q_coverage(spark, d):
 
 
 def q_authors(spark, d):
-    return _read(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("authors"))
+    said = _read(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("author"))
+    return item_sources.distinct_authors(said, "event_type").withColumnRenamed("comment_authors", "authors")
 
 
 def q_period(spark, d):
@@ -211,31 +211,18 @@ def q_stamps(spark, d):
     """Times as exports write them: ISO with Z or an offset, seconds, and what is none."""
     i, ts = F.col("event_id"), F.date_trunc("second", "ts")
     said = F.when(i % 4 == 0, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(i % 4 == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))).when(i % 4 == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
-    return _read(spark, d, "events").select("event_id", F.unix_seconds(said.try_cast("timestamp")).alias("at"))
+    return _read(spark, d, "events").select("event_id", F.unix_seconds(values.instant(said)).alias("at"))
 
 
 def q_durations(spark, d):
-    start, end = F.col("ts"), F.col("ts") + F.make_dt_interval(secs=F.col("user_id").cast("decimal(18,6)"))
-    return _read(spark, d, "events").select("event_id", F.round(F.timestamp_diff("SECOND", start, end) / 60, 3).alias("minutes"))
-
-
-@F.pandas_udf(T.BinaryType())
-def _packed(vectors: pd.Series) -> pd.Series:
-    import numpy as np
-
-    return vectors.map(lambda v: np.asarray(v, "<f4").tobytes())
-
-
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _unpacked(blobs: pd.Series) -> pd.Series:
-    import numpy as np
-
-    return blobs.map(lambda b: np.frombuffer(b, "<f4"))
+    start = F.col("ts").cast("timestamp")
+    end = start + F.make_dt_interval(secs=F.col("user_id").cast("decimal(18,6)"))
+    return _read(spark, d, "events").select("event_id", values.minutes_between(start, end).alias("minutes"))
 
 
 def q_vectors(spark, d):
     ship(spark)
-    back = _unpacked(_packed("embedding"))
+    back = values.unpacked(values.packed("embedding"))
     return _read(spark, d, "embeddings").select("vec_id", F.size(back).alias("size"), F.forall(F.zip_with(back, "embedding", lambda a, b: a == b), lambda x: x).alias("same"))
 
 

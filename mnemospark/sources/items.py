@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions import values
 from mnemospark.functions.keys import content_id, repaired, stripped, title_of
 
 # The longest texts kept of a bookmark and of a note, and entries of a bibliography that are no works.
@@ -89,7 +90,7 @@ def read_wrapped_posts(spark: SparkSession, path: str) -> DataFrame:
     t = F.col("e.tweet")
     page = lambda i: F.concat(F.lit("https://x.com/i/status/"), i)
     links = F.filter(F.transform(F.coalesce(t["entities"]["urls"], F.array()), lambda u: u["expanded_url"]), lambda u: F.length(u) > 0)
-    time = F.try_to_timestamp(F.substring(t["created_at"], 5, 40), F.lit("MMM d HH:mm:ss Z yyyy"))
+    time = values.instant(t["created_at"])
     reply = t["in_reply_to_status_id_str"]
     meta = F.to_json(F.struct(F.when(reply.isNotNull(), "reply").otherwise("post").alias("post_type"), links.alias("links"), page(reply).alias("reply_to_url")))
     posts = _items(rows.where(t["id_str"].isNotNull() & (stripped(F.coalesce(t["full_text"], F.lit(""))) != "")), kind=F.lit("social_post"), external_id=F.concat(F.lit("x:"), t["id_str"]), title=title_of(t["full_text"], 80, ""), url=F.coalesce(F.get(links, F.lit(0)), page(t["id_str"])), created_at=time, updated_at=time, text=t["full_text"], meta=meta)
@@ -99,6 +100,11 @@ def read_wrapped_posts(spark: SparkSession, path: str) -> DataFrame:
     return posts
 
 
+def distinct_authors(said: DataFrame, *by: str) -> DataFrame:
+    """How many authors rows have, of all or by columns. Two are an alarm, so the count is exact; blank names are none."""
+    return said.where(F.length("author") > 0).groupBy(*by).agg(F.count_distinct("author").alias("comment_authors"))
+
+
 def read_own_posts(spark: SparkSession, posts: str, comments: str) -> tuple[DataFrame, DataFrame]:
     """The posts and comments of another network's archive, texts read in their right charset; and how many authors the
     comments have, which is one unless the archive has others' as well."""
@@ -113,5 +119,5 @@ def read_own_posts(spark: SparkSession, posts: str, comments: str) -> tuple[Data
     text, at = repaired(c["comment"]), F.coalesce(c["timestamp"], F.col("timestamp"))
     meta = F.to_json(F.struct(F.lit("comment").alias("post_type"), repaired(F.coalesce("title", F.lit(""))).alias("reply_to_context")))
     answers = _items(said.where(stripped(F.coalesce(c["comment"], F.lit(""))) != ""), kind=F.lit("social_post"), external_id=content_id("fbcomment:", at, text), title=title_of(text, 80, ""), created_at=F.timestamp_seconds(at), updated_at=F.timestamp_seconds(at), text=text, meta=meta)
-    authors = said.where(F.length(c["author"]) > 0).agg(F.count_distinct(c["author"]).alias("comment_authors"))
+    authors = distinct_authors(said.select(c["author"].alias("author")))
     return own.unionByName(answers), authors

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions import values
 from mnemospark.functions.keys import any_date, number, when
 
 # The names of a sheet's columns that aren't dates.
@@ -95,7 +96,7 @@ def read_sheet(spark: SparkSession, path: str, metrics: DataFrame, aliases: Data
 
 
 def _instant(text: Column) -> Column:
-    return F.try_to_timestamp(F.trim(text), F.lit("yyyy-MM-dd HH:mm:ss Z"))
+    return values.instant(text, ("yyyy-MM-dd HH:mm:ss Z",))
 
 
 def read_records(spark: SparkSession, path: str, metrics: DataFrame, units: DataFrame, tag: str = "Record") -> DataFrame:
@@ -110,7 +111,7 @@ def read_records(spark: SparkSession, path: str, metrics: DataFrame, units: Data
     rows = rows.join(allowed, "type").where("raw_value <> '' AND start_text <> ''")
     rows = rows.withColumn("fingerprint", F.sha2(F.concat_ws("|", "type", "source", "start_text", "end_text", "raw_value", F.coalesce("raw_unit", F.lit(""))), 256)).dropDuplicates(["fingerprint"])
     rows = rows.withColumn("started", _instant(F.col("start_text"))).withColumn("ended", _instant(F.col("end_text"))).withColumn("observed", F.when(F.col("started").isNotNull(), F.try_to_date(F.left("start_text", F.lit(10)), "yyyy-MM-dd")))
-    sleep, minutes = F.col("type") == SLEEP, F.round((F.unix_micros("ended") - F.unix_micros("started")) / 60e6, 3)
+    sleep, minutes = F.col("type") == SLEEP, values.minutes_between("started", "ended")
     found = normalised(rows, units, needs_unit=True)
     return found.select(
         "metric", "type", "raw_value", "raw_unit", "source", "device", "started", "ended", "observed", "fingerprint",
