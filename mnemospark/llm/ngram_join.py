@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, deal, map_batches, materialize, mix64, ragged, split_words, text_bytes, word_hashes
 from .suffix_dedup import MESSAGE, _by_key, _joined, _messages, _packs, _send, _unpack, row_keys
 
-#: n-grams in the lowest 1/LOW of the hashes are counted; those of over HOT documents come last in the first order.
-LOW, HOT = 8, 48
+#: Of each set the n-grams are counted that by their hash come within SPARE times its prefix and MORE (so also those that
+#: take the places of hot ones), or lie in the lowest 1/LOW; those of over HOT documents come last in the first order.
+LOW, HOT, SPARE, MORE = 8, 48, 2, 4
 #: So many are remembered, the most frequent; the rest stay where their hash puts them, which costs time alone.
 HOT_MOST = 1 << 20
 #: Groups of up to SMALL nodes are worked on many at once; larger ones are cut into blocks of BLOCK nodes.
@@ -120,7 +121,7 @@ def _sigs(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # ---- first order ---------------------------------------------------------------------------------
 
 
-def _low(text: str, k: int, parts: int):
+def _low(text: str, k: int, parts: int, num: int, den: int):
     def run(batches):
         def rows():
             held, size, seen = [], 0, set()
@@ -131,7 +132,9 @@ def _low(text: str, k: int, parts: int):
 
             for batch in (part for whole in batches for part in by_bytes(whole, text)):
                 values, starts = sets(batch.column(text), k)
-                keep = values < np.uint64(2**64 // LOW)
+                n = np.diff(starts)
+                place = np.arange(len(values)) - np.repeat(starts[:-1], n)
+                keep = (values < np.uint64(2**64 // LOW)) | (place < np.repeat(SPARE * prefix_size(n, num, den) + MORE, n))
                 held.append(values[keep])
                 size += len(held[-1])
                 if size > FLUSH:
@@ -153,10 +156,10 @@ def _hot(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u[n > HOT].view(np.int64)), pa.array(n[n > HOT])], ["t", "n"])
 
 
-def hot_elements(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+def hot_elements(docs: DataFrame, text: str, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams to come last, at most HOT_MOST, as sorted numbers, and how many documents have each."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = map_batches(deal(map_batches(docs.select(text), _low(text, k, parts), MESSAGE), parts), _hot, "t long, n long")
+    counted = map_batches(deal(map_batches(docs.select(text), _low(text, k, parts, num, den), MESSAGE), parts), _hot, "t long, n long")
     found = counted.orderBy(F.desc("n"), "t").limit(HOT_MOST).toPandas()
     t, n = found["t"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     return t[np.argsort(t)], n[np.argsort(t)]
@@ -549,7 +552,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    hot = spark.sparkContext.broadcast(hot_elements(docs, "text", k))  # HOT_MOST numbers at most
+    hot = spark.sparkContext.broadcast(hot_elements(docs, "text", k, num, den))  # HOT_MOST numbers at most
     table = materialize(map_batches(docs, _table("doc_id", "text", k, num, den, hot), "doc_id long, key long, sig long, n long, prefix binary, bitmap binary, orders binary"), "sets")
     own = table.where("prefix IS NOT NULL")
     groups = map_batches(deal(map_batches(own.select("sig", "prefix"), _postings(parts, hot), MESSAGE), parts), _groups(parts), MESSAGE)
