@@ -116,7 +116,7 @@ def q_item_page(spark, d):
 
 def q_approximate(spark, d):
     vectors, queries = _vectors(spark, d).select("vec_id", "v"), _read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    return approximate.nearest_in_cells(vectors, queries, 10, *approximate.fit_cells(vectors))
+    return approximate.nearest_by_codes(vectors, queries, 10, approximate.fit(vectors), rerank=40)
 
 
 def q_hybrid(spark, d):
