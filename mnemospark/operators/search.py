@@ -14,8 +14,8 @@ from mnemospark.session import kept, ship
 K1, B, RRF = 1.2, 0.75, 60
 #: So many vectors, and so many queries, are packed in one row; so many such rows make an Arrow batch.
 VECTORS, QUERIES, BATCH_ROWS = 1024, 512, 64
-#: Folders of a stored index.
-BUCKETS = 64
+#: Folders of a stored index, and grams of all terms together that texts are held against without an index.
+BUCKETS, ASKED = 64, 4_000
 
 
 def terms(queries: DataFrame) -> DataFrame:
@@ -47,6 +47,51 @@ def read_index(spark: SparkSession, path: str, wanted: DataFrame, kind: str = "l
     return stored.where(F.col("bucket").isin([r.bucket for r in asked.collect()])).select("gram", "unit_id")
 
 
+def _places(terms: list[str]):
+    """Each text with each of the terms in it, and how often: grams as numbers of three code points leave few pairs to be counted."""
+    number = lambda points: points[:-2] | points[1:-1] << 21 | points[2:] << 42
+    points = lambda t: np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.int64)
+    own = [np.unique(number(points(t))) for t in terms]
+    asked = np.unique(np.concatenate(own))
+    columns = [np.searchsorted(asked, g) for g in own]
+
+    def run(batches):
+        for batch in batches:
+            lows = batch.column("low").to_pylist()
+            owner = np.repeat(np.arange(len(lows)), [len(t) for t in lows])
+            code = number(points("".join(lows)))
+            at = np.minimum(np.searchsorted(asked, code), len(asked) - 1)
+            hit = np.flatnonzero((asked[at] == code) & (owner[:-2] == owner[2:]))
+            held = np.zeros((len(lows), len(asked)), bool)
+            held[owner[hit], at[hit]] = True
+            rows, names, counts = [], [], []
+            for term, c in zip(terms, columns, strict=True):
+                for i in np.flatnonzero(held[:, c].all(1)).tolist():
+                    if n := lows[i].count(term):
+                        rows.append(i), names.append(term), counts.append(float(n))
+            chosen = batch.select(["unit_id", "dl"]).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(names, pa.string()), pa.array(counts, pa.float64())], ["unit_id", "dl", "term", "tf"])
+
+    return run
+
+
+def _hits(units: DataFrame, wanted: DataFrame, index: DataFrame | None) -> DataFrame:
+    """query_id, term, unit_id, tf, dl of the units with each term.
+
+    Without an index, terms with few grams together are looked for in each text where it stands; else by postings.
+    """
+    dl = F.greatest(F.length("text") - 2, F.lit(0)).alias("dl")
+    few = [] if index is not None else [r.term for r in wanted.where(F.length("term") >= 3).select("term").distinct().limit(ASKED + 1).collect()]
+    if few and sum(len(t) - 2 for t in few) <= ASKED:
+        ship(units.sparkSession)
+        long = units.where(F.length("text") >= 3).select("unit_id", F.lower("text").alias("low"), dl)
+        kind = units.schema["unit_id"].dataType.simpleString()
+        return long.mapInArrow(_places(few), f"unit_id {kind}, dl int, term string, tf double").join(wanted.select("query_id", "term"), "term").select("query_id", "term", "unit_id", "tf", "dl")
+    low = F.lower("text")
+    tf = (F.length(low) - F.length(F.replace(low, F.col("term"), F.lit("")))) / F.length("term")
+    return holding(units, wanted, index).select("query_id", "term", "unit_id", tf.alias("tf"), dl)
+
+
 def candidates(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """query_id, term, unit_id: units that hold every trigram of a term of three characters or more."""
     own = grams(F.col("term"))
@@ -71,10 +116,7 @@ def keyword(units: DataFrame, queries: DataFrame, index: DataFrame | None = None
     of a term weighs each of them.
     """
     wanted = terms(queries)
-    low = F.lower("text")
-    found = holding(units, wanted, index)
-    tf = (F.length(low) - F.length(F.replace(low, F.col("term"), F.lit("")))) / F.length("term")
-    found = kept(found.select("query_id", "term", "unit_id", tf.alias("tf"), F.greatest(F.length("text") - 2, F.lit(0)).alias("dl")), "hits")
+    found = kept(_hits(units, wanted, index), "hits")
     stats = units.agg(F.count("*").alias("N"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))  # one row
     df = found.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     scored = found.join(df, ["query_id", "term"]).crossJoin(F.broadcast(stats))
