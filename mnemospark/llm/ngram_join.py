@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, deal, map_batches, materialize, mix64, ragged, split_words, text_bytes, word_hashes
 from .suffix_dedup import MESSAGE, _by_key, _joined, _messages, _packs, _send, _unpack, row_keys
 
-#: Of each set the n-grams are counted that by their hash come within SPARE times its prefix and MORE (so also those that
-#: take the places of hot ones), or lie in the lowest 1/LOW; those of over HOT documents come last in the first order.
-LOW, HOT, SPARE, MORE = 8, 48, 2, 4
+#: Of each set the n-grams are counted that by their hash come within its prefix and half as many more, and MORE (so also
+#: those that take the places of hot ones), or lie in the lowest 1/LOW; those of over HOT documents come last in the first order.
+LOW, HOT, MORE = 8, 48, 4
 #: So many are remembered, the most frequent; the rest stay where their hash puts them, which costs time alone.
 HOT_MOST = 1 << 20
 #: Groups of up to SMALL nodes are worked on many at once; larger ones are cut into blocks of BLOCK nodes.
@@ -134,7 +134,7 @@ def _low(text: str, k: int, parts: int, num: int, den: int):
                 values, starts = sets(batch.column(text), k)
                 n = np.diff(starts)
                 place = np.arange(len(values)) - np.repeat(starts[:-1], n)
-                keep = (values < np.uint64(2**64 // LOW)) | (place < np.repeat(SPARE * prefix_size(n, num, den) + MORE, n))
+                keep = (values < np.uint64(2**64 // LOW)) | (place < np.repeat(prefix_size(n, num, den) * 3 // 2 + MORE, n))
                 held.append(values[keep])
                 size += len(held[-1])
                 if size > FLUSH:
