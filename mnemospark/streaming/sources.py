@@ -180,8 +180,8 @@ def register(spark: SparkSession) -> None:
 # ---- into tables ---------------------------------------------------------------------------------
 
 
-def _run(feed: DataFrame, checkpoint: str, write) -> None:
-    feed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+def _run(feed: DataFrame, checkpoint: str, write, mode: str = "append") -> None:
+    feed.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
 def sync_pages(archive: Archive, pages: dict, checkpoint: str, record, full: bool = False) -> dict[str, int]:

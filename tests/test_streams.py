@@ -117,3 +117,15 @@ def test_late_corrections_change_sums(spark, tmp_path):
         sources._run(feed, str(tmp_path / "mark"), add)
         sums.append({d: v for d, v in total.items() if v})
     assert sums == [{"d1": 15.0, "d2": 7.0}, {"d1": 16.0, "d2": 7.0}, {"d1": 5.0, "d2": 7.0}]
+
+
+def test_standing_rows_need_no_python(spark, tmp_path):
+    """What counts after corrections that come before, after and again; state is Spark's own."""
+    schema, rows = "id long, supersedes long, v double", {}
+    for batch in ([(2, 1, 20.0), (4, None, 4.0)], [(1, None, 1.0), (4, None, 4.0), (5, 4, None)], [(2, 1, 20.0), (1, None, 1.0)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feed = feeds.standing(feeds.landed(spark, str(tmp_path / "in"), schema), ["v"])
+        assert "Python" not in feed._jdf.queryExecution().logical().toString()
+        sink = lambda found, n: rows.update({r.id: (r.come, r.gone, r.v) for r in found.collect()})
+        feed.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    assert rows == {1: (True, True, 1.0), 2: (True, False, 20.0), 4: (True, True, 4.0), 5: (True, False, None)}
