@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +12,53 @@ from mnemospark.session import scratch, ship
 from mnemospark.sources import exports, items, logs, measurements, threads
 
 
-def _files(spark, rows: DataFrame, value: Column, name: str) -> str:
-    """A file for each row."""
+def _direct(path: str) -> bool:
+    """Whether Python's tasks reach the folder by its address."""
+    try:
+        FileSystem.from_uri(path)
+    except (ValueError, OSError):
+        return False
+    return True
+
+
+def _writer(path: str, name):
+    """Writes a file for each of a task's values and their numbers. A task that runs again writes the same files again."""
+
+    def run(rows):
+        fs, top = FileSystem.from_uri(path)
+        made = set()
+        for value, i in rows:
+            place = f"{top}/{name(i)}"
+            folder = place.rpartition("/")[0]
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(place) as out:
+                out.write((value + "\n").encode())
+
+    return run
+
+
+def _files(spark, rows: DataFrame, value: Column, name: str, named=None) -> str:
+    """A file for each row; ``named`` gives files a name by their number, from 0 without a gap.
+
+    Tasks write the files themselves under their names: Spark's writers take some 40 ms of a core for each file on a local
+    disk, and can't name them. Where Python does not reach the folder, they write, and the driver renames.
+    """
     path = scratch(spark, name)
-    rows.select(value.cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    values = rows.select(F.coalesce(value.cast("string"), F.lit("")).alias("value"))
+    if not _direct(path):
+        values.write.option("maxRecordsPerFile", 1).text(path)
+        return _renamed(spark, path, named) if named else path
+    ship(spark)
+    FileSystem.from_uri(path)[0].create_dir(FileSystem.from_uri(path)[1], recursive=True)
+    texts = values.rdd.map(lambda r: r.value)
+    if named:
+        texts.zipWithIndex().foreachPartition(_writer(path, named))
+    else:
+        # An own number in each partition, so that rows are made once.
+        write = _writer(path, lambda i: f"part-{i[0]:05}-{i[1]}.txt")
+        texts.mapPartitionsWithIndex(lambda part, own: write((v, (part, i)) for i, v in enumerate(own)) or ()).count()
     return path
 
 
@@ -35,10 +79,13 @@ def _renamed(spark, path: str, name) -> str:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    path_of, made = jvm.org.apache.hadoop.fs.Path, set()
     for i, old in enumerate(found):
-        new = jvm.org.apache.hadoop.fs.Path(folder, name(i))
-        fs.mkdirs(new.getParent())
-        fs.rename(jvm.org.apache.hadoop.fs.Path(old), new)
+        new, parent = path_of(folder, name(i)), name(i).rpartition("/")[0]
+        if parent not in made:
+            fs.mkdirs(new.getParent())
+            made.add(parent)
+        fs.rename(path_of(old), new)
     return path
 
 
@@ -167,7 +214,7 @@ def q_wrapped_posts(spark, d):
     every = None
     for name, rows, e in (("tweets", m.where("turn > 0"), post), ("like", m.where("turn = 0"), like)):
         packed = rows.select("n", e.alias("e")).groupBy(F.expr("n div 50000")).agg(F.concat(F.lit(f"window.YTD.{name}.part0 = "), F.to_json(F.collect_list("e"))).alias("value"))
-        path = _renamed(spark, _files(spark, packed, F.col("value"), f"export-{name}"), lambda i, name=name: f"data/{name}-part{i}.js")
+        path = _files(spark, packed, F.col("value"), f"export-{name}", lambda i, name=name: f"data/{name}-part{i}.js")
         one = items.read_wrapped_posts(spark, path)
         every = one if every is None else every.unionAll(one)
     return every.select("external_id", "kind", F.get_json_object("meta", "$.post_type").alias("type"), F.md5("text").alias("text_md5"), F.col("created_at").cast("date").alias("day"))
@@ -176,7 +223,7 @@ def q_wrapped_posts(spark, d):
 def q_notes(spark, d):
     """Pages as notes in two folders, one of them hidden."""
     page = _read(spark, d, "pages").select(F.concat(F.lit("note "), "url").alias("value"))
-    path = _renamed(spark, _files(spark, page, F.col("value"), "export-notes"), lambda i: f"{'ideas' if i % 3 else '.trash'}/n{i}.md")
+    path = _files(spark, page, F.col("value"), "export-notes", lambda i: f"{'ideas' if i % 3 else '.trash'}/n{i}.md")
     found = items.read_notes(spark, path, ["ideas", ".trash"])
     whole = _read(spark, d, "pages").agg(F.count("*").alias("files"))  # one row
     rows = found.withColumn("known", F.col("text").startswith("note http")).agg(F.count("*").alias("n"), F.count_if("known").alias("known"), F.count_distinct("text").alias("texts"))
