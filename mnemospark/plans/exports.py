@@ -62,9 +62,13 @@ def _files(spark, rows: DataFrame, value: Column, name: str, named=None) -> str:
     return path
 
 
-def _arrays(spark, rows: DataFrame, name: str) -> str:
-    """JSON files with arrays of fifty rows of ``e`` each, by ``n``."""
-    packed = rows.groupBy(F.expr("n div 50")).agg(F.to_json(F.collect_list("e")).alias("value"))
+#: Numbers of a file's rows where a row has a thousand times its thread and its turn: those of 50 threads.
+_FIFTY_THREADS = 50_000
+
+
+def _arrays(spark, rows: DataFrame, name: str, share: int = 50) -> str:
+    """JSON files with arrays of the rows ``e`` whose numbers ``n`` lie in one run of ``share``."""
+    packed = rows.groupBy(F.expr(f"n div {share}")).agg(F.to_json(F.collect_list("e")).alias("value"))
     return _files(spark, packed, F.col("value"), name)
 
 
@@ -199,8 +203,8 @@ def q_own_posts(spark, d):
     n = F.col("conv_id") * 1000 + F.col("turn")
     post = F.struct((n + 1700000000).alias("timestamp"), F.array(F.struct(broken.alias("post"))).alias("data"))
     said = F.struct((n + 1700000000).alias("timestamp"), F.array(F.struct(F.struct(broken.alias("comment"), F.when(n % 2 == 0, "Ann").otherwise("Bob").alias("author")).alias("comment"))).alias("data"))
-    posts = _arrays(spark, m.where("role = 'user'").select(n.alias("n"), post.alias("e")), "export-posts")
-    packed = m.where("role = 'assistant'").select(n.alias("n"), said.alias("e")).groupBy(F.expr("n div 50")).agg(F.to_json(F.struct(F.collect_list("e").alias("comments_v2"))).alias("value"))
+    posts = _arrays(spark, m.where("role = 'user'").select(n.alias("n"), post.alias("e")), "export-posts", _FIFTY_THREADS)
+    packed = m.where("role = 'assistant'").select(n.alias("n"), said.alias("e")).groupBy(F.expr(f"n div {_FIFTY_THREADS}")).agg(F.to_json(F.struct(F.collect_list("e").alias("comments_v2"))).alias("value"))
     found, authors = items.read_own_posts(spark, posts, _files(spark, packed, F.col("value"), "export-comments"))
     return found.groupBy(F.get_json_object("meta", "$.post_type").alias("type")).agg(F.count("*").alias("n"), F.min(F.md5("text")).alias("least")).crossJoin(F.broadcast(authors))  # one row
 
@@ -213,7 +217,7 @@ def q_wrapped_posts(spark, d):
     like = F.struct(F.struct(ident.alias("tweetId"), F.lit("https://x.com/i/1").alias("expandedUrl")).alias("like"))
     every = None
     for name, rows, e in (("tweets", m.where("turn > 0"), post), ("like", m.where("turn = 0"), like)):
-        packed = rows.select("n", e.alias("e")).groupBy(F.expr("n div 50000")).agg(F.concat(F.lit(f"window.YTD.{name}.part0 = "), F.to_json(F.collect_list("e"))).alias("value"))
+        packed = rows.select("n", e.alias("e")).groupBy(F.expr(f"n div {_FIFTY_THREADS}")).agg(F.concat(F.lit(f"window.YTD.{name}.part0 = "), F.to_json(F.collect_list("e"))).alias("value"))
         path = _files(spark, packed, F.col("value"), f"export-{name}", lambda i, name=name: f"data/{name}-part{i}.js")
         one = items.read_wrapped_posts(spark, path)
         every = one if every is None else every.unionAll(one)

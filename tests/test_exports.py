@@ -34,3 +34,12 @@ def test_files_where_python_does_not_reach(spark, monkeypatch):
                 assert _stored(path) == ["even/n0.md", "even/n2.md", "even/n4.md", "odd/n1.md", "odd/n3.md"]
             found.append(sorted(r.value for r in spark.read.text(path, wholetext=True, recursiveFileLookup=True).collect()))
     assert found == [sorted(["a\n", "b\nc\n", "\n", "\n", "é\n"])] * 4
+
+
+def test_posts_of_many_threads_share_a_file(spark, monkeypatch):
+    seen = {}
+    read = exports.items.read_own_posts
+    monkeypatch.setattr(exports.items, "read_own_posts", lambda s, posts, comments: seen.update(posts=posts, comments=comments) or read(s, posts, comments))
+    entry.queries()["s8_own_posts"](spark, DATA).collect()
+    threads = spark.read.parquet(f"{DATA}/conversations.parquet").agg(F.max("conv_id")).first()[0] + 1
+    assert all(len(_stored(path)) == -(-threads // 50) for path in seen.values())
