@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.values import cosine
+from mnemospark.operators.search import batches_of
 from mnemospark.session import kept, ship
 
 #: Vectors that are fitted on, at most: those of the smallest hashes of their ids. Rounds of the fit, and the share of a sample
@@ -24,8 +25,8 @@ from mnemospark.session import kept, ship
 SAMPLE, ROUNDS, RECALL, NEAR = 8_192, 10, 0.99, 10
 #: Cells at most, numbers that a byte of a code stands for, vectors of a block, queries of a pack, blocks of a cell for one task.
 MOST_CELLS, PART, BLOCK, PACK, TASK_BLOCKS = 4096, 4, 1024, 256, 256
-#: Vectors that are scored exactly for each query.
-RERANK = 100
+#: Vectors that are scored exactly for each query, and scores that a task holds before it passes them on.
+RERANK, HELD = 100, 1 << 21
 
 
 @dataclass
@@ -142,33 +143,28 @@ def _packs(queries: DataFrame, model, probes: int | None) -> DataFrame:
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def run(batches):
-        held = {}
-
-        def pack(cell):
-            ids, rows = held.pop(cell)
-            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids)), pa.array([np.concatenate(rows).tobytes()])], ["cell", "qids", "numbers"])
-
+        # A batch has at most PACK queries, so those of a cell are a pack, and none is held for the next batch.
         for batch in batches:
             rows = _rows(batch.column("qv"), model.value)
             near = np.argsort(-(rows @ model.value.middle.T), axis=1, kind="stable")[:, : probes or model.value.probes]
             for cell in np.unique(near).tolist():
                 at = np.flatnonzero((near == cell).any(1))
-                ids, own = held.setdefault(cell, ([], []))
-                ids.append(batch.column("query_id").take(pa.array(at)))
-                own.append(rows[at])
-                if sum(map(len, ids)) >= PACK:
-                    yield pack(cell)
-        for cell in list(held):
-            yield pack(cell)
+                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), batch.column("query_id").take(pa.array(at))), pa.array([rows[at].tobytes()])], ["cell", "qids", "numbers"])
 
     return queries.where("qv IS NOT NULL").select("query_id", "qv").mapInArrow(run, f"cell int, qids array<{kind}>, numbers binary")
 
 
 def _candidates(model, rerank: int):
-    """The best codes of each query among all blocks of a task."""
+    """The best codes of each query among the blocks of a task, passed on whenever HELD scores are held."""
+
+    def out(held):
+        for qids, score, keys in held.values():
+            at = np.repeat(np.arange(len(qids)), score.shape[1])
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), pa.array(keys.ravel()), pa.array(score.ravel())], ["query_id", "vec_id", "about"])
 
     def run(batches):
         held: dict[tuple, tuple] = {}
+        size = 0
         for batch in batches:
             for r in range(batch.num_rows):
                 cell, qids, ids = batch.column("cell")[r].as_py(), batch.column("qids")[r].values, batch.column("ids")[r].values
@@ -178,13 +174,17 @@ def _candidates(model, rerank: int):
                 key = (cell, str(qids[0]), str(qids[-1]), len(qids))
                 if key in held:
                     score, keys = np.concatenate([held[key][1], score], 1), np.concatenate([held[key][2], keys], 1)
+                    size -= held[key][1].size
                 if score.shape[1] > rerank:
                     top = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
                     score, keys = np.take_along_axis(score, top, 1), np.take_along_axis(keys, top, 1)
-                held[key] = qids, score, keys
-        for qids, score, keys in held.values():
-            at = np.repeat(np.arange(len(qids)), score.shape[1])
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), pa.array(keys.ravel()), pa.array(score.ravel())], ["query_id", "vec_id", "about"])
+                # Values of their own: a slice would keep its whole batch.
+                held[key] = pa.array(qids.to_pylist(), qids.type), score, np.array(keys)
+                size += score.size
+                if size >= HELD:
+                    yield from out(held)
+                    held, size = {}, 0
+        yield from out(held)
 
     return run
 
@@ -200,13 +200,18 @@ def nearest_by_codes(vectors: DataFrame, queries: DataFrame, k: int, model: Mode
     if model is None:
         return spark.createDataFrame([], f"query_id {kinds[1]}, vec_id {kinds[0]}, score double, rank int")
     ship(spark)
-    blocks = kept(index(vectors, model), "codes") if blocks is None else blocks
+    if blocks is None:
+        with batches_of(spark, BLOCK):
+            blocks = kept(index(vectors, model), "codes")
     shared = spark.sparkContext.broadcast(model)
     salts = blocks.groupBy("cell").agg(F.ceil(F.count("*") / TASK_BLOCKS).cast("int").alias("salts"))  # MOST_CELLS rows at most
     left = blocks.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod("block", F.col("salts")).cast("int")).drop("salts", "block")
     right = _packs(queries, shared, probes).join(F.broadcast(salts), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "qids", "numbers")
     met = left.join(right, ["cell", "salt"]).select("cell", "ids", "codes", "qids", "numbers")
     found = met.mapInArrow(_candidates(shared, max(rerank, k)), f"query_id {kinds[1]}, vec_id {kinds[0]}, about double")
+    # Written in batches of few rows, each of which holds a block and a pack.
     best = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))).where(F.col("_r") <= max(rerank, k)).select("query_id", "vec_id")
+    with batches_of(spark, PACK):
+        best = kept(best, "best")
     exact = best.join(vectors.select("vec_id", "v"), "vec_id").join(queries.select("query_id", "qv"), "query_id").select("query_id", "vec_id", F.round(F.coalesce(cosine(F.col("v"), F.col("qv")), F.lit(0.0)), 6).alias("score"))
     return exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
