@@ -27,6 +27,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark import workers
+
 from .common import gathered, list_array, map_batches, materialize, ragged
 from .forced_bpe import Encoder, Vocabulary
 
@@ -103,9 +105,6 @@ def _joined(values: pa.Array) -> tuple[bytes, np.ndarray]:
     return (data.to_pybytes() if data is not None else b""), offsets
 
 
-_ALIGNERS: dict[str, Aligner] = {}
-
-
 def _aligned(texts: DataFrame, path_a: str, path_b: str, with_groups: bool) -> DataFrame:
     """A row for each text, and for each block one without an id that holds its pairs and the copies of texts with each."""
     spark = texts.sparkSession
@@ -117,9 +116,10 @@ def _aligned(texts: DataFrame, path_a: str, path_b: str, with_groups: bool) -> D
         from pyspark import TaskContext
 
         part, block, held, many = TaskContext.get().partitionId() << 32, 0, [], 0
-        if path_a + path_b not in _ALIGNERS:
-            _ALIGNERS[path_a + path_b] = Aligner(*shared.value)
-        own = _ALIGNERS[path_a + path_b]
+        aligners = workers.memory("alignment")
+        if path_a + path_b not in aligners:
+            aligners[path_a + path_b] = Aligner(*shared.value)
+        own = aligners[path_a + path_b]
         for batch in gathered(batches, "text", BATCH_BYTES):
             texts, copies = batch.column("text").to_pylist(), batch.column("copies").to_numpy()
             found = own.batch(texts)
@@ -143,7 +143,7 @@ def _aligned(texts: DataFrame, path_a: str, path_b: str, with_groups: bool) -> D
         return pa.RecordBatch.from_arrays([one[n] if n in one else pa.array([None], pa.string() if n in ("digest", "groups") else pa.int64()) for n in names], names)
 
     schema = f"id binary, block long, copies long, {', '.join(f'{m} long' for m in MEASURES)}, digest string, pairs array<int>, amounts array<long>{', groups string' if with_groups else ''}"
-    return materialize(map_batches(texts, run, schema), "alignment")
+    return materialize(map_batches(texts, run, schema, "alignment"), "alignment")
 
 
 def _summed(pairs: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

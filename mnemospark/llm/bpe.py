@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mnemospark import workers
+
 from .common import by_bytes, gathered, list_array, map_batches, ragged
 
 #: Bytes of pieces and ids that a Python worker remembers, with what each entry costs; beyond it the memory starts anew.
@@ -256,13 +258,11 @@ class Coder:
         return out
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder(key: str, ranks) -> Coder:
-    if key not in _CODERS:
-        _CODERS[key] = Coder(ranks.value)
-    return _CODERS[key]
+    coders = workers.memory("bpe")
+    if key not in coders:
+        coders[key] = Coder(ranks.value)
+    return coders[key]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", back: bool = False) -> DataFrame:
@@ -283,7 +283,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", back: b
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more.values()], [*keep, *more])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "ids array<int>", *(["decoded binary"] if back else [])])
-    return map_batches(docs.select(*(f"`{c}`" for c in keep), f"`{text}`"), run, schema)
+    return map_batches(docs.select(*(f"`{c}`" for c in keep), f"`{text}`"), run, schema, "bpe")
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -299,4 +299,4 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             out = own.decode(np.array(column.flatten(), np.int32), starts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
 
-    return map_batches(tokens, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in keep), "decoded binary"]))
+    return map_batches(tokens, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in keep), "decoded binary"]), "bpe")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.session import scratch, ship
+from mnemospark.workers import tidy
 
 #: Rows in one Arrow batch: whole texts and packed messages travel in it, so it is far below Spark's 10,000.
 BATCH_ROWS = 64
@@ -22,25 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for whole texts; workers give memory back when a task ends."""
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, memory: str = "") -> DataFrame:
+    """``mapInArrow`` with batches small enough for whole texts; workers give memory back when a task ends.
+
+    memory: the name of what fn remembers between tasks.
+    """
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-    def run(batches):
-        try:
-            yield from fn(batches)
-        finally:
-            give_back()
-
-    return df.mapInArrow(run, schema)
-
-
-def give_back() -> None:
-    """Returns freed memory to the system: Python workers live on between tasks, and Arrow and malloc keep what they had."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return df.mapInArrow(tidy(fn, memory), schema)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

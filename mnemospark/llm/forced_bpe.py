@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mnemospark import workers
+
 from .bpe import SPACES, piece_patterns
 from .common import gathered, list_array, map_batches
 
@@ -260,14 +262,12 @@ class Encoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str, vocabulary) -> Encoder:
     """The worker's own encoder of a broadcast vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(vocabulary.value)
-    return _ENCODERS[path]
+    encoders = workers.memory("forced_bpe")
+    if path not in encoders:
+        encoders[path] = Encoder(vocabulary.value)
+    return encoders[path]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", plain: bool = False, packed: bool = False, back: bool = False) -> DataFrame:
@@ -289,4 +289,4 @@ def encode(docs: DataFrame, path: str, text: str = "text", plain: bool = False,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more.values()], [*keep, *more])
 
     schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), f"ids {'binary' if packed else 'array<int>'}", *(["decoded string"] if back else [])]
-    return map_batches(docs.select(*(f"`{c}`" for c in keep), f"`{text}`"), run, ", ".join(schema))
+    return map_batches(docs.select(*(f"`{c}`" for c in keep), f"`{text}`"), run, ", ".join(schema), "forced_bpe")

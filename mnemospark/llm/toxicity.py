@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark import workers
+
 from .common import map_batches
 
 #: Rows to fit on, at most, of either kind: those of the smallest hashes of their ids.
@@ -36,7 +38,7 @@ EVEN = 0.7
 LEAST = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE: dict[str, tuple[int, ...]] = {}
+_CACHE: dict[str, tuple[int, ...]] = workers.memory("toxicity")
 
 
 def _of_word(word: str) -> tuple[int, ...]:
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             values = [np.array(sorted(features(t)), np.int32).tobytes() for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("p"), pa.array(values, pa.binary())], [doc_id, "p", "f"])
 
-    found = map_batches(docs.select(doc_id, text).join(F.broadcast(wanted), doc_id), run, f"{doc_id} {kind}, p boolean, f binary")
+    found = map_batches(docs.select(doc_id, text).join(F.broadcast(wanted), doc_id), run, f"{doc_id} {kind}, p boolean, f binary", "toxicity")
     # Rows of one id may be many; one of them is learned from.
     found = sorted(found.groupBy(doc_id, "p").agg(F.min("f").alias("f")).collect(), key=lambda r: zlib.crc32(str(r[0]).encode()))
     rows = lambda p: [np.frombuffer(r.f, np.int32) for r in found if r.p == p]
@@ -172,4 +174,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "
                 out.append(0.0 if bias == -np.inf else float(1 / (1 + np.exp(-np.clip(w[sorted(hits)].sum(dtype=np.float64) + bias + shift, -700, 700)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.float64())], [*keep, "score"])
 
-    return map_batches(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "score double"]))
+    return map_batches(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "score double"]), "toxicity")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.values import cosine
 from mnemospark.operators.search import batches_of
 from mnemospark.session import kept, ship
+from mnemospark.workers import tidy
 
 #: Vectors that are fitted on, at most: those of the smallest hashes of their ids. Rounds of the fit, and the share of a sample
 #: vector's NEAR nearest sample vectors that the cells it looks into must hold.
@@ -135,7 +136,7 @@ def index(vectors: DataFrame, model: Model) -> DataFrame:
             yield block(cell)
             made += 1
 
-    return vectors.where("v IS NOT NULL").select("vec_id", "v").mapInArrow(run, f"cell int, block long, ids array<{kind}>, codes binary")
+    return vectors.where("v IS NOT NULL").select("vec_id", "v").mapInArrow(tidy(run), f"cell int, block long, ids array<{kind}>, codes binary")
 
 
 def _packs(queries: DataFrame, model, probes: int | None) -> DataFrame:
@@ -151,7 +152,7 @@ def _packs(queries: DataFrame, model, probes: int | None) -> DataFrame:
                 at = np.flatnonzero((near == cell).any(1))
                 yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), batch.column("query_id").take(pa.array(at))), pa.array([rows[at].tobytes()])], ["cell", "qids", "numbers"])
 
-    return queries.where("qv IS NOT NULL").select("query_id", "qv").mapInArrow(run, f"cell int, qids array<{kind}>, numbers binary")
+    return queries.where("qv IS NOT NULL").select("query_id", "qv").mapInArrow(tidy(run), f"cell int, qids array<{kind}>, numbers binary")
 
 
 def _candidates(model, rerank: int):
@@ -208,7 +209,7 @@ def nearest_by_codes(vectors: DataFrame, queries: DataFrame, k: int, model: Mode
     left = blocks.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod("block", F.col("salts")).cast("int")).drop("salts", "block")
     right = _packs(queries, shared, probes).join(F.broadcast(salts), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "qids", "numbers")
     met = left.join(right, ["cell", "salt"]).select("cell", "ids", "codes", "qids", "numbers")
-    found = met.mapInArrow(_candidates(shared, max(rerank, k)), f"query_id {kinds[1]}, vec_id {kinds[0]}, about double")
+    found = met.mapInArrow(tidy(_candidates(shared, max(rerank, k))), f"query_id {kinds[1]}, vec_id {kinds[0]}, about double")
     # Written in batches of few rows, each of which holds a block and a pack.
     best = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))).where(F.col("_r") <= max(rerank, k)).select("query_id", "vec_id")
     with batches_of(spark, PACK):
