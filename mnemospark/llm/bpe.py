@@ -30,7 +30,8 @@ from mnemospark import workers
 
 from .common import by_bytes, gathered, list_array, map_batches, ragged
 
-#: Bytes of pieces and ids that a Python worker remembers, with what each entry costs; beyond it the memory starts anew.
+#: Bytes of pieces and ids that a Python worker remembers, with what each entry costs: two halves, of which the older goes
+#: when the newer is full.
 CACHE_BYTES, ENTRY = 60_000_000, 160
 #: Text that is encoded at once, but for longer single texts: fewer queries, and their fixed cost weighs less.
 BATCH_BYTES = 1_000_000
@@ -40,7 +41,7 @@ WINDOW, OVERLAP = 128, 48
 #: So often windows without a common token are laid anew; then they are joined.
 TRIES = 12
 #: Rows that one recursive query may make: for each window half the square of its length.
-QUERY_ROWS = 1_200_000
+QUERY_ROWS = 2_400_000
 #: Ids that are decoded at once, but for longer single texts.
 DECODE_IDS = 250_000
 
@@ -149,7 +150,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
 
-        self.ranks, self.cache, self.held = ranks, {}, 0
+        self.ranks, self.cache, self.older, self.held = ranks, {}, {}, 0
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "120MB"})
         left, right, rank = [], [], []
         for token, r in ranks.items():
@@ -193,7 +194,9 @@ class Coder:
 
     def tokens(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece; pieces of no more than a window are contracted at once, others by way of windows."""
-        short = iter(self.windows([piece for piece in pieces if len(piece) <= WINDOW]))
+        # By length: a query goes on until its longest piece is done, so short pieces don't wait for long ones.
+        once = sorted((piece for piece in pieces if len(piece) <= WINDOW), key=len)
+        short = dict(zip(once, self.windows(once), strict=True))
         plans = [_Windows(piece) if len(piece) > WINDOW else None for piece in pieces]
         todo = [plan for plan in plans if plan]
         while todo:
@@ -202,10 +205,16 @@ class Coder:
                 ids = np.frombuffer(ids, "<i4")
                 plan.known[a, b] = ids, a + np.concatenate([[0], np.cumsum(self.sizes[ids])])
             todo = [plan for plan in todo if not plan.settle()]
-        return [plan.ids.astype("<i4").tobytes() if plan else next(short) for plan in plans]
+        return [plan.ids.astype("<i4").tobytes() if plan else short[piece] for plan, piece in zip(plans, pieces, strict=True)]
+
+    def remember(self, pieces: set[str]) -> None:
+        """Puts the ids of these pieces into the newer half of the memory; what is still in use moves over from the older."""
+        known = pieces & self.older.keys()
+        self.cache.update((piece, self.older.pop(piece)) for piece in known)
+        self.learn(pieces - known)
+        self.held += sum(len(p) + len(self.cache[p]) + ENTRY for p in pieces)
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts the ids of these pieces into the memory."""
         unknown = []
         for piece in pieces:
             raw = piece.encode()
@@ -215,7 +224,6 @@ class Coder:
                 unknown.append((piece, raw))
         for (piece, _), ids in zip(unknown, self.tokens([raw for _, raw in unknown]), strict=True):
             self.cache[piece] = ids
-        self.held += sum(len(p) + len(self.cache[p]) + ENTRY for p in pieces)
 
     def encode(self, texts: list[str | None], pattern: str) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (one more entry at the end)."""
@@ -228,10 +236,10 @@ class Coder:
     def _encode(self, texts: list[str | None], pattern: str) -> tuple[np.ndarray, np.ndarray]:
         exact, plain = piece_patterns(pattern)
         cut = [(plain if t.isascii() else exact).findall(t) if t else [] for t in texts]
-        if self.held > CACHE_BYTES:
-            self.cache, self.held = {}, 0
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.cache, self.held = self.cache, {}, 0
         if new := set().union(*cut) - self.cache.keys():
-            self.learn(new)
+            self.remember(new)
         cache, starts, found = self.cache, [0], []
         for pieces in cut:
             found.append(b"".join([cache[p] for p in pieces]))
