@@ -1,9 +1,10 @@
 """Byte-level BPE: DuckDB recursive queries in each partition contract token-position rows to a fixpoint.
 
 ``encode`` cuts each text into pieces by the tokenizer's pattern. The distinct pieces of a batch become rows
-(piece, position, token), one for each byte. A recursive query joins neighbouring tokens with the merge table and
-contracts, in every piece at once, the leftmost pair of the lowest rank, until no pair is left. ``decode`` joins ids
-with the vocabulary and aggregates the bytes in order.
+(piece, position, token), one for each byte, which also hold the next position and token and the rank of the two as a
+pair. A recursive query contracts, in every piece at once, the leftmost pair of the lowest rank and joins the pairs that
+this makes with the merge table, until no pair is left. ``decode`` takes the bytes of ids from the vocabulary and joins
+them in order.
 
 Long pieces (text without spaces) go through the same query in overlapping windows. Two windows are joined at a token
 that both have at the same place: no merge crossed its ends in either window, so none does in the whole, since the next
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import gc
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -42,29 +44,35 @@ WINDOW, OVERLAP = 128, 48
 TRIES = 12
 #: Rows that one recursive query may make: for each window half the square of its length.
 QUERY_ROWS = 2_400_000
-#: Ids that are decoded at once, but for longer single texts.
-DECODE_IDS = 250_000
+#: What follows a piece's last token, above all ids, and the rank of what is no pair.
+END, NO_RANK = (1 << 20) - 1, 1 << 22
 
 # The code points of White_Space.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: One contraction of every live piece; g is piece << 20 | position, k is rank << 40 | position << 20 | next position.
-CONTRACT = """
-WITH RECURSIVE s(g, tok, live) AS (
-  SELECT g, tok, true FROM init
+#: One contraction of every live piece. k is rank << 40 | position << 20 | next position; of a pair that becomes one token,
+#: the right row stays, with the left one's position.
+CONTRACT = f"""
+WITH RECURSIVE s(w, pos, tok, npos, ntok, k, live) AS (
+  SELECT w, pos, tok, npos, ntok, k, true FROM init
   UNION ALL
-  (WITH p AS MATERIALIZED (
-     SELECT g, tok, tok * 65536 + lead(tok) OVER v AS ab, lead(g) OVER v AS ng FROM s WHERE live WINDOW v AS (ORDER BY g)),
-   b AS (
-     SELECT p.g >> 20 AS w, min((m.r << 40) | ((p.g & 1048575) << 20) | (p.ng & 1048575)) AS k
-     FROM p JOIN merges m USING (ab) WHERE p.g >> 20 = p.ng >> 20 GROUP BY 1)
-   SELECT p.g, CASE WHEN p.g & 1048575 = (b.k >> 20) & 1048575 THEN b.k >> 40 ELSE p.tok END, b.k IS NOT NULL
-   FROM p LEFT JOIN b ON p.g >> 20 = b.w WHERE b.k IS NULL OR p.g & 1048575 <> b.k & 1048575)
+  (WITH b AS (SELECT w, min(k) AS k FROM s WHERE live GROUP BY w),
+   p AS (
+     SELECT w, s.pos, tok, npos, ntok, s.k, (b.k >> 40)::INT AS n, ((b.k >> 20) & 1048575)::INT AS l, (b.k & 1048575)::INT AS r, n < {NO_RANK} AS live
+     FROM s JOIN b USING (w) WHERE s.live),
+   c AS (
+     SELECT w, if(live AND pos = r, l, pos) AS pos, if(live AND pos = r, n, tok) AS tok, npos, if(live AND npos = l, n, ntok) AS ntok,
+       k, live, live AND (pos = r OR npos = l) AS new
+     FROM p WHERE NOT live OR pos <> l)
+   SELECT w, pos, tok, npos, ntok, if(new, (coalesce(m.r, {NO_RANK}) << 40) | (pos::BIGINT << 20) | npos, k), live
+   FROM c LEFT JOIN merges m ON m.ab = if(new, (tok::BIGINT << 20) | ntok, NULL))
 )
-SELECT (g >> 20)::INT AS w, tok::INT AS tok FROM s WHERE NOT live ORDER BY g"""
+SELECT w, tok FROM s WHERE NOT live ORDER BY w, pos"""
 
-DECODE = """
-SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS text FROM ids JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"""
+#: The alternatives with which the pattern of many tokenizers begins, and the same with the frequent ones first: none can
+#: match where another does.
+CONTRACTIONS_FIRST = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+|"
+WORDS_FIRST = " ?\\p{L}++| ?\\p{N}++|'(?:[stmd]|re|ve|ll)|"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -82,6 +90,26 @@ def piece_patterns(pattern: str):
     return regex.compile(exact), re.compile(plain, re.ASCII)
 
 
+@lru_cache(2)
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """Cuts a text into pieces as piece_patterns() does, by whichever of three patterns is the fastest for it."""
+    import regex
+
+    exact, plain = piece_patterns(pattern.replace(CONTRACTIONS_FIRST, WORDS_FIRST) if pattern.startswith(CONTRACTIONS_FIRST) else pattern)
+    # For texts without code points of more than 16 bits: re instead of regex, with the letters and numbers spelled out.
+    low = "".join(map(chr, range(0x10000)))
+    letters, numbers = ("".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(kind, low)) for kind in ("\\p{L}+", "\\p{N}+"))
+    spelled = exact.pattern.replace(f"[^{SPACES}\\p{{L}}\\p{{N}}]", f"[^{SPACES}{letters}{numbers}]").replace("\\p{L}", f"[{letters}]").replace("\\p{N}", f"[{numbers}]")
+    wide = re.compile(spelled)
+
+    def cut(text: str) -> list[str]:
+        if text.isascii():
+            return plain.findall(text)
+        return (wide if len(text.encode("utf-16-le")) == 2 * len(text) else exact).findall(text)
+
+    return cut
+
+
 class _Windows:
     """A piece in windows: which are still to be contracted, and where their tokens meet."""
 
@@ -158,11 +186,18 @@ class Coder:
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     left.append(a), right.append(b), rank.append(r)
         left, right, rank = (np.array(x, np.int64) for x in (left, right, rank))
-        self.create("merges", {"ab": left * 65536 + right, "r": rank})
+        self.create("merges", {"ab": left << 20 | right, "r": rank})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.sizes[list(ranks.values())] = [len(t) for t in ranks]
-        self.create("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "piece": pa.array([t.decode("latin-1") for t in ranks])})
-        self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        # Each id's bytes; the last entry, for all that is no id, has none.
+        pieces = [b""] * (len(self.sizes) + 1)
+        for token, r in ranks.items():
+            pieces[r] = token
+        self.vocabulary = pa.array(pieces, pa.binary())
+        # Byte 256 stands for the end. The ranks of pairs of bytes, from which each piece starts.
+        self.byte_id = np.array([*(ranks[bytes([i])] for i in range(256)), END], np.int32)
+        self.byte_rank = np.full((257, 257), NO_RANK, np.int64)
+        self.byte_rank[:256, :256] = [[ranks.get(bytes([i, j]), NO_RANK) for j in range(256)] for i in range(256)]
 
     def create(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -173,8 +208,12 @@ class Coder:
         """The ids of each piece, four bytes each."""
         lengths = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
+        after = np.append(data[1:], 0).astype(np.int16)
+        after[np.cumsum(lengths) - 1] = 256
         position = ragged(np.zeros(len(pieces), np.int64), lengths)
-        self.con.register("init", pa.table({"g": np.repeat(np.arange(len(pieces)) << 20, lengths) | position, "tok": self.byte_id[data]}))
+        k = self.byte_rank[data, after] << 40 | position << 20 | position + 1
+        rows = {"w": np.repeat(np.arange(len(pieces)), lengths), "pos": position, "tok": self.byte_id[data], "npos": position + 1, "ntok": self.byte_id[after]}
+        self.con.register("init", pa.table({name: column.astype(np.int32) for name, column in rows.items()} | {"k": k}))
         found = self.con.sql(CONTRACT).to_arrow_table()
         self.con.unregister("init")
         tokens = found["tok"].to_numpy().astype("<i4").tobytes()
@@ -209,12 +248,16 @@ class Coder:
 
     def remember(self, pieces: set[str]) -> None:
         """Puts the ids of these pieces into the newer half of the memory; what is still in use moves over from the older."""
-        known = pieces & self.older.keys()
-        self.cache.update((piece, self.older.pop(piece)) for piece in known)
-        self.learn(pieces - known)
-        self.held += sum(len(p) + len(self.cache[p]) + ENTRY for p in pieces)
+        unknown, older, cache = [], self.older, self.cache
+        for piece in pieces:
+            if (ids := older.pop(piece, None)) is None:
+                unknown.append(piece)
+            else:
+                cache[piece] = ids
+        self.learn(unknown)
+        self.held += sum(map(len, pieces)) + sum(map(len, map(cache.__getitem__, pieces))) + ENTRY * len(pieces)
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         unknown = []
         for piece in pieces:
             raw = piece.encode()
@@ -234,36 +277,26 @@ class Coder:
             gc.enable()
 
     def _encode(self, texts: list[str | None], pattern: str) -> tuple[np.ndarray, np.ndarray]:
-        exact, plain = piece_patterns(pattern)
-        cut = [(plain if t.isascii() else exact).findall(t) if t else [] for t in texts]
+        cut, pieces, ends = cutter(pattern), [], [0]
+        for text in texts:
+            if text:
+                pieces += cut(text)
+            ends.append(len(pieces))
         if self.held > CACHE_BYTES // 2:
             self.older, self.cache, self.held = self.cache, {}, 0
-        if new := set().union(*cut) - self.cache.keys():
-            self.remember(new)
-        cache, starts, found = self.cache, [0], []
-        for pieces in cut:
-            found.append(b"".join([cache[p] for p in pieces]))
-            starts.append(starts[-1] + len(found[-1]) // 4)
-        return np.frombuffer(b"".join(found), "<i4"), np.array(starts)
-
-    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
-        """The bytes of each row's ids, some rows at a time."""
-        out, a = [], 0
-        while a < len(starts) - 1:
-            b = max(a + 1, int(np.searchsorted(starts, starts[a] + DECODE_IDS, "right")) - 1)
-            out += self._decode(ids[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
-            a = b
-        return out
-
-    def _decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
-        lengths = np.diff(starts)
-        n = len(lengths)
-        self.con.register("ids", pa.table({"doc": np.repeat(np.arange(n, dtype=np.int32), lengths), "pos": ragged(np.zeros(n, np.int64), lengths).astype(np.int32), "id": ids}))
-        out = [b""] * n
-        for doc, text in self.con.sql(DECODE).fetchall():
-            out[doc] = text.encode("latin-1")
-        self.con.unregister("ids")
-        return out
+        found = list(map(self.cache.get, pieces))
+        if missing := [i for i, ids in enumerate(found) if ids is None]:
+            self.remember({pieces[i] for i in missing})
+            for i in missing:
+                found[i] = self.cache[pieces[i]]
+        rows = [b"".join(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return np.frombuffer(b"".join(rows), "<i4"), np.cumsum([0, *(len(row) // 4 for row in rows)])
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+        """The bytes of each row's ids."""
+        none = len(self.sizes)
+        known = self.vocabulary.take(pa.array(np.where((ids < 0) | (ids > none), none, ids), pa.int32()))
+        return pa.compute.binary_join(list_array(known, starts), b"")
 
 
 def coder(key: str, ranks) -> Coder:
@@ -287,7 +320,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", back: b
             ids, starts = own.encode(batch.column(text).to_pylist(), pattern)
             more = {"ids": list_array(pa.array(ids, pa.int32()), starts)}
             if back:
-                more["decoded"] = pa.array(own.decode(ids, starts), pa.binary())
+                more["decoded"] = own.decode(ids, starts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more.values()], [*keep, *more])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "ids array<int>", *(["decoded binary"] if back else [])])
@@ -305,6 +338,6 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             column = batch.column(ids).fill_null([])
             starts = np.concatenate([[0], np.cumsum(np.array(pa.compute.list_value_length(column)))])
             out = own.decode(np.array(column.flatten(), np.int32), starts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], [*keep, "decoded"])
 
     return map_batches(tokens, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in keep), "decoded binary"]), "bpe")
