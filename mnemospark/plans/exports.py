@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,11 @@ def _direct(path: str) -> bool:
 
 
 def _writer(path: str, name):
-    """Writes a file for each of a task's values and their numbers. A task that runs again writes the same files again."""
+    """Writes a file for each of a task's values and their numbers.
+
+    Attempts of a task may run again or beside each other, so a file is written under a hidden name of its own and takes
+    its name when it is whole; the values come in one order, so a name has the same value in every attempt.
+    """
 
     def run(rows):
         fs, top = FileSystem.from_uri(path)
@@ -33,8 +39,10 @@ def _writer(path: str, name):
             if folder not in made:
                 fs.create_dir(folder, recursive=True)
                 made.add(folder)
-            with fs.open_output_stream(place) as out:
+            draft = f"{folder}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(draft) as out:
                 out.write((value + "\n").encode())
+            fs.move(draft, place)
 
     return run
 
@@ -52,7 +60,8 @@ def _files(spark, rows: DataFrame, value: Column, name: str, named=None) -> str:
         return _renamed(spark, path, named) if named else path
     ship(spark)
     FileSystem.from_uri(path)[0].create_dir(FileSystem.from_uri(path)[1], recursive=True)
-    texts = values.rdd.map(lambda r: r.value)
+    # Rows come out of a shuffle in any order; sorted, a task that runs again numbers them as before.
+    texts = values.sortWithinPartitions("value").rdd.map(lambda r: r.value)
     if named:
         texts.zipWithIndex().foreachPartition(_writer(path, named))
     else:
@@ -66,9 +75,15 @@ def _files(spark, rows: DataFrame, value: Column, name: str, named=None) -> str:
 _FIFTY_THREADS = 50_000
 
 
+def _listed(e: str) -> Column:
+    """A JSON array of a group's rows ``e`` in the order of their numbers ``n``, the same text in every run."""
+    own = F.array_sort(F.collect_list(F.struct("n", F.to_json(e).alias("e"))))
+    return F.concat(F.lit("["), F.array_join(F.transform(own, lambda r: r["e"]), ","), F.lit("]"))
+
+
 def _arrays(spark, rows: DataFrame, name: str, share: int = 50) -> str:
     """JSON files with arrays of the rows ``e`` whose numbers ``n`` lie in one run of ``share``."""
-    packed = rows.groupBy(F.expr(f"n div {share}")).agg(F.to_json(F.collect_list("e")).alias("value"))
+    packed = rows.groupBy(F.expr(f"n div {share}")).agg(_listed("e").alias("value"))
     return _files(spark, packed, F.col("value"), name)
 
 
@@ -184,7 +199,7 @@ def q_bookmarks(spark, d):
     mark = lambda day: F.struct(p.cast("string").alias("id"), F.lit("2024-01-01T00:00:00Z").alias("createdAt"), F.lit(f"2024-01-0{day}T00:00:00Z").alias("modifiedAt"), F.lit(f"v{day}").alias("title"), F.array(F.struct(F.lit("to-review").alias("name"))).alias("tags"), F.struct(F.lit("link").alias("type"), F.col("url").alias("url")).alias("content"))
     pages = _read(spark, d, "pages")
     rows = pages.select(p.alias("n"), mark(1).alias("b")).unionAll(pages.where("page_id % 10 = 0").select(p, mark(2)))
-    packed = rows.groupBy(F.expr("n div 50")).agg(F.to_json(F.struct(F.collect_list("b").alias("bookmarks"))).alias("value"))
+    packed = rows.groupBy(F.expr("n div 50")).agg(F.concat(F.lit('{"bookmarks":'), _listed("b"), F.lit("}")).alias("value"))
     found = items.read_bookmarks(spark, _files(spark, packed, F.col("value"), "export-bookmarks"))
     return found.select("external_id", "kind", "title", "url", F.array_join("tags", ",").alias("tags"), F.col("updated_at").cast("date").alias("updated_on"))
 
@@ -204,7 +219,7 @@ def q_own_posts(spark, d):
     post = F.struct((n + 1700000000).alias("timestamp"), F.array(F.struct(broken.alias("post"))).alias("data"))
     said = F.struct((n + 1700000000).alias("timestamp"), F.array(F.struct(F.struct(broken.alias("comment"), F.when(n % 2 == 0, "Ann").otherwise("Bob").alias("author")).alias("comment"))).alias("data"))
     posts = _arrays(spark, m.where("role = 'user'").select(n.alias("n"), post.alias("e")), "export-posts", _FIFTY_THREADS)
-    packed = m.where("role = 'assistant'").select(n.alias("n"), said.alias("e")).groupBy(F.expr(f"n div {_FIFTY_THREADS}")).agg(F.to_json(F.struct(F.collect_list("e").alias("comments_v2"))).alias("value"))
+    packed = m.where("role = 'assistant'").select(n.alias("n"), said.alias("e")).groupBy(F.expr(f"n div {_FIFTY_THREADS}")).agg(F.concat(F.lit('{"comments_v2":'), _listed("e"), F.lit("}")).alias("value"))
     found, authors = items.read_own_posts(spark, posts, _files(spark, packed, F.col("value"), "export-comments"))
     return found.groupBy(F.get_json_object("meta", "$.post_type").alias("type")).agg(F.count("*").alias("n"), F.min(F.md5("text")).alias("least")).crossJoin(F.broadcast(authors))  # one row
 
@@ -217,7 +232,7 @@ def q_wrapped_posts(spark, d):
     like = F.struct(F.struct(ident.alias("tweetId"), F.lit("https://x.com/i/1").alias("expandedUrl")).alias("like"))
     every = None
     for name, rows, e in (("tweets", m.where("turn > 0"), post), ("like", m.where("turn = 0"), like)):
-        packed = rows.select("n", e.alias("e")).groupBy(F.expr(f"n div {_FIFTY_THREADS}")).agg(F.concat(F.lit(f"window.YTD.{name}.part0 = "), F.to_json(F.collect_list("e"))).alias("value"))
+        packed = rows.select("n", e.alias("e")).groupBy(F.expr(f"n div {_FIFTY_THREADS}")).agg(F.concat(F.lit(f"window.YTD.{name}.part0 = "), _listed("e")).alias("value"))
         path = _files(spark, packed, F.col("value"), f"export-{name}", lambda i, name=name: f"data/{name}-part{i}.js")
         one = items.read_wrapped_posts(spark, path)
         every = one if every is None else every.unionAll(one)

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -36,6 +37,28 @@ def test_files_where_python_does_not_reach(spark, monkeypatch):
     assert found == [sorted(["a\n", "b\nc\n", "\n", "\n", "é\n"])] * 4
 
 
+def test_rows_in_another_order_give_the_same_files(spark):
+    """A task that runs again gets its rows as the shuffle brings them."""
+    rows = spark.range(40).select(F.col("id").alias("n"), F.struct(F.col("id").alias("key"), F.create_map(F.lit("k"), F.col("id")).alias("m")).alias("e"))
+    found = []
+    for order in (F.col("n"), F.desc("n")):
+        path = exports._arrays(spark, rows.orderBy(order).coalesce(1), "test-arrays", 5).removeprefix("file:")
+        found.append({name: open(f"{path}/{name}").read() for name in _stored(path)})
+    assert found[0] == found[1] and len(found[0]) == 8
+
+
+def test_an_attempt_that_dies_leaves_whole_files(tmp_path):
+    class Dies:
+        def __add__(self, _):
+            raise ZeroDivisionError("an attempt that dies")
+
+    name = lambda i: f"n{i}.txt"
+    exports._writer(str(tmp_path), name)([("a", 0), ("b", 1)])
+    with pytest.raises(ZeroDivisionError):
+        exports._writer(str(tmp_path), name)([("a", 0), (Dies(), 1)])
+    assert {p: (tmp_path / p).read_text() for p in os.listdir(tmp_path) if not p.startswith(".")} == {"n0.txt": "a\n", "n1.txt": "b\n"}
+
+
 def test_posts_of_many_threads_share_a_file(spark, monkeypatch):
     seen = {}
     read = exports.items.read_own_posts
