@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.functions import text
-from mnemospark.operators import approximate, archive, items, refresh, reports, search
+from mnemospark.operators import approximate, items, refresh, reports, search
 from mnemospark.plans.archive import _ITEMS, _THREADS, _items, _threads, _versions
 from mnemospark.plans.queries import _CUT, _messages, _queries, _read, _units
 from mnemospark.session import kept, scratch, ship
@@ -173,13 +173,28 @@ def q_titles(spark, d):
     return reports.title_queries(first, "conv_id")
 
 
+def _found(spark, d, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """q, query_id of all queries; and for each text asked for all items that hold it, with what the registry says of them.
+
+    The second: query_id (the text), item, rank (the best score, then the item), and the registry's columns.
+    """
+    asked = kept(_asked(spark, d).select("query_id", "q"), "asked")
+    hits = search.keyword(_chunks(spark, d), asked.select(F.col("q").alias("query_id"), "q").distinct()).withColumn("item", F.expr("unit_id div 1000"))
+    best = hits.groupBy("query_id", "item").agg(F.min("score").alias("score")).select("query_id", "item", F.struct("score", "item").alias("rank"))
+    return asked.withColumnRenamed("q", "_q"), kept(best.join(registry, "item"), "found")
+
+
+def _of_all(asked: DataFrame, packs: DataFrame) -> DataFrame:
+    """The packs of texts, for each query of its text."""
+    return packs.withColumnRenamed("query_id", "_q").join(asked, "_q").drop("_q")
+
+
 def q_pack(spark, d):
     """For each query: notes, then references, then one-hop links of these, each item in its first bucket, five a bucket."""
-    words = _words(spark, d).join(_items(spark, d).select(F.col("item_id").alias("item"), "kind"), "item")
-    links = _items(spark, d).groupBy("folder").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 30").select("folder")
-    own = _items(spark, d).select("item_id", "folder").join(links, "folder", "left_semi")
-    edges = archive.linked_pairs(own.select(F.col("item_id").alias("item"), F.lit("folder").alias("via"), F.col("folder").alias("key")))
-    return reports.context_pack(words, edges, [("vision", ["note"]), ("evidence", ["reference", "bookmark"])], 5)
+    registry = _items(spark, d).select(F.col("item_id").alias("item"), "kind", "folder")
+    asked, found = _found(spark, d, registry)
+    packs = reports.context_pack(found, registry.select("item", F.col("folder").alias("key")), [("vision", ["note"]), ("evidence", ["reference", "bookmark"])], 5)
+    return _of_all(asked, packs).select("query_id", "bucket", "item", "place")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -240,11 +255,11 @@ def q_windows(spark, d):
 
 def q_budget_pack(spark, d):
     """A pack of 900 tokens for each query: notes and posts, references and bookmarks, and items of before a date."""
-    words, registry = _words(spark, d), _items(spark, d).select(F.col("item_id").alias("item"), "kind", F.ceil(F.least(F.length("text"), F.lit(400)) / 4).alias("cost"), "folder", "updated_at")
-    links = registry.groupBy("folder").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 30").select("folder")
-    edges = archive.linked_pairs(registry.join(links, "folder", "left_semi").select("item", F.lit("folder").alias("via"), F.col("folder").alias("key")))
-    past = words.join(registry.where(F.col("updated_at") <= F.lit(_CUTOFF).cast("date")).select("item"), "item")
-    return reports.budget_pack(words, registry, edges, past, ["note", "social_post"], ["reference", "bookmark"], ["social_post"], _TOKENS)
+    registry = _items(spark, d).select(F.col("item_id").alias("item"), "kind", F.ceil(F.least(F.length("text"), F.lit(400)) / 4).alias("cost"), "folder", "updated_at")
+    asked, found = _found(spark, d, registry.select("item", "updated_at"))
+    words, past = found.select("query_id", "item", "rank"), found.where(F.col("updated_at") <= F.lit(_CUTOFF).cast("date")).select("query_id", "item", "rank")
+    packs = reports.budget_pack(words, registry, registry.select("item", F.col("folder").alias("key")), past, ["note", "social_post"], ["reference", "bookmark"], ["social_post"], _TOKENS)
+    return _of_all(asked, packs).select("query_id", "bucket", "place", "item", "cost")
 
 
 _WINDOWS = f"""WITH {_CHUNKS}, asked AS (SELECT * FROM (SELECT doc_id AS query_id, list_transform(list_sort(list_transform(list_distinct(w), lambda x: {{'i': list_position(w, x), 'x': x}}))[1:3], lambda y: y.x) AS terms FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_THREE}') AS w FROM documents WHERE doc_id % 20 = 0)) WHERE len(terms) > 0),
@@ -258,11 +273,11 @@ cut AS (SELECT query_id, unit_id, text, terms, greatest(w.b - (160 - w.x) // 2,
 marked AS (SELECT *, regexp_replace(substring(text, low + 1, 160), '(?i)(' || array_to_string(list_transform(list_sort(list_transform(terms, lambda x: {{'n': -length(x), 'x': x}})), lambda y: y.x), '|') || ')', '[[\\1]]', 'g') AS m FROM cut)
 SELECT query_id, unit_id, CASE WHEN low > 0 THEN '…' ELSE '' END || m || CASE WHEN low + 160 < length(text) THEN '…' ELSE '' END AS snippet,
   (SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT regexp_extract_all(m, '\\[\\[(.+?)\\]\\]', 1) AS l)) GROUP BY x)) AS matched FROM marked"""
-_BUDGET = f"""WITH {_ITEMS}, {_HITS}, reg AS (SELECT item_id AS item, kind, ceil(least(length(text), 400) / 4)::BIGINT AS cost, folder, updated_at FROM items),
+_ALL_HITS = _HITS.replace(f" WHERE rank <= {LISTED}", "")
+_BUDGET = f"""WITH {_ITEMS}, {_ALL_HITS}, reg AS (SELECT item_id AS item, kind, ceil(least(length(text), 400) / 4)::BIGINT AS cost, folder, updated_at FROM items),
 listed AS (SELECT query_id, item, rank, kind, CASE WHEN kind IN ('note', 'social_post') THEN 0 ELSE 1 END AS b FROM words JOIN reg USING (item)),
 direct AS (SELECT *, row_number() OVER (PARTITION BY query_id, b ORDER BY rank, item) AS r FROM listed QUALIFY r <= 2),
-good AS (SELECT folder FROM reg GROUP BY folder HAVING count(*) BETWEEN 2 AND 30),
-near AS (SELECT query_id, o.item, 1 AS b, min(r) + 2 AS r FROM direct d JOIN reg i USING (item) JOIN good USING (folder) JOIN reg o ON o.folder = i.folder AND o.item <> d.item WHERE b = 0 AND d.kind = 'social_post' AND o.kind IN ('reference', 'bookmark') GROUP BY ALL),
+near AS (SELECT query_id, o.item, 1 AS b, min(r) + 2 AS r FROM direct d JOIN reg i USING (item) JOIN reg o ON o.folder = i.folder AND o.item <> d.item WHERE b = 0 AND d.kind = 'social_post' AND o.kind IN ('reference', 'bookmark') GROUP BY ALL),
 every AS (SELECT query_id, item, b, r FROM direct UNION ALL SELECT query_id, item, b, r FROM near UNION ALL SELECT query_id, item, 2, rank FROM words JOIN reg USING (item) WHERE updated_at <= DATE '{_CUTOFF}'),
 firsts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, item ORDER BY b, r) = 1),
 placed AS (SELECT query_id, b, item, cost, row_number() OVER (PARTITION BY query_id, b ORDER BY r, item) AS place FROM firsts JOIN reg USING (item) QUALIFY place <= 2),
@@ -296,11 +311,10 @@ REGISTERED: dict[str, tuple] = {
     "r1_related": (q_related, f"WITH {_RELATED} SELECT * FROM related"),
     "r4_digest": (q_digest, f'WITH {_RELATED} SELECT "group", item, reason FROM related WHERE item % 3 <> 0'),
     "r3_title_queries": (q_titles, None),
-    "r5_context_pack": (q_pack, f"""WITH {_ITEMS}, {_HITS}, w AS (SELECT query_id, item, rank, kind FROM words JOIN items ON item_id = item),
+    "r5_context_pack": (q_pack, f"""WITH {_ITEMS}, {_ALL_HITS}, w AS (SELECT query_id, item, rank, kind FROM words JOIN items ON item_id = item),
 direct AS (SELECT query_id, item, rank, CASE WHEN kind = 'note' THEN 0 ELSE 1 END AS bucket FROM w WHERE kind IN ('note', 'reference', 'bookmark')),
 picked AS (SELECT * FROM direct QUALIFY row_number() OVER (PARTITION BY query_id, bucket ORDER BY rank) <= 5),
-good AS (SELECT folder FROM items GROUP BY folder HAVING count(*) BETWEEN 2 AND 30),
-linked AS (SELECT query_id, o.item_id AS item, min(rank) AS rank, 2 AS bucket FROM picked JOIN items i ON i.item_id = item JOIN good USING (folder) JOIN items o ON o.folder = i.folder AND o.item_id <> i.item_id GROUP BY ALL),
+linked AS (SELECT query_id, o.item_id AS item, min(rank) AS rank, 2 AS bucket FROM picked JOIN items i ON i.item_id = item JOIN items o ON o.folder = i.folder AND o.item_id <> i.item_id GROUP BY ALL),
 every AS (SELECT * FROM picked UNION ALL SELECT * FROM linked ANTI JOIN picked USING (query_id, item)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY rank, item) AS place FROM every)
 SELECT query_id, ['vision', 'evidence', 'linked'][bucket + 1] AS bucket, item, place FROM placed WHERE place <= 5"""),
